@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, sharding
+from . import decontaminate, html_extract, language, line_dedup, secrets, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,16 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", language.held_out())
+    model = language.fit(docs.where(~F.col("held_out")))
+    return language.predict(docs.select("doc_id", "held_out", "text"), model).select(
+        "doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
 @query
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
@@ -27,6 +37,45 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_items = F.size("item_ids").cast("long")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("hit_positions").cast("long").alias("n_hit"),
+        n_items.alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
+        (n_items >= 2).alias("contaminated"),
+    )
+
+
+ORACLE_SQL["op6_decontamination"] = r"""
+with iw as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
+     win as (select item_id, array_to_string(w[i:i + least(len(w), 8) - 1], ' ') as g, least(len(w), 8) as n
+             from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 7, 1))) as i from iw where len(w) > 0)),
+     dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+     dg as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g
+            from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from dw, (select distinct n from win) where len(w) >= n)),
+     hit as (select doc_id, i, n, item_id from dg join win using (g, n)),
+     pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) as p from hit) group by doc_id),
+     it as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+            from (select distinct doc_id, cast(item_id as varchar) as item_id from hit) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from dw left join pos using (doc_id) left join it using (doc_id)
+"""
+
+
+@query
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract_main_text(pages, html_extract.fit_weights(pages))
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
@@ -43,3 +92,24 @@ select doc_id, cast(count(*) as bigint) as n_lines, cast(count(*) filter (doc_id
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (first_doc is null or doc_id = first_doc), '')) as kept_sha256
 from lk left join f using (k) group by doc_id
 """
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
