@@ -86,7 +86,7 @@ def find_contamination(
     ).first()
     fits = (small.most or 0) + small.short <= broadcast_rows
     item_fps = _fingerprints(items.where(F.size("words") >= window), k, window).select(
-        "item_id", F.col("words").alias("item_words"), F.explode("fps").alias("_fp")
+        "item_id", F.col("words").alias("item_words"), F.explode_outer("fps").alias("_fp")  # an inner one would have its filter pushed below, with all it stands on
     ).select(
         "item_id",
         "item_words",
