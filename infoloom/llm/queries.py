@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language, line_dedup, secrets, sharding
+from . import decontaminate, html_extract, language, line_dedup, secrets, sharding, sketch
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,20 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = sketch.sketch_and_edit(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketch.as_text(F.col("sketch")).alias("fingerprint"),
+        sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketch.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketch.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 @query
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
