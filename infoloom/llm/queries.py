@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language, line_dedup, secrets, sharding, sketch
+from . import decontaminate, html_extract, language, line_dedup, near_dup, secrets, sharding, sketch
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,29 @@ from dw left join pos using (doc_id) left join it using (doc_id)
 """
 
 
+@query
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+ORACLE_SQL["op7_near_duplicates"] = r"""
+with recursive w as (
+       select doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^ 	-]+'), lambda x: x <> '') as w from documents),
+     s as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g
+           from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) as i from w where len(w) > 0)),
+     n as (select doc_id, count(*) as n from s group by doc_id),
+     e as (select a.doc_id as u, b.doc_id as v from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id
+           join n y on y.doc_id = b.doc_id group by a.doc_id, b.doc_id, x.n, y.n
+           having 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+     r as (select doc_id as u, doc_id as v from w union select r.u, e.v from r join e on r.v = e.u),
+     c as (select u, min(v) as component_id from r group by u)
+select doc_id, coalesce(n.n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from w left join n using (doc_id) join c on c.u = w.doc_id
+"""
+
+
 @query
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
