@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language, line_dedup, near_dup, secrets, sharding, sketch
+from . import decontaminate, html_extract, language, line_dedup, near_dup, secrets, sharding, sketch, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, digest=True)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return done.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("kept").cast("string").alias("kept_sha256")
+    )
+
+
 @query
 def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sketch.sketch_and_edit(table(spark, sf_dir, "documents"))
@@ -93,7 +102,8 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op7_near_duplicates"] = r"""
 with recursive w as (
        select doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-              '[^ 	-]+'), lambda x: x <> '') as w from documents),
+              '[^ 	-
+]+'), lambda x: x <> '') as w from documents),
      s as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g
            from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) as i from w where len(w) > 0)),
      n as (select doc_id, count(*) as n from s group by doc_id),
