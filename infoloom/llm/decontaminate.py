@@ -64,7 +64,9 @@ def find_contamination(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Benchmark passages in documents: ``doc_id, n_words, hit_positions, item_ids``, one row a document row.
+    """Benchmark passages in documents: ``doc_id, th, n_words, hit_positions, item_ids``, one row a document row.
+
+    ``th`` is xxhash64 of the text.
 
     A window is ``window`` consecutive words of an item; an item of fewer words is one window of its
     own length. Every word inside an occurrence of a window is a hit; ``item_ids`` are the sorted
@@ -93,11 +95,11 @@ def find_contamination(
         F.shiftright("_fp", POS_BITS).alias("key"),
         F.col("_fp").bitwiseAND(F.lit(POS_MASK)).cast("int").alias("item_pos"),
     )
-    base = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), words(F.col(text_col)).alias("words"))
     base = base.withColumn("_row", F.monotonically_increasing_id()).withColumn("n_words", F.size("words").cast("long"))
     marked = _fingerprints(base, k, window)
     context = F.slice("words", F.greatest(F.col("pos") - (window - k), F.lit(0)) + 1, F.lit(span))
-    spread = marked.select("_row", "doc_id", "n_words", "words", F.col("fps")[0].alias("_fp0"), F.explode_outer("fps").alias("_fp"))
+    spread = marked.select("_row", "doc_id", "th", "n_words", "words", F.col("fps")[0].alias("_fp0"), F.explode_outer("fps").alias("_fp"))
     spread = (
         spread.withColumn("key", F.shiftright("_fp", POS_BITS))
         .withColumn("pos", F.col("_fp").bitwiseAND(F.lit(POS_MASK)).cast("int"))
@@ -111,7 +113,7 @@ def find_contamination(
         met = met.where(F.col("item_pos").isNotNull() | F.col("_one"))
     none = F.array().cast("array<int>")
     found = met.select(
-        "_row", "doc_id", "n_words", "item_id", F.when(F.col("item_pos").isNotNull(), _starts(k, window)).otherwise(none).alias("starts")
+        "_row", "doc_id", "th", "n_words", "item_id", F.when(F.col("item_pos").isNotNull(), _starts(k, window)).otherwise(none).alias("starts")
     )
     if small.short:  # an item of fewer words than a window: compared at each occurrence of its first word
         short = items.where((F.size("words") > 0) & (F.size("words") < window)).select(
@@ -120,26 +122,34 @@ def find_contamination(
         short = F.broadcast(short) if fits else short
         size = F.size("item_words")
         here = F.slice("words", F.col("pos") + 1, F.lit(window))
-        cells = base.select("_row", "doc_id", "n_words", "words", F.posexplode("words").alias("pos", "word"))
+        cells = base.select("_row", "doc_id", "th", "n_words", "words", F.posexplode("words").alias("pos", "word"))
         if not fits:
             cells = cells.withColumn("words", here).withColumn("at", F.lit(0))
         else:
             cells = cells.withColumn("at", F.col("pos"))
         cells = cells.join(short, "word").where(F.slice("words", F.col("at") + 1, size) == F.col("item_words"))
         found = found.unionByName(
-            cells.select("_row", "doc_id", "n_words", "item_id", F.array(F.col("pos") * window + (size - 1)).alias("starts"))
+            cells.select("_row", "doc_id", "th", "n_words", "item_id", F.array(F.col("pos") * window + (size - 1)).alias("starts"))
         )
     cover = F.transform(
         F.array_distinct(F.flatten("_starts")),
         lambda x: F.sequence(F.floor(x / window).cast("int"), F.floor(x / window).cast("int") + x % window),
     )
-    grouped = found.groupBy("_row", "doc_id", "n_words").agg(
+    grouped = found.groupBy("_row", "doc_id", "th", "n_words").agg(
         F.collect_list("starts").alias("_starts"),
         F.collect_set(F.when(F.size("starts") > 0, F.col("item_id").cast("string"))).alias("_items"),
     )
     return grouped.select(
         "doc_id",
+        "th",
         "n_words",
         F.array_sort(F.array_distinct(F.flatten(cover))).alias("hit_positions"),
         F.array_sort("_items").alias("item_ids"),
     )
+
+
+def drop_contaminated(docs: DataFrame, found: DataFrame, least_items: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with passages of fewer than ``least_items`` benchmark items; columns stay as they are."""
+    gone = found.where(F.size("item_ids") >= least_items).select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_th"))
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")

@@ -182,8 +182,8 @@ def near_duplicates(
 ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard likeness of ``percent`` or more.
 
-    Returns ``doc_id, th, n_shingles, component_id``, one row a document row; ``th`` is xxhash64 of the text and the
-    component's id is its smallest document id. With 12 groups of 3 hashes in each of two collections, 72 hashes make
+    Returns ``doc_id, th, n_shingles, component, component_id``, one row a document row; ``th`` is xxhash64 of the text,
+    ``component`` a key of its own for each component (null without shingles) and ``component_id`` its smallest document id. With 12 groups of 3 hashes in each of two collections, 72 hashes make
     144 tables, and a pair at 0.8 exactly meets in one with probability 0.9996, a closer one more surely.
 
     Equal sets are one node from the start. A group value that no other set has cannot make a common table key, so such
@@ -238,7 +238,27 @@ def near_duplicates(
     ids = signed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"))
     named = ids.join(linked, ids.sig == linked.node, "left").select("sig", "first_id", F.coalesce("root", "sig").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    names = named.join(smallest, "root").select("sig", "component_id")
+    names = named.join(smallest, "root").select("sig", F.col("root").alias("component"), "component_id")
     full = signed.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sig")).alias("sig"))
     out = full.join(names, "sig", "left")
-    return out.select("doc_id", "th", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(
+        "doc_id", "th", "n_shingles", "component", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without those that :func:`near_duplicates` links to another one; columns stay as they are.
+
+    Of each component one row stays: of its smallest id, and of rows that share it, that of the smallest text
+    hash. Rows without shingles are linked with nothing and all stay.
+    """
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("at")).select("at.*")
+    lone = found.where("n_shingles = 0").select("doc_id", "th").distinct()
+    stay = first.withColumn("_once", F.lit(True)).union(lone.withColumn("_once", F.lit(False)))
+    stay = stay.withColumnsRenamed({"doc_id": "_keep_id", "th": "_keep_th"})
+    met = docs.join(stay.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_keep_id")) & (F.xxhash64(docs[text_col]) == F.col("_keep_th")))
+    repeats = found.where("n_shingles > 0").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeats.limit(1).count():  # whole rows that repeat: one of each is enough
+        once = met.where("_once").dropDuplicates(["_keep_id", "_keep_th"])
+        met = once.union(met.where(~F.col("_once")))
+    return met.select(*docs.columns)

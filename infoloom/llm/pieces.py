@@ -31,6 +31,7 @@ FIRST = 259  # id of the first piece after the special and byte pieces
 SCALE = 300.0  # per character; cancels within a word, as all its segmentations have the same characters
 GAMMA = np.uint64(0x9E3779B97F4A7C15)
 MASK64 = (1 << 64) - 1
+FIELDS = ("first", "final", "length", "piece", "upto", "prob", "logp")
 STORE_EDGES = 3_000_000  # of the words whose lattices a worker keeps between batches (about 140 MB)
 
 
@@ -59,6 +60,14 @@ def load(spark: SparkSession, path: str) -> Vocabulary:
     return Vocabulary(tuple(model.id_to_piece(i) for i in range(model.get_piece_size())))
 
 
+class _Numbers(dict):
+    """Numbers new keys in order as they are looked up."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 @dataclass
 class Lattices:
     """Edges of the lattices of distinct words. Nodes are characters, with one end node after each word."""
@@ -103,64 +112,69 @@ class Sampler:
         common = np.bincount(keys % width, minlength=width).argsort()[::-1][:96]
         self.column = np.full(width, -1, np.int64)
         self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((len(piece_at), len(common)), np.int32)
+        self.dense = np.zeros((len(piece_at), len(common) + 1), np.int32)
         held = self.column[self.keys % width] >= 0
         self.dense[self.keys[held] // width, self.column[self.keys[held] % width]] = self.next[held]
         self.piece_at, self.weight_at = np.array(piece_at, np.int64), np.array(weight_at)
         self.longest = max(map(len, vocabulary.pieces[FIRST:]))
         written = [b""] * 3 + [bytes([i]) for i in range(FIRST - 3)] + [p.replace(SPACE, " ").encode() for p in vocabulary.pieces[FIRST:]]
         self.written = np.frombuffer(b"".join(written), np.uint8)
-        self.width = width
         self.size = np.array([len(x) for x in written], np.int64)
         self.begin = np.cumsum(self.size) - self.size
-        self.store, self.store_first = self._empty(), np.zeros(0, np.int64)
-        self.known: dict[str, int] = {}
+        self._forget()
 
-    def _walk(self, node: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        col = self.column[cls]
-        out = self.dense[node, np.maximum(col, 0)].astype(np.int64)
-        rare = np.flatnonzero(col < 0)
-        if len(rare):
-            key = node[rare] * self.width + cls[rare]
-            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            out[rare] = np.where((self.keys[i] == key) & (cls[rare] > 0), self.next[i], 0)
-        return out
+    def _rare(self, node: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Transitions over characters outside the dense table."""
+        key = node * len(self.column) + cls
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[i] == key, self.next[i], 0)
 
     def lattices(self, words: list[str]) -> tuple[Lattices, np.ndarray]:
         """Lattices of distinct words, and the first node of each."""
-        sizes = np.array([len(w) for w in words], np.int64)
+        sizes = np.array(list(map(len, words)), np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
-        cps = np.frombuffer("\0".join(words).encode("utf-32-le") + b"\0\0\0\0", np.uint32).astype(np.int64)
+        cps = np.frombuffer("\0".join(words).encode("utf-32-le") + b"\0\0\0\0", np.uint32)
+        ends = starts + sizes
         # a space is written as the marker; the marker itself has no piece and goes as bytes
         cls = self.classes[cps]
         cls[cps == 32] = self.classes[ord(SPACE)]
         cls[cps == ord(SPACE)] = 0
-        ends = starts + sizes
+        cls[ends] = 0  # no walk goes over the end of a word
+        col = self.column[cls]
+        rare = bool(((col < 0) & (cls > 0)).any())
         end_of = np.repeat(ends, sizes + 1)
         total = len(cps)
         src, wide, pid, weight = [], [], [], []
-        live = np.flatnonzero(np.arange(total) < end_of)
+        inner = np.ones(total, bool)
+        inner[ends] = False
+        live = np.flatnonzero(inner)
         node = np.zeros(len(live), np.int64)
+        table, columns = self.dense.ravel(), self.dense.shape[1]
         for step in range(self.longest):
             at = live + step
-            ok = at < end_of[live]
-            live, node, at = live[ok], node[ok], at[ok]
-            if not len(live):
-                break
-            node = self._walk(node, cls[at])
-            ok = node > 0
-            alone = self.piece_at[node] < 0 if step == 0 else None
+            c = col[at]
+            to = table[node * columns + c]  # the last column, which -1 reads, leads nowhere
+            if rare:
+                odd = np.flatnonzero((c < 0) & (cls[at] > 0))
+                to[odd] = self._rare(node[odd], cls[at[odd]])
+            ok = np.flatnonzero(to)
             if step == 0:
-                bare = live[~ok | alone]
+                single = np.zeros(len(live), bool)
+                single[ok] = self.piece_at[to[ok]] >= 0
+                bare = live[~single]
                 src.append(bare)
                 wide.append(np.ones(len(bare), np.int64))
-                pid.append(-1 - cps[bare])
+                cp = cps[bare].astype(np.int64)
+                pid.append(np.where(cp < 128, cp + 3, -1 - cp))
                 weight.append(np.full(len(bare), self.fallback * SCALE))
-            live, node = live[ok], node[ok]
-            done = self.piece_at[node] >= 0
+            if not len(ok):
+                break
+            live, node = live[ok], to[ok].astype(np.int64)
+            got = self.piece_at[node]
+            done = np.flatnonzero(got >= 0)
             src.append(live[done])
-            wide.append(np.full(int(done.sum()), step + 1, np.int64))
-            pid.append(self.piece_at[node[done]])
+            wide.append(np.full(len(done), step + 1, np.int64))
+            pid.append(got[done])
             weight.append(self.weight_at[node[done]] * SCALE ** (step + 1))
         source, length, piece, w = map(np.concatenate, (src, wide, pid, weight))
         order = np.argsort(source, kind="stable")  # of a node, shorter edges first
@@ -196,30 +210,42 @@ class Sampler:
             return Lattices(first, np.diff(first) == 0, length, piece, upto, prob, np.log(prob)), starts
 
     @staticmethod
-    def _empty() -> Lattices:
-        none = np.zeros(0, np.int64)
-        return Lattices(np.zeros(1, np.int64), np.zeros(0, bool), none, none, np.zeros(0), np.zeros(0), np.zeros(0))
+    def _empty(nodes: int = 1 << 16, edges: int = 1 << 18) -> Lattices:
+        return Lattices(
+            np.zeros(nodes + 1, np.int64), np.zeros(nodes, bool), np.zeros(edges, np.int64), np.zeros(edges, np.int64), np.zeros(edges), np.zeros(edges), np.zeros(edges)
+        )
 
     def numbered(self, words: list[str]) -> tuple[Lattices, np.ndarray]:
         """Lattices that hold all the words, and the first node of each word.
 
-        Words of earlier batches are taken from the store, which starts anew when it is full.
+        Words of earlier batches are taken from the store, which starts anew when it is full and else grows by doubling.
         """
-        if len(self.store.length) > STORE_EDGES:
-            self.store, self.store_first, self.known = self._empty(), np.zeros(0, np.int64), {}
+        if self.used[1] > STORE_EDGES:
+            self._forget()
         known = self.known
         size = len(known)
-        number = [known.setdefault(w, len(known)) for w in words]
+        number = np.array(list(map(known.__getitem__, words)), np.int64)
         if len(known) > size:
-            new = list(itertools.islice(reversed(known), len(known) - size))[::-1]
-            lat, starts = self.lattices(new)
-            old = self.store
-            self.store_first = np.concatenate([self.store_first, starts + len(old.final)])
-            self.store = Lattices(
-                np.concatenate([old.first[:-1], lat.first + old.first[-1]]),
-                *(np.concatenate([getattr(old, f), getattr(lat, f)]) for f in ("final", "length", "piece", "upto", "prob", "logp")),
-            )
-        return self.store, self.store_first[np.array(number, np.int64)]
+            lat, starts = self.lattices(list(itertools.islice(known, size, None)))
+            nodes, edges = self.used
+            more = (nodes + len(lat.final), edges + len(lat.length))
+            if more[0] > len(self.store.final) or more[1] > len(self.store.length):
+                grown = self._empty(2 * more[0], 2 * more[1])
+                for f in FIELDS:
+                    old = getattr(self.store, f)
+                    getattr(grown, f)[: len(old)] = old
+                self.store = grown
+            self.store.first[nodes : more[0] + 1] = lat.first + edges
+            self.store.final[nodes : more[0]] = lat.final
+            for f in FIELDS[2:]:
+                getattr(self.store, f)[edges : more[1]] = getattr(lat, f)
+            self.store_first = np.concatenate([self.store_first, starts + nodes])
+            self.used = more
+        return self.store, self.store_first[number]
+
+    def _forget(self) -> None:
+        self.store, self.store_first, self.used = self._empty(), np.zeros(0, np.int64), (0, 0)
+        self.known = _Numbers()
 
     @staticmethod
     def _long(start: int, end: int, first: np.ndarray, length: np.ndarray, w: np.ndarray, prob: np.ndarray) -> None:

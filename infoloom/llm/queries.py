@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language, line_dedup, near_dup, secrets, sharding, sketch, suffix_dedup
+import corpus_pipeline
+
+from . import decontaminate, html_extract, language, line_dedup, near_dup, pieces, secrets, sharding, sketch, suffix_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +21,15 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pieces.sample_encodings(table(spark, sf_dir, "documents"), MODEL, k=3, digest=True)
+    return done.withColumnRenamed("ids", "ids_sha256")
+
+
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -160,3 +171,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
