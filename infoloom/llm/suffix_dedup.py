@@ -72,26 +72,49 @@ class Anchors:
             yield p + s, p - last, p - first, hashes[p]
 
 
+#: Rows of anchors, and of spans (from ``place`` to ``u1``) that a text settles by itself, where ``h`` is null.
+ANCHOR = ["k", "th", "place", "h", "u1", "u2", "times"]
+
+
 def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors(length, gram)
         for batch in batches:
             ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            got: list[tuple[np.ndarray, ...]] = []
+            got: list[tuple] = []
+            spans: list[tuple] = []
             for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 if len(text) < length:
                     continue
-                for p, lo, hi, h in finder.of(text):
+                parts = list(finder.of(text))
+                if parts:
+                    p, lo, hi, h = (np.concatenate(c) for c in zip(*parts, strict=True))
                     keys = b"".join(
                         xxhash.xxh3_128_digest(text[a:b], seed)
                         for a, b, seed in zip((p - hi).tolist(), (p - lo + length).tolist(), ((lo << D_BITS) | hi).tolist(), strict=True)
                     )
                     u = np.frombuffer(keys, "<i8").reshape(-1, 2)
-                    got.append((np.full(len(p), ids[i]), np.full(len(p), ths[i]), (p << (2 * D_BITS)) | (lo << D_BITS) | hi, h.view(np.int64), u[:, 0], u[:, 1]))
+                    place = (p << (2 * D_BITS)) | (lo << D_BITS) | hi
+                    order = np.lexsort((u[:, 1], u[:, 0]))
+                    new = np.ones(len(p), bool)
+                    new[1:] = (u[order[1:]] != u[order[:-1]]).any(axis=1)
+                    begin = np.flatnonzero(new)
+                    times = np.diff(np.append(begin, len(p)))
+                    one = order[begin]
+                    got.append((place[one], h.view(np.int64)[one], u[one, 0], u[one, 1], times, ids[i], ths[i]))
+                    twin = order[np.repeat(times, times) > 1]
+                    if len(twin):  # settled within the text; periodic texts have many
+                        for s, e in merged_spans((p - hi)[twin], (p - lo)[twin] + length):
+                            spans.append((ids[i], ths[i], s, e))
             if got:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in zip(*got, strict=True)], names=["k", "th", "place", "h", "u1", "u2"]
-                )
+                width = [len(g[0]) for g in got]
+                columns = [pa.array(np.concatenate(c)) for c in list(zip(*got, strict=True))[:5]]
+                owner = [pa.array(np.repeat(np.array([g[j] for g in got]), width)) for j in (5, 6)]
+                yield pa.RecordBatch.from_arrays([*owner, *columns], names=ANCHOR)
+            if spans:
+                k, th, s, e = (np.array(c) for c in zip(*spans, strict=True))
+                none = pa.nulls(len(k), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(th), pa.array(s), none, pa.array(e), none, none], names=ANCHOR)
 
     return run
 
@@ -270,16 +293,19 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, group_row
     """``(k, th, spans)`` of the documents ``(k, th, text)`` with a byte string of ``length`` bytes that starts elsewhere too.
 
     Anchors whose hash is unique are dropped. Anchors with equal surroundings (all strings that they anchor) are
-    aggregated before the shuffle: two or more of them settle each other, and one stands for them
-    in the merge. So exact copies, however many, cost one row. The groups that are left are merged by sorted
+    aggregated, within each text and before the shuffle: two or more of them settle each other, and one stands for them
+    in the merge. So exact copies, however many, and periodic texts cost one row. The groups that are left are merged by sorted
     partitions, several groups in one pass and one group of at most ``group_rows`` anchors in one task; the strings
     of larger groups are settled one by one by an aggregation of their hashes, with partial sums.
     """
     n = parallelism(docs.sparkSession)
-    rows = checkpointed(docs.mapInArrow(_anchor_rows(length, gram), "k long, th long, place long, h long, u1 long, u2 long"))
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    found = checkpointed(docs.mapInArrow(_anchor_rows(length, gram), ", ".join(f"{c} long" for c in ANCHOR)))
+    own = found.where("h is null").select("k", "th", F.col("place").alias("s"), F.col("u1").alias("e"))
+    rows = found.where("h is not null")
+    # what is joined back by a key that may be frequent is written first: then both sides are plain shuffles, which Spark can split
+    often = checkpointed(rows.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
     rows = checkpointed(rows.join(often, "h"))
-    units = rows.groupBy("h", "u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "th", "place")).alias("at"))
+    units = checkpointed(rows.groupBy("h", "u1", "u2").agg(F.sum("times").alias("n"), F.min(F.struct("k", "th", "place")).alias("at")))
     mask = (1 << D_BITS) - 1
     p, lo, hi = F.shiftright("place", 2 * D_BITS), F.shiftright("place", D_BITS).bitwiseAND(F.lit(mask)), F.col("place").bitwiseAND(F.lit(mask))
     whole = rows.join(units.where("n > 1").select("h", "u1", "u2"), ["h", "u1", "u2"]).select("k", "th", (p - hi).alias("s"), (p - lo + length).alias("e"))
@@ -292,7 +318,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, group_row
         return met.mapInArrow(_contexts(length), "h long, k long, th long, place long, lefts binary, rights binary")
 
     merged = contexts(open_.where(~F.col("large"))).repartition(n, "h").sortWithinPartitions("h")
-    spans = whole.union(merged.mapInArrow(_merge(length, chunk_rows), "k long, th long, s long, e long"))
+    spans = own.union(whole).union(merged.mapInArrow(_merge(length, chunk_rows), "k long, th long, s long, e long"))
     if open_.where("large").limit(1).count():
         strings = checkpointed(contexts(open_.where("large")).mapInArrow(_strings(length), "k long, th long, u1 long, u2 long, s long"))
         twice = strings.groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u1", "u2")
