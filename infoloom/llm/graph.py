@@ -18,7 +18,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         out = edges
     else:
         out = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = out.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # written first, so that both sides of the join are plain shuffles
+    least = checkpointed(out.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
     met = out.join(least, "u")
     if small:
         new = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
