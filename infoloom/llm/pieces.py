@@ -31,8 +31,8 @@ FIRST = 259  # id of the first piece after the special and byte pieces
 SCALE = 300.0  # per character; cancels within a word, as all its segmentations have the same characters
 GAMMA = np.uint64(0x9E3779B97F4A7C15)
 MASK64 = (1 << 64) - 1
-FIELDS = ("first", "final", "length", "piece", "upto", "prob", "logp")
-STORE_EDGES = 3_000_000  # of the words whose lattices a worker keeps between batches (about 140 MB)
+FIELDS = ("first", "final", "length", "piece", "upto", "logp")
+STORE_EDGES = 1_500_000  # of the words whose lattices a worker keeps between batches (about 50 MB)
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,6 @@ class Lattices:
     length: np.ndarray  # characters that an edge covers
     piece: np.ndarray  # piece id, or -1 - code point where bytes are written
     upto: np.ndarray  # cumulative conditional probability within the node
-    prob: np.ndarray
     logp: np.ndarray
 
 
@@ -144,12 +143,13 @@ class Sampler:
         rare = bool(((col < 0) & (cls > 0)).any())
         end_of = np.repeat(ends, sizes + 1)
         total = len(cps)
-        src, wide, pid, weight = [], [], [], []
+        src, pid, weight = [], [], []
         inner = np.ones(total, bool)
         inner[ends] = False
         live = np.flatnonzero(inner)
         node = np.zeros(len(live), np.int64)
         table, columns = self.dense.ravel(), self.dense.shape[1]
+        several = np.zeros(total + 1, np.int64)  # edges of each node, counted one place on
         for step in range(self.longest):
             at = live + step
             c = col[at]
@@ -162,24 +162,30 @@ class Sampler:
                 single = np.zeros(len(live), bool)
                 single[ok] = self.piece_at[to[ok]] >= 0
                 bare = live[~single]
-                src.append(bare)
-                wide.append(np.ones(len(bare), np.int64))
                 cp = cps[bare].astype(np.int64)
+                src.append(bare)
                 pid.append(np.where(cp < 128, cp + 3, -1 - cp))
                 weight.append(np.full(len(bare), self.fallback * SCALE))
+                several[bare + 1] += 1
             if not len(ok):
                 break
             live, node = live[ok], to[ok].astype(np.int64)
             got = self.piece_at[node]
             done = np.flatnonzero(got >= 0)
-            src.append(live[done])
-            wide.append(np.full(len(done), step + 1, np.int64))
+            here = live[done]
+            src.append(here)
             pid.append(got[done])
             weight.append(self.weight_at[node[done]] * SCALE ** (step + 1))
-        source, length, piece, w = map(np.concatenate, (src, wide, pid, weight))
-        order = np.argsort(source, kind="stable")  # of a node, shorter edges first
-        source, length, piece, w = source[order], length[order], piece[order], w[order]
-        first = np.concatenate([[0], np.cumsum(np.bincount(source, minlength=total))])
+            several[here + 1] += 1
+        # edges in the order of their nodes, of a node shorter ones first: each goes straight to its place
+        first = np.cumsum(several)
+        free = first[:-1].copy()
+        edges = int(first[-1])
+        source, length, piece, w = np.empty(edges, np.int64), np.empty(edges, np.int16), np.empty(edges, np.int32), np.empty(edges)
+        for i, (here, p, x) in enumerate(zip(src, pid, weight, strict=True)):
+            to = free[here]
+            free[here] = to + 1
+            source[to], length[to], piece[to], w[to] = here, max(1, i), p, x
         mass = np.zeros(total)
         mass[ends] = 1.0
         prob = np.zeros(len(source))
@@ -201,18 +207,17 @@ class Sampler:
             prob[e] = part / np.repeat(sums, np.diff(np.append(begin, len(e))))
         for i in np.flatnonzero(sizes > SHORT):
             self._long(int(starts[i]), int(ends[i]), first, length, w, prob)
-        upto = np.cumsum(prob)
-        before = np.concatenate([[0.0], upto])[first[source]]
-        upto = upto - before
-        last = first[1:][np.diff(first) > 0] - 1
-        upto[last] = 2.0  # whatever the rounding, the last edge of a node ends it
+        run = np.concatenate([[0.0], np.cumsum(prob)])
+        upto = run[1:] - run[first[source]]
+        final = several[1:] == 0
+        upto[first[1:][~final] - 1] = 2.0  # whatever the rounding, the last edge of a node ends it
         with np.errstate(divide="ignore"):
-            return Lattices(first, np.diff(first) == 0, length, piece, upto, prob, np.log(prob)), starts
+            return Lattices(first, final, length, piece, upto, np.log(prob)), starts
 
     @staticmethod
     def _empty(nodes: int = 1 << 16, edges: int = 1 << 18) -> Lattices:
         return Lattices(
-            np.zeros(nodes + 1, np.int64), np.zeros(nodes, bool), np.zeros(edges, np.int64), np.zeros(edges, np.int64), np.zeros(edges), np.zeros(edges), np.zeros(edges)
+            np.zeros(nodes + 1, np.int64), np.zeros(nodes, bool), np.zeros(edges, np.int16), np.zeros(edges, np.int32), np.zeros(edges), np.zeros(edges)
         )
 
     def numbered(self, words: list[str]) -> tuple[Lattices, np.ndarray]:
@@ -230,7 +235,7 @@ class Sampler:
             nodes, edges = self.used
             more = (nodes + len(lat.final), edges + len(lat.length))
             if more[0] > len(self.store.final) or more[1] > len(self.store.length):
-                grown = self._empty(2 * more[0], 2 * more[1])
+                grown = self._empty(more[0] * 3 // 2, more[1] * 3 // 2)
                 for f in FIELDS:
                     old = getattr(self.store, f)
                     getattr(grown, f)[: len(old)] = old
@@ -290,12 +295,12 @@ class Sampler:
         out: list[int] = []
         rests = []
         for seq in banned:
-            p = lat.prob[list(seq)].tolist()
+            p = np.exp(lat.logp[list(seq)]).tolist()
             rests.append((seq, p, 0))
         step = 0
         a, b = lat.first[node : node + 2].tolist()
         while a < b:
-            q = lat.prob[a:b].tolist()
+            q = np.exp(lat.logp[a:b]).tolist()
             for seq, p, at in rests:
                 q[seq[at] - a] -= math.prod(p[at:])
             q = [x if x > 1e-13 else 0.0 for x in q]
@@ -379,43 +384,25 @@ def _bound(loc: np.ndarray, cap: np.ndarray | float, u: np.ndarray) -> np.ndarra
         return -np.logaddexp(-cap, np.log(-np.log(u)) - loc)
 
 
-def sample_batch(sampler: Sampler, keys: list[str], texts: list[str], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text, up to ``k`` distinct segmentations in falling perturbed order.
+class _Search:
+    """The agendas of a batch of documents. (A class, not closures that call themselves: those would outlive their batch.)"""
 
-    A segmentation is its piece ids, log-probability, perturbed log-probability, and log inclusion probability
-    against the next perturbed value (0 where every segmentation has been given).
-    """
-    words: list[str] = []
-    bounds = [0]
-    for t in texts:
-        if t:
-            words += WORD.findall(" " + t)
-        bounds.append(len(words))
-    out: list[list[tuple[np.ndarray, float, float, float]]] = [[] for _ in texts]
-    if not words:
-        for i in range(len(texts)):
-            out[i].append((np.zeros(0, np.int32), 0.0, 0.0, 0.0))
-        return out
-    lat, node = sampler.numbered(words)
-    ends = np.array(bounds, np.int64)
-    sizes = np.diff(ends)
-    seeds = np.array([xxhash.xxh3_64_intdigest(x) for x in keys], np.uint64)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(node)) - ends[:-1][doc]
-    base = mixed(seeds[doc] + GAMMA * (place.astype(np.uint64) + np.uint64(1)))
+    def __init__(self, sampler: Sampler, lat: Lattices, node: np.ndarray, base: np.ndarray, ends: np.ndarray) -> None:
+        self.sampler, self.lat, self.node, self.base, self.ends = sampler, lat, node, base, ends
 
-    def settle(todo: list[tuple[int, _Path]], paths: list[list[_Path]], sample: int) -> None:
+    def settle(self, todo: list[tuple[int, _Path]], paths: list[list[_Path]], sample: int) -> None:
         """Draw the words after the forks of all documents' new paths at once."""
+        lat, node, base, ends = self.lat, self.node, self.base, self.ends
         spans = [(int(ends[d]) + p.fork + 1, int(ends[d + 1])) for d, p in todo]
         width = np.array([b - a for a, b in spans], np.int64)
         begin = np.cumsum(width) - width
         at = np.arange(width.sum()) - np.repeat(begin, width) + np.repeat(np.array([a for a, _ in spans], np.int64), width)
-        edges, offsets, logp = sampler.draw(lat, node[at], base[at], sample)
+        edges, offsets, logp = self.sampler.draw(lat, node[at], base[at], sample)
         run = np.concatenate([[0.0], np.cumsum(logp)])
         head = np.zeros(len(todo))
         for i, (d, p) in enumerate(todo):
             if p.fork >= 0:
-                head[i] = prefix(paths[d], p.parent, p.fork) + float(lat.logp[list(p.own)].sum())
+                head[i] = self.prefix(paths[d], p.parent, p.fork) + float(lat.logp[list(p.own)].sum())
         which = np.repeat(np.arange(len(todo)), width)
         before = head[which] + run[:-1] - run[begin][which]
         rest = -np.expm1(logp)
@@ -430,6 +417,7 @@ def sample_batch(sampler: Sampler, keys: list[str], texts: list[str], k: int) ->
             p.edges = edges[offsets[a] : offsets[b]]
             p.logp = head[i] + float(run[b] - run[a])
 
+    @staticmethod
     def word_edges(paths: list[_Path], i: int, w: int) -> tuple[int, ...]:
         p = paths[i]
         while w < p.fork:
@@ -439,26 +427,27 @@ def sample_batch(sampler: Sampler, keys: list[str], texts: list[str], k: int) ->
         j = w - p.fork - 1
         return tuple(p.edges[p.offsets[j] : p.offsets[j + 1]].tolist())
 
-    def prefix(paths: list[_Path], i: int, w: int) -> float:
+    def prefix(self, paths: list[_Path], i: int, w: int) -> float:
         """Log-probability of the words before ``w`` on a path."""
         p, total = paths[i], 0.0
         while p.fork >= 0 and w <= p.fork:
             p = paths[p.parent]
         total = float(p.word_logp[: w - p.fork - 1].sum()) if w > p.fork else 0.0
         if p.fork >= 0:
-            total += float(lat.logp[list(p.own)].sum()) + prefix(paths, p.parent, p.fork)
+            total += float(self.lat.logp[list(p.own)].sum()) + self.prefix(paths, p.parent, p.fork)
         return total
 
-    def all_edges(paths: list[_Path], i: int, upto: int) -> list[np.ndarray]:
+    def all_edges(self, paths: list[_Path], i: int, upto: int) -> list[np.ndarray]:
         """Edges of the words before ``upto`` on a path."""
         p = paths[i]
         while p.fork >= 0 and upto <= p.fork:
             p = paths[p.parent]
         parts = []
         if p.fork >= 0:
-            parts = [*all_edges(paths, p.parent, p.fork), np.array(p.own, np.int64)]
+            parts = [*self.all_edges(paths, p.parent, p.fork), np.array(p.own, np.int64)]
         return [*parts, p.edges[: p.offsets[max(0, upto - p.fork - 1)]]]
 
+    @staticmethod
     def best(paths: list[_Path]) -> tuple[float, int, int, int]:
         """The largest value on a document's agenda: value, path, word, and which residue (-1: a fresh fork)."""
         top = (-np.inf, -1, -1, -1)
@@ -472,25 +461,52 @@ def sample_batch(sampler: Sampler, keys: list[str], texts: list[str], k: int) ->
                     top = (v, i, w, r)
         return top
 
+
+def sample_batch(sampler: Sampler, keys: list[str], texts: list[str], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each text, up to ``k`` distinct segmentations in falling perturbed order.
+
+    A segmentation is its piece ids, log-probability, perturbed log-probability, and log inclusion probability
+    against the next perturbed value (0 where every segmentation has been given).
+    """
+    words: list[str] = []
+    bounds = [0]
+    for t in texts:
+        if t:
+            words += WORD.findall(" " + t)
+        bounds.append(len(words))
+    out: list[list[tuple[np.ndarray, float, float, float]]] = [[] for _ in texts]
+    if not words:
+        for i in range(len(texts)):
+            out[i].append((np.zeros(0, np.int32), 0.0, 0.0, 0.0))
+        return out
+    lat, node = sampler.numbered(words)
+    ends = np.array(bounds, np.int64)
+    sizes = np.diff(ends)
+    seeds = np.array([xxhash.xxh3_64_intdigest(x) for x in keys], np.uint64)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(node)) - ends[:-1][doc]
+    base = mixed(seeds[doc] + GAMMA * (place.astype(np.uint64) + np.uint64(1)))
+
+    search = _Search(sampler, lat, node, base, ends)
     filled = [d for d in range(len(texts)) if sizes[d]]
     paths: list[list[_Path]] = [[] for _ in texts]
     roots = -np.log(-np.log(uniform(mixed(seeds), 0, 3_000_000)))
     todo = [(d, _Path(-1, -1, (), float(roots[d]))) for d in filled]
-    settle(todo, paths, 0)
+    search.settle(todo, paths, 0)
     for d, p in todo:
         paths[d].append(p)
     for sample in range(1, k):
         todo = []
         for d in filled:
             while len(paths[d]) == sample:
-                value, i, w, r = best(paths[d])
+                value, i, w, r = search.best(paths[d])
                 if value == -np.inf:
                     break
                 p = paths[d][i]
                 at = int(ends[d]) + w
                 if r < 0:
                     p.values[w - p.fork - 1] = -np.inf
-                    banned = [word_edges(paths[d], i, w)]
+                    banned = [search.word_edges(paths[d], i, w)]
                 else:
                     _, _, banned = p.residue.pop(r)
                 fresh = sampler.redraw(lat, int(node[at]), banned, int(base[at]), sample)
@@ -499,7 +515,7 @@ def sample_batch(sampler: Sampler, keys: list[str], texts: list[str], k: int) ->
                 banned = [*banned, fresh]
                 left = 1.0 - sum(float(np.exp(lat.logp[list(b)].sum())) for b in banned)
                 if left > 1e-12:
-                    loc = prefix(paths[d], i, w) + np.log(left)
+                    loc = search.prefix(paths[d], i, w) + np.log(left)
                     v = _bound(np.array([loc]), value, uniform(base[at : at + 1], sample, 2_500_000))
                     p.residue.append((float(v[0]), w, banned))
                 new = _Path(w, i, fresh, value)
@@ -507,16 +523,16 @@ def sample_batch(sampler: Sampler, keys: list[str], texts: list[str], k: int) ->
                 break
         if not todo:
             break
-        settle(todo, paths, sample)
+        search.settle(todo, paths, sample)
         for d, p in todo:
             paths[d].append(p)
     for d in range(len(texts)):
         if not sizes[d]:
             out[d].append((np.zeros(0, np.int32), 0.0, 0.0, 0.0))
             continue
-        kappa = best(paths[d])[0] if len(paths[d]) == k else -np.inf
+        kappa = search.best(paths[d])[0] if len(paths[d]) == k else -np.inf
         for i, p in enumerate(paths[d]):
-            ids = sampler.ids(lat, np.concatenate(all_edges(paths[d], i, int(sizes[d]))))
+            ids = sampler.ids(lat, np.concatenate(search.all_edges(paths[d], i, int(sizes[d]))))
             with np.errstate(divide="ignore", over="ignore"):
                 inclusion = 0.0 if kappa == -np.inf else float(np.log(-np.expm1(-np.exp(p.logp - kappa))))
             if inclusion == -np.inf:  # the exponential underflows; its argument is its own limit
@@ -537,7 +553,7 @@ def _sampler(vocabulary: Vocabulary) -> Sampler:
 
 
 def sample_encodings(
-    docs: DataFrame, model_path: str, k: int = 3, digest: bool = False, batch_chars: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model_path: str, k: int = 3, digest: bool = False, batch_chars: int = 300_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Distinct sampled segmentations of each text, without replacement: one row a document row and sample.
 
@@ -558,16 +574,17 @@ def sample_encodings(
         names = ["doc_id", "sample", "ids", "n_tokens", "log_prob", "perturbed", "log_inclusion", "decodes"]
         kind = pa.string() if digest else pa.list_(pa.int32())
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            keys = ["" if x is None else str(x) for x in batch.column(0).to_pylist()]
             a = 0
-            while a < len(texts):
-                b, chars = a, 0
-                while b < len(texts) and (b == a or chars + len(texts[b]) <= batch_chars):
-                    chars += len(texts[b])
-                    b += 1
+            while a < batch.num_rows:
+                texts, chars = [], 0
+                while a + len(texts) < batch.num_rows and (not texts or chars < batch_chars):
+                    texts.append(batch.column(1)[a + len(texts)].as_py() or "")
+                    chars += len(texts[-1])
+                own = batch.slice(a, len(texts))
+                a += len(texts)
+                keys = ["" if x is None else str(x) for x in own.column(0).to_pylist()]
                 who, rows = [], []
-                for i, found in enumerate(sample_batch(sampler, keys[a:b], texts[a:b], k), a):
+                for i, found in enumerate(sample_batch(sampler, keys, texts, k)):
                     raw = texts[i].encode()
                     for s, (ids, logp, value, inclusion) in enumerate(found):
                         who.append(i)
@@ -576,9 +593,8 @@ def sample_encodings(
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int32(), kind, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(who)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names
+                    [own.column(0).take(pa.array(who)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names
                 )
-                a = b
 
     id_type = docs.schema[id_col].dataType.simpleString()
     form = "string" if digest else "array<int>"
