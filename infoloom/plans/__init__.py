@@ -1 +1 @@
-"""plans."""
+"""Plan builders: series embedding and global ranks."""
