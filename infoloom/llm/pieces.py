@@ -10,9 +10,7 @@ exact bound and every pop leads to the next sample without waste.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,12 +23,12 @@ from pyspark.sql import functions as F
 from .near_dup import mixed
 
 SPACE = "▁"
-WORD = re.compile(r"\n| *[^ \n]+| +")
 SHORT = 48  # characters of a word up to which probabilities stay in range without rescaling
 FIRST = 259  # id of the first piece after the special and byte pieces
 SCALE = 300.0  # per character; cancels within a word, as all its segmentations have the same characters
 GAMMA = np.uint64(0x9E3779B97F4A7C15)
 MASK64 = (1 << 64) - 1
+BASE = np.uint64(0xD6E8FEB86659FD93)
 FIELDS = ("first", "final", "length", "piece", "upto", "logp")
 STORE_EDGES = 1_500_000  # of the words whose lattices a worker keeps between batches (about 50 MB)
 
@@ -60,14 +58,6 @@ def load(spark: SparkSession, path: str) -> Vocabulary:
     return Vocabulary(tuple(model.id_to_piece(i) for i in range(model.get_piece_size())))
 
 
-class _Numbers(dict):
-    """Numbers new keys in order as they are looked up."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 @dataclass
 class Lattices:
     """Edges of the lattices of distinct words. Nodes are characters, with one end node after each word."""
@@ -121,6 +111,7 @@ class Sampler:
         self.size = np.array([len(x) for x in written], np.int64)
         self.begin = np.cumsum(self.size) - self.size
         self._forget()
+        self.powers = np.multiply.accumulate(np.full(64, BASE))
 
     def _rare(self, node: np.ndarray, cls: np.ndarray) -> np.ndarray:
         """Transitions over characters outside the dense table."""
@@ -128,11 +119,12 @@ class Sampler:
         i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[i] == key, self.next[i], 0)
 
-    def lattices(self, words: list[str]) -> tuple[Lattices, np.ndarray]:
-        """Lattices of distinct words, and the first node of each."""
-        sizes = np.array(list(map(len, words)), np.int64)
+    def lattices(self, cps: np.ndarray, sizes: np.ndarray) -> tuple[Lattices, np.ndarray]:
+        """Lattices of distinct words, and the first node of each.
+
+        ``cps`` holds the words' code points with a place after each word for its end.
+        """
         starts = np.cumsum(sizes + 1) - sizes - 1
-        cps = np.frombuffer("\0".join(words).encode("utf-32-le") + b"\0\0\0\0", np.uint32)
         ends = starts + sizes
         # a space is written as the marker; the marker itself has no piece and goes as bytes
         cls = self.classes[cps]
@@ -220,18 +212,33 @@ class Sampler:
             np.zeros(nodes + 1, np.int64), np.zeros(nodes, bool), np.zeros(edges, np.int16), np.zeros(edges, np.int32), np.zeros(edges), np.zeros(edges)
         )
 
-    def numbered(self, words: list[str]) -> tuple[Lattices, np.ndarray]:
-        """Lattices that hold all the words, and the first node of each word.
+    def numbered(self, cps: np.ndarray, starts: np.ndarray) -> tuple[Lattices, np.ndarray]:
+        """Lattices that hold all the words that begin at ``starts``, and the first node of each.
 
-        Words of earlier batches are taken from the store, which starts anew when it is full and else grows by doubling.
+        Words are told apart by 64-bit hashes. Those of earlier batches are taken from the store, which starts anew
+        when it is full and else grows by half.
         """
         if self.used[1] > STORE_EDGES:
             self._forget()
-        known = self.known
-        size = len(known)
-        number = np.array(list(map(known.__getitem__, words)), np.int64)
-        if len(known) > size:
-            lat, starts = self.lattices(list(itertools.islice(known, size, None)))
+        sizes = np.diff(np.append(starts, len(cps)))
+        rel = np.arange(len(cps)) - np.repeat(starts, sizes)
+        if int(sizes.max()) > len(self.powers):
+            self.powers = np.multiply.accumulate(np.full(2 * int(sizes.max()), BASE))
+        hashes = mixed(np.add.reduceat((cps.astype(np.uint64) + np.uint64(1)) * self.powers[rel], starts) ^ sizes.astype(np.uint64))
+        kinds, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        node = np.full(len(kinds), -1, np.int64)
+        for have, at in self.known:
+            i = np.minimum(np.searchsorted(have, kinds), len(have) - 1)
+            met = have[i] == kinds
+            node[met] = at[i[met]]
+        new = np.flatnonzero(node < 0)
+        if len(new):
+            size = sizes[sample[new]]
+            begin = np.cumsum(size + 1) - size - 1
+            take = np.repeat(starts[sample[new]] - begin, size + 1) + np.arange(int(size.sum()) + len(size))
+            fresh = cps[np.minimum(take, len(cps) - 1)]
+            fresh[begin + size] = 0
+            lat, first = self.lattices(fresh, size)
             nodes, edges = self.used
             more = (nodes + len(lat.final), edges + len(lat.length))
             if more[0] > len(self.store.final) or more[1] > len(self.store.length):
@@ -244,13 +251,20 @@ class Sampler:
             self.store.final[nodes : more[0]] = lat.final
             for f in FIELDS[2:]:
                 getattr(self.store, f)[edges : more[1]] = getattr(lat, f)
-            self.store_first = np.concatenate([self.store_first, starts + nodes])
             self.used = more
-        return self.store, self.store_first[number]
+            node[new] = first + nodes
+            self.known.append((kinds[new], node[new]))
+            # sorted runs are merged as they come to be of like size, so there are few of them
+            while len(self.known) > 1 and len(self.known[-1][0]) * 2 > len(self.known[-2][0]):
+                (h2, n2), (h1, n1) = self.known.pop(), self.known.pop()
+                h, n = np.concatenate([h1, h2]), np.concatenate([n1, n2])
+                order = np.argsort(h, kind="stable")
+                self.known.append((h[order], n[order]))
+        return self.store, node[which]
 
     def _forget(self) -> None:
-        self.store, self.store_first, self.used = self._empty(), np.zeros(0, np.int64), (0, 0)
-        self.known = _Numbers()
+        self.store, self.used = self._empty(), (0, 0)
+        self.known: list[tuple[np.ndarray, np.ndarray]] = []
 
     @staticmethod
     def _long(start: int, end: int, first: np.ndarray, length: np.ndarray, w: np.ndarray, prob: np.ndarray) -> None:
@@ -348,6 +362,24 @@ class Sampler:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, each but an empty one after a space; where words begin; and each text's number of words.
+
+    A word takes the spaces before it; a line feed stands alone, and so do spaces before one or at the end.
+    """
+    full = [" " + t if t else "" for t in texts]
+    cps = np.frombuffer("".join(full).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(cps):
+        return cps, np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    upto = np.concatenate([[0], np.cumsum(np.array(list(map(len, full)), np.int64))])
+    line, space = cps == 10, cps == 32
+    begins = line.copy()
+    begins[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+    begins[upto[:-1][upto[:-1] < upto[1:]]] = True
+    starts = np.flatnonzero(begins)
+    return cps, starts, np.diff(np.searchsorted(starts, upto))
+
+
 def uniform_one(base: int, sample: int, step: int) -> float:
     """:func:`uniform` for a single number."""
     x = (base + int(GAMMA) * ((sample << 32) + step + 1 & 0xFFFFFFFFFFFF)) & MASK64
@@ -468,20 +500,14 @@ def sample_batch(sampler: Sampler, keys: list[str], texts: list[str], k: int) ->
     A segmentation is its piece ids, log-probability, perturbed log-probability, and log inclusion probability
     against the next perturbed value (0 where every segmentation has been given).
     """
-    words: list[str] = []
-    bounds = [0]
-    for t in texts:
-        if t:
-            words += WORD.findall(" " + t)
-        bounds.append(len(words))
+    cps, starts, sizes = split_words(texts)
     out: list[list[tuple[np.ndarray, float, float, float]]] = [[] for _ in texts]
-    if not words:
+    if not len(starts):
         for i in range(len(texts)):
             out[i].append((np.zeros(0, np.int32), 0.0, 0.0, 0.0))
         return out
-    lat, node = sampler.numbered(words)
-    ends = np.array(bounds, np.int64)
-    sizes = np.diff(ends)
+    lat, node = sampler.numbered(cps, starts)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
     seeds = np.array([xxhash.xxh3_64_intdigest(x) for x in keys], np.uint64)
     doc = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(len(node)) - ends[:-1][doc]
