@@ -45,7 +45,14 @@ def narrowed(df: DataFrame, group_by: Sequence[str], columns: Sequence[str]) ->
     groups = [f"_g{i}" for i in range(len(group_by))]
     names = {c: f"_s{i}" for i, c in enumerate(dict.fromkeys(columns))}
     out = df.select(*[F.col(_quoted(g)).alias(n) for g, n in zip(group_by, groups, strict=True)], *[F.col(_quoted(c)).alias(n) for c, n in names.items()])
-    return out.dropna(subset=list(names.values())) if names else out, groups, names
+    return complete(out, list(names.values())), groups, names
+
+
+def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without a null in the columns; NaN is a value like any other here."""
+    for c in columns:
+        df = df.where(F.col(_quoted(c)).isNotNull())
+    return df
 
 
 def _quoted(name: str) -> str:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core.validate import Variable, narrowed, renamed, unit, variable
+from ..core.validate import Variable, complete, narrowed, renamed, unit, variable
 from ..functions.special import EULER, digamma
 from . import nsb as _nsb
 
@@ -252,7 +252,7 @@ def local_terms(
     if est.name not in LOCAL:
         raise NotImplementedError(f"{est.name} has no local values")
     columns = list(dict.fromkeys(c for cols in terms for c in cols))
-    rows = df.dropna(subset=columns)
+    rows = complete(df, columns)
     rows = rows.select("*", *[F.col(c).alias(f"_s{i}") for i, c in enumerate(columns)], *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group_by)])
     rows = rows.withColumn("_local", F.lit(0.0))
     names = {c: f"_s{i}" for i, c in enumerate(columns)}

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core.validate import at_least
+from ..core.validate import at_least, complete
 from ..plans.series import Ordered
 
 
@@ -54,8 +54,8 @@ def symbolize(
 ) -> DataFrame:
     """Series and order columns and, for each column, ``<column>_pattern``: the pattern of the window that starts at the row.
 
-    A window is ``order`` values, ``delay`` rows apart. Rows too near the end of their series have none and are left out, and
-    rows with a null anywhere in a window too. ``tie_mode`` "strict3" compares strictly at order 3 and delay 1.
+    A window is ``order`` values, ``delay`` rows apart. Rows with a null go before windows are
+    formed; rows too near the end of their series have no window and are left out. ``tie_mode`` "strict3" compares strictly at order 3 and delay 1.
     """
     at_least("order", order, 1)
     at_least("delay", delay, 1)
@@ -65,7 +65,7 @@ def symbolize(
         raise ValueError(f"unknown tie_mode {tie_mode!r}")
     reach = (order - 1) * delay
     own = list(dict.fromkeys([*series_by, *order_by, *keep]))
-    rows = Ordered(df.select(*dict.fromkeys([*own, *columns])).dropna(subset=list(columns)), order_by, series_by, reach, blocked)
+    rows = Ordered(complete(df.select(*dict.fromkeys([*own, *columns])), columns), order_by, series_by, reach, blocked)
     leads = [rows.ahead(c, j * delay).alias(f"_w{i}_{j}") for i, c in enumerate(columns) for j in range(order)]
     last = rows.ahead("_t", reach).alias("_last")
     home = ["_home", "_block", "_rn"] if rows.blocked else []
