@@ -309,7 +309,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, group_row
     mask = (1 << D_BITS) - 1
     p, lo, hi = F.shiftright("place", 2 * D_BITS), F.shiftright("place", D_BITS).bitwiseAND(F.lit(mask)), F.col("place").bitwiseAND(F.lit(mask))
     whole = rows.join(units.where("n > 1").select("h", "u1", "u2"), ["h", "u1", "u2"]).select("k", "th", (p - hi).alias("s"), (p - lo + length).alias("e"))
-    kinds = units.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    kinds = checkpointed(units.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     open_ = checkpointed(units.join(kinds, "h").select("h", "at.*", (F.col("kinds") > group_rows).alias("large")))
 
     def contexts(anchors: DataFrame) -> DataFrame:
