@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, slices
+
 DIM = 512
 SLOTS = 64  # 0 stands for any run of non-letters
 SEED = 20_177
@@ -31,10 +33,11 @@ class Encoder:
 
     def __init__(self) -> None:
         self.slots = _slot_table()
-        letters = np.random.default_rng(SEED).integers(0, 2, (SLOTS, DIM)).astype(np.float32) * 2 - 1
+        letters = np.random.default_rng(SEED).integers(0, 2, (SLOTS, DIM)).astype(np.int8) * 2 - 1
         self.shifted = [np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters]
         self.row = np.full(SLOTS**3, -1, np.int32)
-        self.vectors = np.zeros((0, DIM), np.float32)
+        self.vectors = np.zeros((4096, DIM), np.int8)  # one byte a component: 134 MB if every trigram there can be occurs
+        self.bound = 0
 
     def grams(self, text: str) -> np.ndarray:
         """Trigram codes of a text, with runs of non-letters as one gap; empty if it has no letter."""
@@ -51,14 +54,20 @@ class Encoder:
         new = np.unique(codes[self.row[codes] < 0])
         if len(new):
             a, b, c = new // SLOTS**2, new // SLOTS % SLOTS, new % SLOTS
-            self.row[new] = np.arange(len(self.vectors), len(self.vectors) + len(new), dtype=np.int32)
-            self.vectors = np.concatenate([self.vectors, self.shifted[0][a] * self.shifted[1][b] * self.shifted[2][c]])
+            upto = self.bound + len(new)
+            if upto > len(self.vectors):
+                grown = np.zeros((min(SLOTS**3, upto * 3 // 2), DIM), np.int8)
+                grown[: self.bound] = self.vectors[: self.bound]
+                self.vectors = grown
+            self.row[new] = np.arange(self.bound, upto, dtype=np.int32)
+            self.vectors[self.bound : upto] = self.shifted[0][a] * self.shifted[1][b] * self.shifted[2][c]
+            self.bound = upto
         return self.row[codes]
 
     def bundle(self, codes: np.ndarray) -> np.ndarray:
         """The sum of the trigram vectors of a text."""
         kinds, counts = np.unique(self.rows(codes), return_counts=True)
-        return counts.astype(np.float64) @ self.vectors[kinds]
+        return (counts.astype(np.float32) @ self.vectors[kinds].astype(np.float32)).astype(np.float64)
 
 
 _ENCODER: Encoder | None = None
@@ -83,7 +92,7 @@ class Prototypes:
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coder = encoder()
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             codes = coder.grams(text)
             if len(codes):
@@ -94,11 +103,14 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, into in counts.items():
         kinds = np.flatnonzero(into)
         at = coder.rows(kinds)  # binds what is new, so before the vectors are read
-        total = into[kinds].astype(np.float64) @ coder.vectors[at].astype(np.float64)
+        total = np.zeros(DIM)
+        for a in range(0, len(at), 4096):
+            total += into[kinds[a : a + 4096]].astype(np.float64) @ coder.vectors[at[a : a + 4096]].astype(np.float64)
         yield pa.RecordBatch.from_arrays(
             [pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(np.rint(total).astype(np.int64))],
             names=["lang", "dim", "v"],
         )
+    release()
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Prototypes:
@@ -131,9 +143,9 @@ def predict(docs: DataFrame, model: Prototypes, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder()
-        for batch in batches:
+        for batch in slices(batches):
             pred, score = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in batch.column(at).to_pylist():
                 codes = coder.grams(text or "")
                 if not len(codes) or not langs:
                     pred.append("und")
@@ -149,9 +161,12 @@ def predict(docs: DataFrame, model: Prototypes, id_col: str = "doc_id", text_col
                 [*(batch.column(i) for i in range(len(names))), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
                 names=[*names, "lang_pred", "lang_score"],
             )
+        release()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*names, F.col(text_col).alias("_lang_text")).mapInArrow(run, f"{schema}, lang_pred string, lang_score double")
+    given = docs.select(*names) if text_col in names else docs.select(*names, F.col(text_col).alias("_lang_text"))
+    at = names.index(text_col) if text_col in names else len(names)
+    return given.mapInArrow(run, f"{schema}, lang_pred string, lang_score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release
 from .near_dup import mixed
 
 SPACE = "▁"
@@ -621,6 +622,7 @@ def sample_encodings(
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0).take(pa.array(who)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names
                 )
+        release()
 
     id_type = docs.schema[id_col].dataType.simpleString()
     form = "string" if digest else "array<int>"
