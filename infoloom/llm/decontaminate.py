@@ -39,16 +39,15 @@ def _fingerprints(df: DataFrame, k: int, window: int) -> DataFrame:
 
 def _starts(k: int, window: int) -> Column:
     """Starts of the windows around a shared k-gram in which document and item agree on every word."""
-    lead = F.least(F.col("pos"), F.lit(window - k))
+    lead, item_lead = F.least(F.col("pos"), F.lit(window - k)), F.least(F.col("item_pos"), F.lit(window - k))
 
     def agrees(o: Column) -> Column:
-        at = F.col("item_pos") - o
         return (
             (o <= lead)
-            & (at >= 0)
-            & (at + window <= F.size("item_words"))
+            & (o <= item_lead)
+            & (item_lead - o + window <= F.size("item_context"))
             & (lead - o + window <= F.size("context"))
-            & (F.slice("context", lead - o + 1, window) == F.slice("item_words", at + 1, window))
+            & (F.slice("context", lead - o + 1, window) == F.slice("item_context", item_lead - o + 1, window))
         )
 
     offsets = F.array(*[F.lit(o) for o in range(window - k + 1)])
@@ -60,7 +59,7 @@ def find_contamination(
     benchmark: DataFrame,
     window: int = 8,
     k: int = 4,
-    broadcast_rows: int = 2_000_000,
+    broadcast_rows: int = 200_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -73,8 +72,9 @@ def find_contamination(
     distinct ids of the items with an occurrence. Documents and items keep the smallest k-gram hash
     of each window, the kept hashes are joined, and each hit is extended to the windows around it, whose
     words are compared, so a shared window is never missed and a hash collision never counts.
-    The item side is broadcast if it has at most ``broadcast_rows`` fingerprints (they are counted first);
-    beyond that the same join is left to shuffle, with 12 words of context for each document fingerprint.
+    The item side is broadcast if it has at most ``broadcast_rows`` fingerprints (they are counted first), each with the
+    few words around it, so that a long item adds no more than its fingerprints; beyond that the same join is left to
+    shuffle, with as many words of context for each document fingerprint.
 
     Null and empty texts have no words; a null item id is not listed; repeated rows count each; an
     empty benchmark leaves every document clean; an empty document table gives an empty result.
@@ -89,11 +89,12 @@ def find_contamination(
     fits = (small.most or 0) + small.short <= broadcast_rows
     item_fps = _fingerprints(items.where(F.size("words") >= window), k, window).select(
         "item_id", F.col("words").alias("item_words"), F.explode_outer("fps").alias("_fp")  # an inner one would have its filter pushed below, with all it stands on
-    ).select(
+    )
+    item_fps = item_fps.withColumn("item_pos", F.col("_fp").bitwiseAND(F.lit(POS_MASK)).cast("int")).select(
         "item_id",
-        "item_words",
         F.shiftright("_fp", POS_BITS).alias("key"),
-        F.col("_fp").bitwiseAND(F.lit(POS_MASK)).cast("int").alias("item_pos"),
+        "item_pos",
+        F.slice("item_words", F.greatest(F.col("item_pos") - (window - k), F.lit(0)) + 1, F.lit(span)).alias("item_context"),
     )
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), words(F.col(text_col)).alias("words"))
     base = base.withColumn("_row", F.monotonically_increasing_id()).withColumn("n_words", F.size("words").cast("long"))
