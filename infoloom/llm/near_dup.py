@@ -208,14 +208,16 @@ def near_duplicates(
         .agg(F.min(F.struct("doc_id", "th")).alias("at"), F.max("n_shingles").alias("n_shingles"), F.max("minhash").alias("minhash"))
     )
     values = nodes.select("sig", F.posexplode("minhash").alias("g", "h"))
-    met = values.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # written before it is joined back: then both sides are plain shuffles, which Spark can split where a value is frequent
+    met = checkpointed(values.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     left = values.join(met, ["g", "h"]).groupBy("sig").agg(
         F.collect_list(F.when(F.col("g") < groups, F.struct("g", "h"))).alias("a"),
         F.collect_list(F.when(F.col("g") >= groups, F.struct("g", "h"))).alias("b"),
     )
     tables = left.select("sig", "b", F.explode("a").alias("x")).select("sig", "x", F.explode("b").alias("y"))
     tables = tables.select("sig", F.xxhash64("x.g", "x.h", "y.g", "y.h").alias("key"))
-    heads = tables.groupBy("key").agg(F.min("sig").alias("v"), F.max("sig").alias("_last")).where("v < _last").drop("_last")
+    tables = checkpointed(tables)
+    heads = checkpointed(tables.groupBy("key").agg(F.min("sig").alias("v"), F.max("sig").alias("_last")).where("v < _last").drop("_last"))
     candidates = tables.join(heads, "key").select(F.col("sig").alias("u"), "v").where("u != v")
     clusters = connected_components(candidates)
     clusters = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
