@@ -17,10 +17,11 @@ ATTRS = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "head"}
 APART = {"nav", "aside", "footer", "form", "button", "select", "dialog", "menu"}
 UNLIKE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|alert|popup|modal|sidebar|side|widget|nav\w*|menu|"
-    r"breadcrumbs?|header|masthead|footer|comments?|replies|respond|disqus|share|social|related|newsletter|subscribe|login|pagination|pager)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookie\w*|consent|notice|alert|popup|modal|sidebar|side|widget|nav\w*|menu|"
+    r"breadcrumbs?|footer|comments?|replies|respond|disqus|share|social|related|newsletter|subscribe|login|pagination|pager)(?=$|[\s_-])",
     re.I,
 )
+HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|banner)(?=$|[\s_-])", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
@@ -100,7 +101,9 @@ def blocks(page: str) -> Iterator[Block]:
             article = name in ("article", "main")
             names = " ".join(x[1] or x[2] or x[3] for x in ATTRS.findall(m.group(3)) if x[0].lower() != "hidden")
             unlike = bool(names) and name not in ("html", "body", "article", "main", *INLINE) and bool(UNLIKE.search(names))
-            apart = name in APART or unlike or name == "header" and not any(x[2] for x in stack)
+            outside = not any(x[2] for x in stack)  # an article may have a header of its own, with its heading
+            heading = name == "header" or bool(names) and name not in ("html", "body", "article", "main", *INLINE) and bool(HEAD.search(names))
+            apart = name in APART or unlike or heading and outside
             stack.append((name, apart, article))
     if block is not None:
         yield block
