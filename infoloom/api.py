@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from .core.validate import Variable, variable
 from .operators import discrete, kernel, knn
+from .operators.grouped import grouped_entropy
 from .operators.ordinal import symbolize
 from .plans.series import embedded
 
@@ -39,6 +40,8 @@ def entropy(df: DataFrame, x: Variable, approach: str = "discrete", **params) ->
     if approach == "ordinal":
         frame, (p,), rest = _patterns(df, [x], params, params.get("group_by", ()))
         return discrete.entropy(frame, p, **rest)
+    if params.get("group_by"):
+        return grouped_entropy(df, x, params.pop("group_by"), approach, **params)
     if approach == "kernel":
         return kernel.entropy(df, x, **params)
     if approach in SIGNED:

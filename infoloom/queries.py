@@ -355,8 +355,8 @@ def _part(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _vectors(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(4)])
+def _vectors(s: SparkSession, d: str, *more: str) -> DataFrame:
+    return s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", *more, *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(4)])
 
 
 VECTORS = "(select vec_id as id, " + ", ".join(f"cast(embedding[{i + 1}] as double) as v{i}" for i in range(4)) + " from embeddings)"
@@ -458,6 +458,19 @@ def _register_knn() -> None:
             f"with {sql_knn(VECTORS, v, 4, metric)} {sql_kl(4, 4, volume)}",
         )
     add("kl_entropy_1d_type2", lambda s, d: rounded(api.entropy(_vectors(s, d), "v0", "kl", k=3, variant=2)), f"with {sql_knn(VECTORS, ['v0'], 3, 'chebyshev')} {sql_kl(1, 3, 1.0, 2)}")
+    by_label = f"pts as (select vec_id as id, label, cast(embedding[1] as double) as v0 from embeddings)"
+    near = f"{by_label}, r as (select label, rho from (select a.label, a.id, abs(a.v0-b.v0) as rho, row_number() over (partition by a.id order by abs(a.v0-b.v0)) as rk from pts a join pts b using (label)) where rk = 4)"
+    add(
+        "kl_entropy_grouped",
+        lambda s, d: rounded(api.entropy(_vectors(s, d, "label"), "v0", "kl", k=3, group_by=["label"]), "label"),
+        f"with {near} {sql_kl(1, 3, 1.0).replace('select round', 'select label, round')} group by label",
+    )
+    add(
+        "box_entropy_grouped",
+        lambda s, d: rounded(api.entropy(_vectors(s, d, "label"), "v0", "kernel", bandwidth=0.1, group_by=["label"]), "label"),
+        f"""with {by_label}, d as (select label, a.id, sum(case when abs(a.v0-b.v0) <= 0.05 + 1e-15 then 1.0 else 0 end)/(count(*)*0.1) as d from pts a join pts b using (label) group by label, a.id)
+select label, round(-avg(ln(d)), {DIGITS}) + 0.0 as value, count(*) as n from d group by label""",
+    )
     for order in (0.6, 1.0, 1.2, 1.8):
         d, k, vol = 2, 4, math.pi
         if order == 1.0:

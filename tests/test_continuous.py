@@ -110,3 +110,18 @@ def test_errors_and_missing_values(spark, line):
     odd = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (2.0,)], "x double")
     assert il.entropy(odd, "x", "kernel").first().n == 2
     assert il.entropy(odd.where("x = 1"), "x", "kl").first().value == 0.0
+
+
+@pytest.mark.parametrize("limit", [20_000, 30])
+def test_grouped(cloud, limit, monkeypatch):
+    from infoloom.operators import grouped
+
+    monkeypatch.setattr(grouped, "GROUP_POINTS", limit)
+    _, df = cloud
+    both = df.distinct().withColumn("g", (F.xxhash64("a") % 2 == 0).cast("string")).cache()
+    kinds = [("kernel", {"bandwidth": 0.7}), ("kernel", {"kernel": "gaussian", "bandwidth": 0.5}), ("kl", {"k": 3, "variant": 2}), ("renyi", {"alpha": 1.2}), ("tsallis", {"q": 0.6})]
+    for approach, params in kinds[:3] if limit == 30 else kinds:
+        got = {r.g: (r.value, r.n) for r in il.entropy(both, ["a", "b"], approach, group_by=["g"], **params).collect()}
+        for g in ("true", "false"):
+            want = il.entropy(both.where(F.col("g") == g), ["a", "b"], approach, **params).first()
+            assert got[g] == (pytest.approx(want.value), want.n)
