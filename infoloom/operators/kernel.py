@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core.validate import Variable, positive, unit, variable
-from .neighbors import kernel_sums, points, rank_counts
+from .neighbors import Kernel, every_row, kernel_sums, points, rank_counts
 
 KERNELS = ("box", "gaussian")
 EDGE = 1e-15
@@ -22,79 +22,73 @@ def _checked(kernel: str, bandwidth: float) -> None:
     positive("bandwidth", bandwidth)
 
 
-class _Whitened:
-    """A Gaussian kernel of a subspace: the inverse Cholesky factor of its scaled covariance, and its norm."""
-
-    def __init__(self, cov: np.ndarray, bandwidth: float, n: int) -> None:
-        lower = np.linalg.cholesky(cov * bandwidth**2)
-        dim = len(cov)
-        self.inverse = np.linalg.inv(lower)
-        self.scale = 1.0 / (n * (2 * math.pi) ** (dim / 2) * float(np.prod(np.diag(lower))))
-        self.cut = 64.0 if n <= 5000 else 36.0  # squared whitened distance beyond which pairs count nothing
-
-
-def _moments(data: DataFrame, dim: int) -> tuple[int, np.ndarray]:
-    """Number of points and their sample covariance, by one aggregation."""
-    cols = [F.count(F.lit(1)).alias("n")]
-    cols += [F.covar_samp(F.col("_x")[i], F.col("_x")[j]).alias(f"c{i}_{j}") for i in range(dim) for j in range(i, dim)]
-    r = data.agg(*cols).first()
-    cov = np.zeros((dim, dim))
-    for i in range(dim):
-        for j in range(i, dim):
-            cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] if r[f"c{i}_{j}"] is not None else math.nan
-    return r.n, cov
+def _moments(data: DataFrame, dim: int, spread: bool) -> tuple[int, np.ndarray]:
+    """Number of rows behind the points and, with ``spread``, their sample covariance, by two aggregations."""
+    w = F.col("_w")
+    mean = data.agg(F.coalesce(F.sum(w), F.lit(0)).alias("n"), *[(F.sum(w * F.col("_x")[i]) / F.sum(w)).alias(f"m{i}") for i in range(dim)]).first()
+    cov = np.full((dim, dim), np.nan)
+    if spread and mean.n > 1:
+        off = [F.col("_x")[i] - mean[f"m{i}"] for i in range(dim)]
+        r = data.agg(*[F.sum(w * off[i] * off[j]).alias(f"c{i}_{j}") for i in range(dim) for j in range(i, dim)]).first()
+        for i in range(dim):
+            for j in range(i, dim):
+                cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] / (mean.n - 1)
+    return mean.n, cov
 
 
 def densities(queries: DataFrame, data: DataFrame, dim: int, subspaces: dict[str, Sequence[int]], kernel: str, bandwidth: float) -> DataFrame:
-    """Density of the data at each query in each subspace, all from one pass over pairs: ``_id, _x`` and a column each."""
-    n, cov = _moments(data, dim)
+    """Density of the data at each query in each subspace: ``_id, _x, _w`` and a column each.
+
+    A Gaussian kernel is taken in coordinates in which a subspace's scaled covariance is the identity.
+    """
+    n, cov = _moments(data, dim, kernel == "gaussian")
+    radius = bandwidth / 2 + EDGE
     if kernel == "box":
         if dim == 1 and len(subspaces) == 1:
             (name,) = subspaces
-            found = rank_counts(data, bandwidth / 2 + EDGE, None if queries is data else queries)
-            return found.select("_id", "_x", (F.col("_cnt") / (n * bandwidth)).alias(name))
-        scales = {s: 1.0 / (n * bandwidth ** len(dims)) for s, dims in subspaces.items()}
-
-        def compute(x: np.ndarray, _: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-            near = [np.abs(x[:, None, k] - y[None, :, k]) <= bandwidth / 2 + EDGE for k in range(dim)]
-            return {s: np.logical_and.reduce([near[k] for k in dims]).sum(axis=1) * scales[s] for s, dims in subspaces.items()}
+            return rank_counts(data, radius, None if queries is data else queries).select("_id", "_x", "_w", (F.col("_cnt") / (n * bandwidth)).alias(name))
+        kernels = {s: Kernel(dims, math.inf, radius) for s, dims in subspaces.items()}
+        scales = {s: n * bandwidth ** len(dims) for s, dims in subspaces.items()}
     else:
-        kernels = {s: _Whitened(cov[np.ix_(dims, dims)], bandwidth, n) for s, dims in subspaces.items()}
-
-        def compute(x: np.ndarray, _: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-            out = {}
-            for s, dims in subspaces.items():
-                w = kernels[s]
-                a, b = x[:, list(dims)] @ w.inverse.T, y[:, list(dims)] @ w.inverse.T
-                d = np.zeros((len(a), len(b)))
-                for k in range(len(dims)):
-                    d += (a[:, None, k] - b[None, :, k]) ** 2
-                out[s] = np.where(d <= w.cut, np.exp(-0.5 * d), 0.0).sum(axis=1) * w.scale
-            return out
-
-    return kernel_sums(queries, data, compute, list(subspaces))
+        kernels, scales = {}, {}
+        cut = 64.0 if n <= 5000 else 36.0  # squared distance beyond which pairs count nothing
+        for s, dims in subspaces.items():
+            lower = np.linalg.cholesky(cov[np.ix_(dims, dims)] * bandwidth**2)
+            kernels[s] = Kernel(dims, 2.0, math.sqrt(cut), lambda d: np.exp(-0.5 * d * d), np.linalg.inv(lower))
+            scales[s] = n * (2 * math.pi) ** (len(dims) / 2) * float(np.prod(np.diag(lower)))
+    found = kernel_sums(queries, data, kernels)
+    return found.select("_id", "_x", "_w", *[(F.col(s) / c).alias(s) for s, c in scales.items()])
 
 
 def _ln(c: str) -> Column:
     return F.when(F.col(c) > 0, F.log(F.col(c))).otherwise(0.0)
 
 
-def local_entropy(df: DataFrame, x: Variable, kernel: str = "box", bandwidth: float = 1.0, base: float = math.e) -> DataFrame:
-    """``-ln`` of the density at each point (0 where it is 0): ``local_value``, a row for each complete row."""
+def _entropy_terms(df: DataFrame, x: Variable, kernel: str, bandwidth: float, base: float) -> DataFrame:
     _checked(kernel, bandwidth)
     cols = variable(x)
     data = points(df, cols)
     found = densities(data, data, len(cols), {"d": range(len(cols))}, kernel, bandwidth)
-    return found.select((-_ln("d") / unit(base)).alias("local_value"))
+    return found.select("_w", (-_ln("d") / unit(base)).alias("local_value"))
+
+
+def local_entropy(df: DataFrame, x: Variable, kernel: str = "box", bandwidth: float = 1.0, base: float = math.e) -> DataFrame:
+    """``-ln`` of the density at each point (0 where it is 0): ``local_value``, a row for each complete row."""
+    return _rows(_entropy_terms(df, x, kernel, bandwidth, base))
 
 
 def entropy(df: DataFrame, x: Variable, kernel: str = "box", bandwidth: float = 1.0, base: float = math.e) -> DataFrame:
     """Mean of the local values: ``value, n``."""
-    return _mean(local_entropy(df, x, kernel, bandwidth, base))
+    return _mean(_entropy_terms(df, x, kernel, bandwidth, base))
+
 
+def _rows(terms: DataFrame) -> DataFrame:
+    return every_row(terms).select("local_value")
 
-def _mean(local: DataFrame) -> DataFrame:
-    return local.agg(F.coalesce(F.avg("local_value"), F.lit(0.0)).alias("value"), F.count(F.lit(1)).alias("n"))
+
+def _mean(terms: DataFrame) -> DataFrame:
+    n = F.coalesce(F.sum("_w"), F.lit(0).cast("long"))
+    return terms.agg(F.coalesce(F.sum(F.col("_w") * F.col("local_value")) / F.sum("_w"), F.lit(0.0)).alias("value"), n.alias("n"))
 
 
 def cross_entropy(p: DataFrame, q: DataFrame, x: Variable, kernel: str = "box", bandwidth: float = 1.0, base: float = math.e) -> DataFrame:
@@ -103,7 +97,7 @@ def cross_entropy(p: DataFrame, q: DataFrame, x: Variable, kernel: str = "box",
     cols = variable(x)
     a, b = points(p, cols), points(q, cols)
     found = densities(a, b, len(cols), {"d": range(len(cols))}, kernel, bandwidth)
-    return _mean(found.select((-_ln("d") / unit(base)).alias("local_value")))
+    return _mean(found.select("_w", (-_ln("d") / unit(base)).alias("local_value")))
 
 
 def _layout(parts: Sequence[Variable]) -> tuple[list[str], list[list[int]]]:
@@ -114,33 +108,41 @@ def _layout(parts: Sequence[Variable]) -> tuple[list[str], list[list[int]]]:
     return cols, where
 
 
-def local_mutual_information(df: DataFrame, variables: Sequence[Variable], kernel: str = "box", bandwidth: float = 1.0, base: float = math.e) -> DataFrame:
-    """``ln`` of the joint density over the product of the marginal ones; zero marginals are passed over, a zero joint gives 0."""
+def _information_terms(df: DataFrame, variables: Sequence[Variable], kernel: str, bandwidth: float, base: float) -> DataFrame:
     _checked(kernel, bandwidth)
     cols, where = _layout(variables)
     spaces = {"joint": list(range(len(cols)))} | {f"m{i}": w for i, w in enumerate(where)}
     data = points(df, cols)
     found = densities(data, data, len(cols), spaces, kernel, bandwidth)
     value = _ln("joint") - sum((_ln(f"m{i}") for i in range(len(where))), F.lit(0.0))
-    return found.select((F.when(F.col("joint") > 0, value).otherwise(0.0) / unit(base)).alias("local_value"))
+    return found.select("_w", (F.when(F.col("joint") > 0, value).otherwise(0.0) / unit(base)).alias("local_value"))
+
+
+def local_mutual_information(df: DataFrame, variables: Sequence[Variable], kernel: str = "box", bandwidth: float = 1.0, base: float = math.e) -> DataFrame:
+    """``ln`` of the joint density over the product of the marginal ones; zero marginals are passed over, a zero joint gives 0."""
+    return _rows(_information_terms(df, variables, kernel, bandwidth, base))
 
 
 def mutual_information(df: DataFrame, variables: Sequence[Variable], kernel: str = "box", bandwidth: float = 1.0, base: float = math.e) -> DataFrame:
-    return _mean(local_mutual_information(df, variables, kernel, bandwidth, base))
+    return _mean(_information_terms(df, variables, kernel, bandwidth, base))
 
 
-def local_conditional_mutual_information(
-    df: DataFrame, x: Variable, y: Variable, given: Variable, kernel: str = "box", bandwidth: float = 1.0, base: float = math.e
-) -> DataFrame:
-    """``ln( d(x,y,z) d(z) / (d(x,z) d(y,z)) )``, 0 where any density is 0."""
+def _conditional_terms(df: DataFrame, x: Variable, y: Variable, given: Variable, kernel: str, bandwidth: float, base: float) -> DataFrame:
     _checked(kernel, bandwidth)
     cols, (wx, wy, wz) = _layout([x, y, given])
     data = points(df, cols)
     spaces = {"xyz": list(range(len(cols))), "z": wz, "xz": wx + wz, "yz": wy + wz}
     found = densities(data, data, len(cols), spaces, kernel, bandwidth)
     ok = (F.col("xyz") > 0) & (F.col("z") > 0) & (F.col("xz") > 0) & (F.col("yz") > 0)
-    return found.select((F.when(ok, _ln("xyz") + _ln("z") - _ln("xz") - _ln("yz")).otherwise(0.0) / unit(base)).alias("local_value"))
+    return found.select("_w", (F.when(ok, _ln("xyz") + _ln("z") - _ln("xz") - _ln("yz")).otherwise(0.0) / unit(base)).alias("local_value"))
+
+
+def local_conditional_mutual_information(
+    df: DataFrame, x: Variable, y: Variable, given: Variable, kernel: str = "box", bandwidth: float = 1.0, base: float = math.e
+) -> DataFrame:
+    """``ln( d(x,y,z) d(z) / (d(x,z) d(y,z)) )``, 0 where any density is 0."""
+    return _rows(_conditional_terms(df, x, y, given, kernel, bandwidth, base))
 
 
 def conditional_mutual_information(df: DataFrame, x: Variable, y: Variable, given: Variable, kernel: str = "box", bandwidth: float = 1.0, base: float = math.e) -> DataFrame:
-    return _mean(local_conditional_mutual_information(df, x, y, given, kernel, bandwidth, base))
+    return _mean(_conditional_terms(df, x, y, given, kernel, bandwidth, base))

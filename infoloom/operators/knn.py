@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..core.validate import Variable, at_least, positive, unit, variable
 from ..functions.special import digamma, digamma_value, unit_ball_volume
-from .neighbors import kth_distance, points, range_counts
+from .neighbors import every_row, kth_distance, points, range_counts, total
 
 METRICS = {"chebyshev": math.inf, "euclidean": 2.0, "manhattan": 1.0}
 
@@ -33,10 +33,22 @@ def noisy(df: DataFrame, columns: Sequence[str], noise: float, seed: int) -> Dat
     return df.select(*[(F.col(c) + noise * F.randn(seed + i)).alias(c) if c in columns else F.col(c) for i, c in enumerate(df.columns)])
 
 
-def _radii(df: DataFrame, cols: Sequence[str], k: int, p: float, other: DataFrame | None = None) -> DataFrame:
+def _radii(df: DataFrame, cols: Sequence[str], k: int, p: float, other: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Distinct points with their radii ``_rho`` and numbers of rows ``_w``, and the points that were searched."""
     at_least("k", k, 1)
     mine = points(df, cols)
-    return kth_distance(mine, mine if other is None else points(other, cols), k, p, other is None)
+    data = mine if other is None else points(other, cols)
+    return kth_distance(mine, data, k, p, other is None), data
+
+
+def _rows() -> Column:
+    return F.coalesce(F.sum("_w"), F.lit(0).cast("long"))
+
+
+def _mean_log(factor: float = 1.0) -> Column:
+    """Mean over rows of the log of positive radii times a factor; 0 if there is none."""
+    some = F.col("_rho") > 0
+    return F.coalesce(F.sum(F.when(some, F.col("_w") * F.log(factor * F.col("_rho")))) / F.sum(F.when(some, F.col("_w"))), F.lit(0.0))
 
 
 def kl_entropy(
@@ -48,52 +60,51 @@ def kl_entropy(
     if df.limit(2).count() < 2:
         return df.agg(F.lit(0.0).alias("value"), F.count(F.lit(1)).alias("n"))
     d = len(cols)
-    found = _radii(df, cols, k, p)
-    n = F.count(F.lit(1))
+    found, _ = _radii(df, cols, k, p)
+    n = _rows()
     fixed = -digamma_value(k) + (1 / k if variant == 2 else 0.0) + math.log(unit_ball_volume(d, p, 0.5))
-    value = digamma(n) + fixed + d * F.coalesce(F.avg(F.when(F.col("_rho") > 0, F.log(2 * F.col("_rho")))), F.lit(0.0))
+    value = digamma(n) + fixed + d * _mean_log(2.0)
     return found.agg((value / unit(base)).alias("value"), n.alias("n"))
 
 
 def kl_local_entropy(df: DataFrame, x: Variable, k: int = 4, variant: int = 1, metric: str | float = "chebyshev", base: float = math.e) -> DataFrame:
     """Per-point terms, ``local_value``; a point with a zero radius keeps the constant alone."""
     cols, p = variable(x), norm(metric)
-    found = _radii(df.select(*dict.fromkeys(cols)), cols, k, p)
-    n = found.count()
+    found, data = _radii(df.select(*dict.fromkeys(cols)), cols, k, p)
+    n = total(data)
     fixed = digamma_value(n) - digamma_value(k) + (1 / k if variant == 2 else 0.0) + math.log(unit_ball_volume(len(cols), p, 0.5))
     term = fixed + len(cols) * F.when(F.col("_rho") > 0, F.log(2 * F.col("_rho"))).otherwise(0.0)
-    return found.select((term / unit(base)).alias("local_value"))
+    return every_row(found.select("_w", (term / unit(base)).alias("local_value"))).select("local_value")
 
 
 def kl_cross_entropy(p: DataFrame, q: DataFrame, x: Variable, k: int = 4, variant: int = 1, metric: str | float = "chebyshev", base: float = math.e) -> DataFrame:
     """``H_Q(P)`` from distances of P's points to their k-th nearest of Q."""
     cols, power = variable(x), norm(metric)
-    found = _radii(p, cols, k, power, q)
-    m = q.select(*dict.fromkeys(cols)).dropna().count()
+    found, data = _radii(p, cols, k, power, q)
+    m = total(data)
     d = len(cols)
     fixed = -digamma_value(k) + (1 / k if variant == 2 else 0.0) + digamma_value(m) + math.log(unit_ball_volume(d, power, 0.5)) + d * math.log(2)
-    mean = F.coalesce(F.avg(F.when(F.col("_rho") > 0, F.log("_rho"))), F.lit(0.0))
-    return found.agg(((fixed + d * mean) / unit(base)).alias("value"), F.count(F.lit(1)).alias("n"))
+    return found.agg(((fixed + d * _mean_log()) / unit(base)).alias("value"), _rows().alias("n"))
 
 
 def _order_value(found: DataFrame, d: int, k: int, order: float, kind: str, base: float) -> DataFrame:
     """Rényi or Tsallis entropy from radii; the number of radii stands for the number of samples."""
-    n, ln = F.count(F.lit(1)).cast("double"), unit(base)
-    rho, volume = F.col("_rho"), unit_ball_volume(d, 2.0, 1.0)
+    n, ln = _rows().cast("double"), unit(base)
+    rho, w, volume = F.col("_rho"), F.col("_w"), unit_ball_volume(d, 2.0, 1.0)
     if abs(order - 1) < 1e-12:
-        total = F.coalesce(F.sum(F.when(rho > 0, F.log(rho))), F.lit(0.0))
+        total = F.coalesce(F.sum(F.when(rho > 0, w * F.log(rho))), F.lit(0.0))
         value: Column = (d * total + n * F.log((n - 1) * (math.exp(-digamma_value(k)) * volume))) / (n * ln)
     elif abs(order - (k + 1)) < 1e-12:
         value = F.lit(0.0)
     else:
         c = (math.gamma(k) / math.gamma(k + 1 - order)) ** (1 / (1 - order)) if math.gamma(k + 1 - order) > 0 else math.nan
-        total = F.coalesce(F.sum(F.when(rho > 0, F.pow(rho, F.lit(d * (1 - order))))), F.lit(0.0))
+        total = F.coalesce(F.sum(F.when(rho > 0, w * F.pow(rho, F.lit(d * (1 - order))))), F.lit(0.0))
         integral = F.pow((n - 1) * (c * volume), F.lit(1 - order)) * total / n
         if kind == "renyi":
             value = F.when(integral > 0, F.log(integral) / ((1 - order) * ln)).otherwise(0.0)
         else:
             value = (integral - 1) / (1 - order)
-    return found.agg(value.alias("value"), F.count(F.lit(1)).alias("n"))
+    return found.agg(value.alias("value"), _rows().alias("n"))
 
 
 def renyi_entropy(df: DataFrame, x: Variable, alpha: float, k: int = 4, base: float = math.e, noise: float = 0.0, seed: int = 0) -> DataFrame:
@@ -101,7 +112,7 @@ def renyi_entropy(df: DataFrame, x: Variable, alpha: float, k: int = 4, base: fl
     positive("alpha", alpha)
     cols = variable(x)
     df = noisy(df.select(*dict.fromkeys(cols)), cols, noise, seed)
-    return _order_value(_radii(df, cols, k, 2.0), len(cols), k, alpha, "renyi", base)
+    return _order_value(_radii(df, cols, k, 2.0)[0], len(cols), k, alpha, "renyi", base)
 
 
 def tsallis_entropy(df: DataFrame, x: Variable, q: float, k: int = 4, base: float = math.e, noise: float = 0.0, seed: int = 0) -> DataFrame:
@@ -109,21 +120,21 @@ def tsallis_entropy(df: DataFrame, x: Variable, q: float, k: int = 4, base: floa
     positive("q", q)
     cols = variable(x)
     df = noisy(df.select(*dict.fromkeys(cols)), cols, noise, seed)
-    return _order_value(_radii(df, cols, k, 2.0), len(cols), k, q, "tsallis", base)
+    return _order_value(_radii(df, cols, k, 2.0)[0], len(cols), k, q, "tsallis", base)
 
 
 def renyi_cross_entropy(p: DataFrame, q: DataFrame, x: Variable, alpha: float, k: int = 4, base: float = math.e) -> DataFrame:
     """Rényi cross-entropy; the sample count is P's."""
     positive("alpha", alpha)
     cols = variable(x)
-    return _order_value(_radii(p, cols, k, 2.0, q), len(cols), k, alpha, "renyi", base)
+    return _order_value(_radii(p, cols, k, 2.0, q)[0], len(cols), k, alpha, "renyi", base)
 
 
 def tsallis_cross_entropy(p: DataFrame, other: DataFrame, x: Variable, q: float, k: int = 4, base: float = math.e) -> DataFrame:
     """Tsallis cross-entropy; the sample count is P's."""
     positive("q", q)
     cols = variable(x)
-    return _order_value(_radii(p, cols, k, 2.0, other), len(cols), k, q, "tsallis", base)
+    return _order_value(_radii(p, cols, k, 2.0, other)[0], len(cols), k, q, "tsallis", base)
 
 
 def signed_sum(df: DataFrame, terms: dict[tuple[str, ...], float], approach: str, noise: float = 0.0, seed: int = 0, **params) -> DataFrame:
@@ -142,7 +153,7 @@ def signed_sum(df: DataFrame, terms: dict[tuple[str, ...], float], approach: str
     return out.agg(F.sum("v").alias("value"), F.max("m").alias("n"))
 
 
-def ksg_local(
+def _ksg_terms(
     df: DataFrame,
     variables: Sequence[Variable],
     given: Variable | None = None,
@@ -153,11 +164,6 @@ def ksg_local(
     noise: float = 0.0,
     seed: int = 0,
 ) -> DataFrame:
-    """KSG terms of each point, ``local_value``, for (conditional) mutual information.
-
-    Variant 1 counts points strictly nearer than the k-th joint neighbour, the point itself not; variant 2 those at most
-    as far, itself included.
-    """
     if variant not in (1, 2):
         raise ValueError("variant must be 1 or 2")
     if given is not None and len(variables) != 2:
@@ -185,13 +191,23 @@ def ksg_local(
 
     fixed = digamma_value(k) - (1 / k if variant == 2 else 0.0)
     if given is None:
-        n = data.count()
+        n = total(data)
         term = F.lit(fixed + (len(variables) - 1) * digamma_value(n)) - sum((psi(s) for s in spaces), F.lit(0.0))
     else:
         term = F.lit(fixed) + psi("_nz") - psi("_n0") - psi("_n1")
-    return found.select((term / unit(base)).alias("local_value"))
+    return found.select("_w", (term / unit(base)).alias("local_value"))
+
+
+def ksg_local(df: DataFrame, variables: Sequence[Variable], given: Variable | None = None, **params) -> DataFrame:
+    """KSG terms of each row, ``local_value``, for (conditional) mutual information.
+
+    Parameters are ``k``, ``variant``, ``metric``, ``base``, ``noise`` and ``seed``. Variant 1 counts rows strictly nearer than
+    the k-th joint neighbour, the row itself not; variant 2 those at most as far, itself included.
+    """
+    return every_row(_ksg_terms(df, variables, given, **params)).select("local_value")
 
 
 def ksg(df: DataFrame, variables: Sequence[Variable], given: Variable | None = None, **params) -> DataFrame:
     """Mean of :func:`ksg_local`: ``value, n``."""
-    return ksg_local(df, variables, given, **params).agg(F.avg("local_value").alias("value"), F.count(F.lit(1)).alias("n"))
+    terms = _ksg_terms(df, variables, given, **params)
+    return terms.agg((F.sum(F.col("_w") * F.col("local_value")) / F.sum("_w")).alias("value"), _rows().alias("n"))

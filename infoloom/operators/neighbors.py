@@ -1,89 +1,264 @@
 """Neighbour queries in any number of dimensions: nearest distances, range counts and kernel sums.
 
-Queries and data are dealt into blocks; each pair of blocks is one task of plain array arithmetic that yields a small
-partial result for each query, and the partials are merged by an aggregation. A task holds two blocks whatever the number of
-points. In one dimension, range counts need no pairs at all: they are differences of global ranks.
+Equal points are one point with a weight, so a value that a third of all rows share costs one row. Up to ``ALL_PAIRS`` distinct
+points, queries and data are dealt into blocks and each pair of blocks is one task of plain array arithmetic. Beyond that the data
+are cut into boxes at medians, and a query visits only the boxes within its reach, so work follows the number of
+neighbours and not the square of the points. A task holds two bounded blocks whatever the number of points. In one
+dimension, range counts need no pairs at all: they are differences of global prefix sums.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.series import checkpointed, global_row_number
+from ..plans.series import checkpointed, global_prefix_sum
 
-#: Points in a block at most, on average; two blocks' distances are taken a few rows at a time.
+#: Distinct points up to which every pair is looked at.
+ALL_PAIRS = 25_000
+#: Data points in a block at most, on average; a few queries' distances to them are taken at a time.
 BLOCK_POINTS = 8_192
+#: Data points in a box at most, on average, as far as ``MAX_BOXES`` goes.
+BOX_POINTS = 2_048
+#: Queries that meet a block in one task, on average.
+BLOCK_QUERIES = 65_536
 CELLS = 4_000_000
+#: Boxes at most; their corners and sizes go through the driver. Beyond, boxes are cut further by hash.
+MAX_BOXES = 4_096
+#: Points that decide where boxes are cut; results do not depend on the cuts.
+SAMPLE = 50_000
 
+Compute = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]
 
-def points(df: DataFrame, columns: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
-    """Points with an id: groups, ``_id``, ``_x`` (array of doubles). Rows with a null or NaN coordinate are left out."""
+
+def points(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct points: ``_id``, ``_x`` (array of doubles) and ``_w``, the number of rows there.
+
+    Rows with a null or NaN coordinate are left out. Counts have partial sums before their shuffle.
+    """
     x = [F.col(c).cast("double") for c in columns]
-    kept = df.select(*groups, F.array(*x).alias("_x")).where(~F.exists("_x", lambda v: v.isNull() | F.isnan(v)))
-    return checkpointed(kept.withColumn("_id", F.monotonically_increasing_id()))
+    kept = df.select(F.array(*x).alias("_x")).where(~F.exists("_x", lambda v: v.isNull() | F.isnan(v)))
+    return checkpointed(_numbered(kept.groupBy("_x").agg(F.count(F.lit(1)).alias("_w"))))
 
 
-def _sides(n: int, workers: int) -> int:
-    return max(math.ceil(n / BLOCK_POINTS), math.isqrt(max(1, workers - 1)) + 1 if n > 256 else 1)
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.withColumn("_id", F.monotonically_increasing_id()).select("_id", "_x", "_w")
 
 
-def pair_blocks(queries: DataFrame, data: DataFrame, compute: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, extra: Sequence[str] = ()) -> DataFrame:
-    """Partial results of every query against every block of data: ``_id`` and the columns of ``schema``.
+def total(data: DataFrame) -> int:
+    """Rows behind distinct points."""
+    return data.agg(F.coalesce(F.sum("_w"), F.lit(0))).first()[0]
 
-    ``compute`` gets query points, their extra columns (as a matrix) and data points, a few queries at a time.
-    """
-    spark = queries.sparkSession
-    workers = spark.sparkContext.defaultParallelism
-    nq, nd = queries.count(), data.count()
-    gq, gd = _sides(nq, workers), _sides(nd, workers)
-    q = queries.select("_id", "_x", *extra).withColumn("_i", F.pmod(F.xxhash64("_id"), F.lit(gq))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(gd - 1))))
-    d = data.select(F.col("_x").alias("_y"), F.col("_id").alias("_yid")).withColumn("_j", F.pmod(F.xxhash64("_yid", F.lit(1)), F.lit(gd)))
-    d = d.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(gq - 1))))
-    q, d = q.withColumn("_j", F.col("_j").cast("long")), d.withColumn("_i", F.col("_i").cast("long"))
+
+def every_row(df: DataFrame) -> DataFrame:
+    """A row for each of the rows that stand behind a distinct point; long runs are unfolded in steps."""
+    step = 1000
+    runs = df.withColumn("_run", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_w") / step))))
+    rest = F.least(F.lit(step), F.col("_w") - (F.col("_run") - 1) * step).cast("int")
+    return runs.withColumn("_one", F.explode(F.array_repeat(F.lit(0), rest))).drop("_run", "_one")
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    values = flat.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(flat), -1)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def _solver(compute: Compute, schema: str, extra: Sequence[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A pair of blocks: ``compute`` gets query points, their extra columns, data points and weights, a few queries at a time."""
+    kinds = {"long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+    names = {f.split()[0]: kinds[f.split()[1]] for f in schema.split(", ")}
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"_id": []}
         if left.num_rows and right.num_rows:
             x, y = _matrix(left.column("_x")), _matrix(right.column("_y"))
             more = np.column_stack([left.column(c).to_numpy() for c in extra]) if extra else np.zeros((len(x), 0))
-            ids = left.column("_id").to_numpy()
+            ids, weights = left.column("_id").to_numpy(), right.column("_w").to_numpy()
             rows = max(1, CELLS // (len(y) * max(1, x.shape[1])))
             for a in range(0, len(x), rows):
-                got = compute(x[a : a + rows], more[a : a + rows], y)
+                got = compute(x[a : a + rows], more[a : a + rows], y, weights)
                 out["_id"].append(ids[a : a + rows])
                 for k, v in got.items():
                     out.setdefault(k, []).append(v)
         return _as_table(out, names)
 
-    names = [f.split()[0] for f in schema.split(", ")]
-    return q.groupBy("_i", "_j").cogroup(d.groupBy("_i", "_j")).applyInArrow(run, f"_id long, {schema}")
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    values = flat.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(len(flat), -1)
+    return run
 
 
-def _as_table(out: dict[str, list], names: Sequence[str]) -> pa.Table:
-    columns = {"_id": pa.array(np.concatenate(out["_id"]) if out["_id"] else np.zeros(0, np.int64), pa.int64())}
-    for n in names:
-        parts = out.get(n, [])
+def _as_table(out: dict[str, list], names: dict[str, pa.DataType]) -> pa.Table:
+    columns = {"_id": pa.array(np.concatenate(out["_id"]) if out["_id"] else [], pa.int64())}
+    for n, kind in names.items():
+        parts = out.get(n)
         if not parts:
-            columns[n] = pa.nulls(0)
+            columns[n] = pa.nulls(0, kind)
         elif parts[0].ndim == 2:
-            columns[n] = pa.array([r for p in parts for r in p], pa.list_(pa.float64()))
+            columns[n] = _lists(np.concatenate(parts))
         else:
-            columns[n] = pa.array(np.concatenate(parts))
+            columns[n] = pa.array(np.concatenate(parts), kind)
     return pa.table(columns)
 
 
+def _sides(n: int, workers: int) -> int:
+    return max(math.ceil(n / BLOCK_POINTS), math.isqrt(max(1, workers - 1)) + 1 if n > 256 else 1)
+
+
+def all_pairs(queries: DataFrame, data: DataFrame, sizes: tuple[int, int], compute: Compute, schema: str, extra: Sequence[str] = ()) -> DataFrame:
+    """Partial results of every query against every block of data: ``_id`` and the columns of ``schema``."""
+    workers = queries.sparkSession.sparkContext.defaultParallelism
+    gq, gd = (_sides(n, workers) for n in sizes)
+    q = queries.select("_id", "_x", *extra).withColumn("_i", F.pmod(F.xxhash64("_id"), F.lit(gq)).cast("long")).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(gd - 1).cast("long"))))
+    d = data.select(F.col("_x").alias("_y"), "_w", F.col("_id").alias("_yid")).withColumn("_j", F.pmod(F.xxhash64("_yid", F.lit(1)), F.lit(gd)).cast("long"))
+    d = d.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(gq - 1).cast("long"))))
+    return q.groupBy("_i", "_j").cogroup(d.groupBy("_i", "_j")).applyInArrow(_solver(compute, schema, extra), f"_id long, {schema}")
+
+
+class Cuts:
+    """A balanced tree of cuts, each at the median of the widest side of a sample."""
+
+    def __init__(self, sample: np.ndarray, boxes: int) -> None:
+        self.depth = max(0, math.ceil(math.log2(max(1, boxes))))
+        inner = 2**self.depth - 1
+        self.axis, self.cut = np.zeros(inner, np.int64), np.full(inner, np.inf)
+        parts = [sample]
+        for node in range(inner):  # level by level: the children of a node are 2 * node + 1 and 2 * node + 2
+            part = parts[node]
+            if len(part) > 1:
+                side = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+                values = part[:, side]
+                if values.max() > values.min():
+                    middle = np.partition(values, len(values) // 2)[len(values) // 2]
+                    self.axis[node] = side
+                    self.cut[node] = middle if middle < values.max() else values[values < middle].max()
+            right = part[:, self.axis[node]] > self.cut[node]
+            parts += [part[~right], part[right]]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The box of each point."""
+        node = np.zeros(len(x), np.int64)
+        row = np.arange(len(x))
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[row, self.axis[node]] > self.cut[node])
+        return node - (2**self.depth - 1)
+
+
+def _dealt(ids: np.ndarray, into: np.ndarray) -> np.ndarray:
+    """One of ``into`` numbers for each id, by a hash."""
+    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(33)) % into.astype(np.uint64)).astype(np.int64)
+
+
+class Boxes:
+    """Data points in boxes: their corners and sizes (``MAX_BOXES`` rows at most) are known to the driver."""
+
+    def __init__(self, data: DataFrame, n: int, dim: int) -> None:
+        self.data, self.dim = data, dim
+        share = min(1.0, SAMPLE / max(1, n))
+        sample = data.select("_x").sample(share, seed=11).limit(2 * SAMPLE).toArrow().column("_x")
+        self.cuts = cuts = Cuts(_matrix(sample) if len(sample) else np.zeros((0, dim)), min(MAX_BOXES, math.ceil(n / BOX_POINTS)))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts.of(_matrix(batch.column(0))))], names=["_x", "_j"])
+
+        placed = data.select("_x").mapInArrow(place, "_x array<double>, _j long")
+        corner = [f(F.col("_x")[k]).alias(f"{f.__name__}{k}") for k in range(dim) for f in (F.min, F.max)]
+        rows = placed.groupBy("_j").agg(F.count(F.lit(1)).alias("n"), *corner).orderBy("_j").collect()
+        self.box = np.array([r["_j"] for r in rows], np.int64)
+        self.low = np.array([[r[f"min{k}"] for k in range(dim)] for r in rows]).reshape(-1, dim)
+        self.high = np.array([[r[f"max{k}"] for k in range(dim)] for r in rows]).reshape(-1, dim)
+        self.blocks = np.array([math.ceil(r.n / BLOCK_POINTS) for r in rows], np.int64)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "data"}  # tasks get corners and sizes, not the frame
+
+    def visits(self, x: np.ndarray, reach: np.ndarray | None, p: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which points visit which boxes (by place in the list): those within reach, or without reach the point's own."""
+        if reach is None:
+            own = np.searchsorted(self.box, here := self.cuts.of(x))
+            known = np.flatnonzero(self.box[np.minimum(own, len(self.box) - 1)] == here)
+            return known, own[known]
+        who, where = [], []
+        step = max(1, CELLS // max(1, len(self.box)))
+        for a in range(0, len(x), step):
+            part = x[a : a + step]
+            gap = np.zeros((len(part), len(self.box)))
+            for k in range(self.dim):
+                side = np.maximum(0.0, np.maximum(self.low[None, :, k] - part[:, None, k], part[:, None, k] - self.high[None, :, k]))
+                gap = np.maximum(gap, side) if math.isinf(p) else gap + side**p
+            if not math.isinf(p):
+                gap **= 1 / p
+            i, j = np.nonzero(gap <= reach[a : a + step, None] * (1 + 1e-9))  # rounding may add a box, never lose one
+            who.append(i + a)
+            where.append(j)
+        return np.concatenate(who or [np.zeros(0, np.int64)]), np.concatenate(where or [np.zeros(0, np.int64)])
+
+    def partials(self, queries: DataFrame, compute: Compute, schema: str, p: float, reach: str | float | None, extra: Sequence[str] = ()) -> DataFrame:
+        """Partial results of the queries against the boxes that they visit: ``_id`` and the columns of ``schema``.
+
+        ``reach`` is a number, a column or, for the own box, None. Visits are counted first, so that boxes with many visitors or points are
+        split into pairs of bounded blocks.
+        """
+        more = [*extra, *([reach] if isinstance(reach, str) and reach not in extra else [])]
+        slim = queries.select("_id", "_x", *more)
+
+        def visited(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            x = _matrix(batch.column(1))
+            at = batch.column(2 + more.index(reach)).to_numpy() if isinstance(reach, str) else None if reach is None else np.full(len(x), float(reach))
+            return self.visits(x, at, p)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(len(self.box), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    seen += np.bincount(visited(batch)[1], minlength=len(seen))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], names=["_j", "n"])
+
+        visitors = np.zeros(len(self.box), np.int64)
+        for r in slim.mapInArrow(count, "_j long, n long").groupBy("_j").agg(F.sum("n").alias("n")).collect():
+            visitors[r["_j"]] = r.n
+        groups = np.maximum(1, -(-visitors // BLOCK_QUERIES))
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                i, j = visited(batch)
+                times = self.blocks[j]
+                part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                i, j = np.repeat(i, times), np.repeat(j, times)
+                group = _dealt(batch.column(0).to_numpy()[i], groups[j])
+                took = batch.take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([*took.columns, pa.array(j), pa.array(group), pa.array(part)], names=["_id", "_x", *more, "_j", "_i", "_s"])
+
+        def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                y = _matrix(batch.column(1))
+                j = np.searchsorted(self.box, self.cuts.of(y))
+                part = _dealt(batch.column(0).to_numpy(), self.blocks[j])
+                times = groups[j]
+                i = np.repeat(np.arange(len(y)), times)
+                group = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+                yield pa.RecordBatch.from_arrays([_lists(y[i]), batch.column(2).take(pa.array(i)), pa.array(j[i]), pa.array(group), pa.array(part[i])], names=["_y", "_w", "_j", "_i", "_s"])
+
+        kinds = "".join(f", {c} double" for c in more)
+        q = slim.mapInArrow(send, f"_id long, _x array<double>{kinds}, _j long, _i long, _s long")
+        d = self.data.select("_id", "_x", "_w").mapInArrow(store, "_y array<double>, _w long, _j long, _i long, _s long")
+        keys = ["_j", "_i", "_s"]
+        return q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInArrow(_solver(compute, schema, extra), f"_id long, {schema}")
+
+
 def distances(x: np.ndarray, y: np.ndarray, p: float) -> np.ndarray:
     """Distances between two sets of points under a Minkowski norm."""
     out = np.abs(x[:, None, 0] - y[None, :, 0])
@@ -99,64 +274,140 @@ def distances(x: np.ndarray, y: np.ndarray, p: float) -> np.ndarray:
     return np.sqrt(out) if p == 2 else out ** (1 / p)
 
 
+def weighed(near: np.ndarray, weight: np.ndarray, want: int) -> np.ndarray:
+    """The first ``want`` of sorted distances that each count as often as their weight; infinity where there are fewer."""
+    upto = np.cumsum(np.minimum(weight, want), axis=1)
+    place = (upto[:, None, :] <= np.arange(want)[None, :, None]).sum(axis=2)
+    return np.take_along_axis(np.concatenate([near, np.full((len(near), 1), np.inf)], axis=1), place, axis=1)
+
+
 def kth_distance(queries: DataFrame, data: DataFrame, k: int, p: float, exclude_self: bool) -> DataFrame:
-    """``_id, _x, _rho``: distance of each query to its k-th nearest point of the data.
+    """``_rho`` in addition to the queries: the distance of each to its k-th nearest point of the data.
 
     With ``exclude_self`` queries and data are the same points, and a point is no neighbour of its own, whereas another at the
-    same place is. Fewer than k neighbours are an error.
+    same place is. Fewer than k neighbours are an error. Beyond ``ALL_PAIRS`` points, the distance within a
+    query's own box bounds which others it visits.
     """
     want = k + 1 if exclude_self else k
-    if data.limit(want).count() < want:
+    if total(data) < want:
         raise ValueError(f"k = {k} needs more points")
 
-    def compute(x: np.ndarray, _: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def compute(x: np.ndarray, _: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
         d = distances(x, y, p)
         m = min(want, d.shape[1])
-        return {"_near": np.sort(np.partition(d, m - 1, axis=1)[:, :m], axis=1)}
+        at = np.argpartition(d, m - 1, axis=1)[:, :m]
+        near = np.take_along_axis(d, at, axis=1)
+        order = np.argsort(near, axis=1)
+        return {"_near": weighed(np.take_along_axis(near, order, axis=1), w[np.take_along_axis(at, order, axis=1)], want)}
+
+    def best(parts: DataFrame, name: str) -> DataFrame:
+        return parts.groupBy("_id").agg(F.get(F.array_sort(F.flatten(F.collect_list("_near"))), F.lit(want - 1)).alias(name))
+
+    nq, nd = queries.count(), data.count()
+    if max(nq, nd) <= ALL_PAIRS:
+        return queries.join(best(all_pairs(queries, data, (nq, nd), compute, "_near array<double>"), "_rho"), "_id")
+    boxes = Boxes(data, nd, _dim(data))
+    own = best(boxes.partials(queries, compute, "_near array<double>", p, None), "_reach")
+    bounded = checkpointed(queries.join(own, "_id", "left").withColumn("_reach", F.coalesce("_reach", F.lit(math.inf))))
+    return queries.join(best(boxes.partials(bounded, compute, "_near array<double>", p, "_reach"), "_rho"), "_id")
+
+
+def _dim(data: DataFrame) -> int:
+    first = data.select(F.size("_x").alias("d")).first()
+    return first.d if first else 1
+
+
+def _projected(df: DataFrame, dims: Sequence[int], turn: np.ndarray | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Points in a subspace, as ``_y``, with what they came from; ``turn`` is a linear map applied there."""
+    axes = list(dims)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, _lists(_matrix(batch.column(1))[:, axes] @ turn.T)], names=[*batch.schema.names, "_y"])
 
-    parts = pair_blocks(queries, data, compute, "_near array<double>")
-    best = parts.groupBy("_id").agg(F.array_sort(F.flatten(F.collect_list("_near")))[want - 1].alias("_rho"))
-    return queries.join(best, "_id")
+    slim = df.select("_id", "_x", "_w", *keep)
+    if turn is None:
+        return slim.withColumn("_y", F.array(*[F.col("_x")[k] for k in axes]))
+    kinds = "".join(f", {c} double" for c in keep)
+    return slim.mapInArrow(run, f"_id long, _x array<double>, _w long{kinds}, _y array<double>")
+
+
+def _distinct(projected: DataFrame) -> DataFrame:
+    return checkpointed(_numbered(projected.select(F.col("_y").alias("_x"), "_w").groupBy("_x").agg(F.sum("_w").alias("_w"))))
 
 
 def range_counts(queries: DataFrame, data: DataFrame, subspaces: dict[str, Sequence[int]], p: float, strict: bool) -> DataFrame:
-    """Data points within ``_rho`` of each query in each subspace, the point itself counted: ``_id`` and a column each."""
-    names = list(subspaces)
-
-    def compute(x: np.ndarray, more: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        out = {}
-        for n in names:
-            dims = list(subspaces[n])
-            d = distances(x[:, dims], y[:, dims], p)
-            out[n] = ((d < more[:, :1]) if strict else (d <= more[:, :1])).sum(axis=1)
-        return out
+    """Data points within ``_rho`` of each query in each subspace, the point itself counted: a column each beside the queries'."""
+
+    def within(x: np.ndarray, more: np.ndarray, y: np.ndarray, w: np.ndarray, dims: Sequence[int]) -> np.ndarray:
+        d = distances(x[:, list(dims)], y[:, list(dims)], p)
+        return ((d < more[:, :1]) if strict else (d <= more[:, :1])) @ w
+
+    nq, nd = queries.count(), data.count()
+    if max(nq, nd) <= ALL_PAIRS:
+        parts = all_pairs(queries, data, (nq, nd), lambda x, more, y, w: {n: within(x, more, y, w, dims) for n, dims in subspaces.items()}, ", ".join(f"{n} long" for n in subspaces), ["_rho"])
+        return queries.join(parts.groupBy("_id").agg(*[F.sum(n).alias(n) for n in subspaces]), "_id")
+    out = queries
+    for name, dims in subspaces.items():
+        asked = _projected(queries, dims, keep=["_rho"]).select("_id", F.col("_y").alias("_x"), "_rho")
+        stored = _distinct(_projected(data, dims))
+        boxes, every = Boxes(stored, stored.count(), len(dims)), range(len(dims))
+        parts = boxes.partials(asked, lambda x, more, y, w, n=name, e=every: {n: within(x, more, y, w, e)}, f"{name} long", p, "_rho", ["_rho"])
+        out = out.join(parts.groupBy("_id").agg(F.sum(name).alias(name)), "_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return out
 
-    parts = pair_blocks(queries, data, compute, ", ".join(f"{n} long" for n in names), extra=["_rho"])
-    return queries.join(parts.groupBy("_id").agg(*[F.sum(n).alias(n) for n in names]), "_id")
 
+class Kernel:
+    """A kernel of a subspace: its value (1 if None) at distances that are taken after a linear map, up to a reach."""
 
-def kernel_sums(queries: DataFrame, data: DataFrame, compute: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], names: Sequence[str]) -> DataFrame:
-    """Sums over the data of one or more kernels at each query: ``_id, _x`` and a column each."""
-    parts = pair_blocks(queries, data, compute, ", ".join(f"{n} double" for n in names))
-    return queries.join(parts.groupBy("_id").agg(*[F.sum(n).alias(n) for n in names]), "_id")
+    def __init__(self, dims: Sequence[int], p: float, reach: float, value: Callable[[np.ndarray], np.ndarray] | None = None, turn: np.ndarray | None = None) -> None:
+        self.dims, self.p, self.reach, self.value, self.turn = list(dims), p, reach, value, turn
+
+    def sums(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        d = distances(x, y, self.p)
+        near = d <= self.reach
+        return (near if self.value is None else np.where(near, self.value(d), 0.0)) @ w.astype(np.float64)
+
+    def whole(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        a, b = x[:, self.dims], y[:, self.dims]
+        return self.sums(a, b, w) if self.turn is None else self.sums(a @ self.turn.T, b @ self.turn.T, w)
+
+
+def kernel_sums(queries: DataFrame, data: DataFrame, kernels: dict[str, Kernel]) -> DataFrame:
+    """Sums over the data of one or more kernels at each query: a column each beside the queries'."""
+    nq, nd = queries.count(), data.count()
+    if max(nq, nd) <= ALL_PAIRS:
+        parts = all_pairs(queries, data, (nq, nd), lambda x, _, y, w: {n: k.whole(x, y, w) for n, k in kernels.items()}, ", ".join(f"{n} double" for n in kernels))
+        return queries.join(parts.groupBy("_id").agg(*[F.sum(n).alias(n) for n in kernels]), "_id")
+    out = queries
+    for name, kernel in kernels.items():
+        placed = checkpointed(_projected(queries, kernel.dims, kernel.turn))  # joined back by value, so mapped once
+        asked = _distinct(placed)
+        stored = asked if queries is data else _distinct(_projected(data, kernel.dims, kernel.turn))
+        if len(kernel.dims) == 1 and kernel.value is None:
+            found = rank_counts(stored, kernel.reach, asked).select("_x", F.col("_cnt").cast("double").alias(name))
+        else:
+            boxes = Boxes(stored, stored.count(), len(kernel.dims))
+            parts = boxes.partials(asked, lambda x, _, y, w, n=name, k=kernel: {n: k.sums(x, y, w)}, f"{name} double", kernel.p, kernel.reach)
+            found = asked.join(parts.groupBy("_id").agg(F.sum(name).alias(name)), "_id", "left")
+        at = found.select(F.col("_x").alias("_y"), F.coalesce(name, F.lit(0.0)).alias(name))
+        out = out.join(placed.select("_id", "_y").join(at, "_y").drop("_y"), "_id")
+    return out
 
 
-def rank_counts(values: DataFrame, radius: float, queries: DataFrame | None = None) -> DataFrame:
-    """One-dimensional range counts as differences of global ranks: ``_id, _x, _cnt``, points at most ``radius`` away.
+def rank_counts(data: DataFrame, radius: float, queries: DataFrame | None = None) -> DataFrame:
+    """One-dimensional range counts as differences of global prefix sums: ``_cnt`` beside the queries', rows at most ``radius`` away.
 
-    Each query asks for the number of points below either end of its interval; points and ends are sorted together, and a
-    prefix count answers. The cost is that of a sort, whatever the radius.
+    Each query asks for the number of rows below either end of its interval; points and ends are sorted together, and a
+    prefix sum of weights answers. The cost is that of a sort, whatever the radius.
     """
-    asked = values if queries is None else queries
+    asked = data if queries is None else queries
     x = F.col("_x")[0]
     # at equal places a lower end comes before the points, an upper end after them
-    events = values.select(x.alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("who"))
-    events = events.union(asked.select(x - radius, F.lit(0), "_id")).union(asked.select(x + radius, F.lit(2), "_id"))
-    ranked = global_row_number(events, ["at", "kind"], "_rn")
-    ranked = checkpointed(ranked)
-    ends = ranked.where("kind != 1")
-    # an end's rank counts points and ends; ranked among the ends alone it counts ends
-    among = global_row_number(ends.select("at", "kind", "who", "_rn"), ["_rn"], "_en")
-    below = among.select("who", "kind", (F.col("_rn") - F.col("_en")).alias("below"))
-    counts = below.groupBy("who").agg((F.sum(F.when(F.col("kind") == 2, F.col("below")).otherwise(-F.col("below")))).alias("_cnt"))
+    events = data.select(x.alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("who"), "_w")
+    for kind, end in ((0, x - radius), (2, x + radius)):
+        events = events.union(asked.select(end, F.lit(kind), "_id", F.lit(0).cast("long")))
+    below = global_prefix_sum(events, ["at", "kind"], "_w", "below").where("kind != 1")
+    counts = below.groupBy("who").agg(F.sum(F.when(F.col("kind") == 2, F.col("below")).otherwise(-F.col("below"))).alias("_cnt"))
     return asked.join(counts, asked["_id"] == counts["who"]).drop("who")

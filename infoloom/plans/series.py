@@ -24,19 +24,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def global_row_number(df: DataFrame, order_by: Sequence[str], out: str = "_rn") -> DataFrame:
-    """A 0-based row number in global order, without bringing the rows into one task.
+    """A 0-based row number in global order, without bringing the rows into one task."""
+    return global_prefix_sum(df, order_by, None, out)
 
-    Rows are range-partitioned; offsets come from one count for each partition.
+
+def global_prefix_sum(df: DataFrame, order_by: Sequence[str], weight: str | None, out: str) -> DataFrame:
+    """The sum of ``weight`` (of ones if None) over the rows before each row in global order.
+
+    Rows are range-partitioned; offsets come from one sum for each partition.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     placed = checkpointed(
         df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *order_by, "_tie").withColumn("_part", F.spark_partition_id())
     )
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = placed.groupBy("_part").agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_cnt"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
     inside = W.partitionBy("_part").orderBy(*order_by, "_tie")
-    ranked = placed.withColumn("_in", F.row_number().over(inside) - 1)
+    if weight is None:
+        ranked = placed.withColumn("_in", F.row_number().over(inside) - 1)
+    else:
+        ranked = placed.withColumn("_in", F.coalesce(F.sum(weight).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     # one row a partition on the broadcast side
     return ranked.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_off") + F.col("_in")).drop("_part", "_tie", "_off", "_in", "_cnt")
 

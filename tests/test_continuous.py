@@ -51,20 +51,79 @@ def test_ksg_goldens(spark):
     assert il.mutual_information(df, ["x", "y"], "ksg", k=2, variant=2).first().value == pytest.approx(-0.916666666667)
 
 
+@pytest.fixture(params=[True, False], ids=["boxes", "pairs"])
+def boxes(request, monkeypatch):
+    """Whether points are searched box by box, as many are, with boxes and blocks of a few points."""
+    monkeypatch.setattr(neighbors, "BLOCK_POINTS", 16)
+    if request.param:
+        monkeypatch.setattr(neighbors, "ALL_PAIRS", 0)
+        monkeypatch.setattr(neighbors, "BOX_POINTS", 12)
+        monkeypatch.setattr(neighbors, "BLOCK_QUERIES", 20)
+        monkeypatch.setattr(neighbors, "MAX_BOXES", 6)
+    return request.param
+
+
 @pytest.mark.parametrize(("metric", "p"), [("chebyshev", math.inf), ("euclidean", 2.0), ("manhattan", 1.0), (3.0, 3.0)])
-def test_nearest(cloud, metric, p, monkeypatch):
-    monkeypatch.setattr(neighbors, "BLOCK_POINTS", 50)
+def test_nearest(cloud, metric, p, boxes):
     x, df = cloud
     pts = neighbors.points(df, ["a", "b", "c"])
     got = neighbors.kth_distance(pts, pts, 3, knn.norm(metric), True).collect()
-    assert len(got) == len(x)
+    assert sum(r._w for r in got) == len(x)
     for r in got:
         d = np.sort(neighbors.distances(np.array([r._x]), x, p)[0])
         assert r._rho == pytest.approx(d[3])
 
 
+def test_nearest_of_another_sample(cloud, boxes):
+    x, df = cloud
+    a, b = neighbors.points(df.where("a > 0.5"), ["a", "b"]), neighbors.points(df.where("a < 0").union(df.where("a < -1")), ["a", "b"])
+    y = np.concatenate([x[x[:, 0] < 0], x[x[:, 0] < -1]])
+    for r in neighbors.kth_distance(a, b, 5, 2.0, False).collect():
+        assert r._rho == pytest.approx(np.sort(neighbors.distances(np.array([r._x]), y[:, :2], 2.0)[0])[4])
+
+
+def test_a_point_with_many_rows(spark, boxes):
+    rows = [(0.0, 0.0)] * 2500 + [(float(i), float(i % 5)) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    x = np.array(rows)
+    mine = neighbors.points(df, ["x", "y"])
+    assert mine.count() == 60 and neighbors.total(mine) == len(rows)
+    rho = {tuple(r._x): r._rho for r in neighbors.kth_distance(mine, mine, 2, math.inf, True).collect()}
+    assert rho[0.0, 0.0] == 0.0 and rho[1.0, 1.0] == 1.0 and rho[59.0, 4.0] == 2.0
+    local = il.local_entropy(df, ["x", "y"], "kernel", bandwidth=2.5).collect()
+    near = (np.abs(x[:, None] - x[None]).max(axis=2) <= 1.25).sum(axis=1) / (len(x) * 2.5**2)
+    assert sorted(r.local_value for r in local) == pytest.approx(sorted(-np.log(near)))
+
+
+@pytest.mark.parametrize("variant", [1, 2])
+def test_ksg(cloud, boxes, variant):
+    x, df = cloud
+    d = np.abs(x[:, None] - x[None])
+    rho = np.sort(d.max(axis=2), axis=1)[:, 4]
+
+    def psi(dims):
+        near = d[:, :, dims].max(axis=2)
+        count = np.maximum((near < rho[:, None]).sum(axis=1) - 1, 0) + 1 if variant == 1 else (near <= rho[:, None]).sum(axis=1)
+        return np.array([digamma_value(c) for c in count])
+
+    fixed = digamma_value(4) - (0.25 if variant == 2 else 0.0)
+    want = fixed + psi([2]) - psi([0, 2]) - psi([1, 2])
+    assert il.conditional_mutual_information(df, ["a", "b"], "c", "ksg", variant=variant).first().value == pytest.approx(want.mean())
+    local = il.conditional_mutual_information(df, ["a", "b"], "c", "ksg", variant=variant, local=True).collect()
+    assert sorted(r.local_value for r in local) == pytest.approx(sorted(want))
+
+
+def test_cuts():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(900, 2)), np.zeros((300, 2))])
+    cuts = neighbors.Cuts(x, 16)
+    sizes = np.bincount(cuts.of(x), minlength=16)
+    assert len(sizes) == 16 and sizes.sum() == len(x) and np.sort(sizes)[-2] < 150
+    assert (neighbors.Cuts(np.zeros((0, 2)), 4).of(x) == 0).all() and (neighbors.Cuts(x[-9:], 4).of(x[-9:]) == 0).all()
+
+
 @pytest.mark.parametrize("bandwidth", [0.3, 1.0])
-def test_box(cloud, bandwidth):
+def test_box(cloud, bandwidth, boxes):
     x, df = cloud
     near = np.abs(x[:, None] - x[None]) <= bandwidth / 2 + 1e-15
     want = {n: near[:, :, list(d)].all(axis=2).sum(axis=1) / (len(x) * bandwidth ** len(d)) for n, d in {"a": [0], "b": [1], "ab": [0, 1]}.items()}
@@ -73,7 +132,7 @@ def test_box(cloud, bandwidth):
     assert mi == pytest.approx(np.mean(np.log(want["ab"] / want["a"] / want["b"])))
 
 
-def test_gaussian_mi(cloud):
+def test_gaussian_mi(cloud, boxes):
     x, df = cloud
 
     def density(d):
