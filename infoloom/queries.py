@@ -368,6 +368,25 @@ def sql_box(source: str, spaces: dict[str, list[str]], bw: float) -> str:
     return f"pts as (select * from {source}), d as (select a.id, {sums} from pts a, pts b group by a.id)"
 
 
+def sql_gaussian(source: str, spaces: dict[str, list[str]], bw: float) -> str:
+    """Gaussian densities of subspaces, in coordinates solved from a Cholesky factor that is written out."""
+    cols = sorted({c for s in spaces.values() for c in s})
+    cov = ", ".join(f"{bw * bw!r}*covar_samp({a},{b}) as s_{a}_{b}" for i, a in enumerate(cols) for b in cols[i:])
+    factors, whitened, sums = [], [], []
+    for name, dims in spaces.items():
+        for i, a in enumerate(dims):
+            for j in range(i + 1):
+                s = "s_{}_{}".format(*sorted((a, dims[j])))
+                rest = s + "".join(f" - {name}_{i}{k}*{name}_{j}{k}" for k in range(j))
+                factors.append(f"{f'sqrt({rest})' if i == j else f'({rest})/{name}_{j}{j}'} as {name}_{i}{j}")
+            whitened.append(f"({a}" + "".join(f" - {name}_{i}{k}*{name}_x{k}" for k in range(i)) + f")/{name}_{i}{i} as {name}_x{i}")
+        q = " + ".join(f"pow(a.{name}_x{i}-b.{name}_x{i},2)" for i in range(len(dims)))
+        norm = f"any_value(a.n)*pow(2*pi(), {len(dims) / 2})*any_value({'*'.join(f'a.{name}_{i}{i}' for i in range(len(dims)))})"
+        sums.append(f"sum(case when {q} <= a.cut then exp(-0.5*({q})) else 0 end)/({norm}) as {name}")
+    return f"""pts as (select * from {source}), m as (select count(*) as n, case when count(*) <= 5000 then 64 else 36 end as cut, {cov} from pts), f as (select *, {', '.join(factors)} from m),
+w as (select id, f.*, {', '.join(whitened)} from pts, f), d as (select a.id, {', '.join(sums)} from w a, w b group by a.id)"""
+
+
 def sql_knn(source: str, cols: list[str], k: int, metric: str, target: str | None = None) -> str:
     dist = {
         "chebyshev": f"greatest({', '.join(f'abs(a.{c}-b.{c})' for c in cols)})" if len(cols) > 1 else f"abs(a.{cols[0]}-b.{cols[0]})",
@@ -403,15 +422,15 @@ def _register_kernel() -> None:
     )
     add(
         "box_cross_entropy",
-        lambda s, d: rounded(api.cross_entropy(_part(s, d).where("id % 2 = 0"), _part(s, d).where("id % 2 = 1"), ["x", "y"], "kernel", bandwidth=0.4)),
-        f"""with p as (select * from {PART} where id % 2 = 0), q as (select * from {PART} where id % 2 = 1),
+        lambda s, d: rounded(api.cross_entropy(_part(s, d).where("z < 0.5"), _part(s, d).where("z >= 0.5"), ["x", "y"], "kernel", bandwidth=0.4)),
+        f"""with p as (select * from {PART} where z < 0.5), q as (select * from {PART} where z >= 0.5),
 d as (select p.id, sum(case when abs(p.x-q.x) <= 0.2 + 1e-15 and abs(p.y-q.y) <= 0.2 + 1e-15 then 1.0 else 0 end)/((select count(*) from q)*0.16) as d from p, q group by p.id)
 select round(-avg(case when d > 0 then ln(d) else 0 end), {DIGITS}) + 0.0 as value, count(*) as n from d""",
     )
-    lagged = "(select * from (select event_id as id, value/100.0 as y, row_number() over w - 1 as t, lag(value/100.0) over w as yp, lag((event_id % 13)/13.0) over w as xp from (select * from events where event_id < 1200) window w as (order by ts, event_id)) where t >= 1)"
+    lagged = "(select * from (select event_id as id, value/100.0 as y, row_number() over w - 1 as t, lag(value/100.0) over w as yp, lag((event_id % 13)/13.0) over w as xp from events window w as (order by ts, event_id)) where t >= 1)"
 
     def series(s: SparkSession, d: str) -> DataFrame:
-        return s.read.parquet(f"{d}/events.parquet").where("event_id < 1200").select("ts", "event_id", (F.col("value") / 100.0).alias("y"), ((F.col("event_id") % 13) / 13.0).alias("x"))
+        return s.read.parquet(f"{d}/events.parquet").select("ts", "event_id", (F.col("value") / 100.0).alias("y"), ((F.col("event_id") % 13) / 13.0).alias("x"))
 
     add(
         "box_te",
@@ -439,8 +458,17 @@ d as (select id, sum(case when qxy<=64 then exp(-0.5*qxy) else 0 end)/(any_value
         lambda s, d: rounded(api.mutual_information(_part(s, d), ["x", "y"], "kernel", kernel="gaussian", bandwidth=0.5)),
         f"with {gauss2} select round(avg(ln(dxy)-ln(dx)-ln(dy)), {DIGITS}) + 0.0 as value, count(*) as n from d",
     )
-    add("gaussian_cmi", lambda s, d: rounded(api.conditional_mutual_information(_part(s, d), ["x", "y"], "z", "kernel", kernel="gaussian", bandwidth=0.5)))
-    add("gaussian_te", lambda s, d: rounded(api.transfer_entropy(series(s, d), "x", "y", ["ts", "event_id"], approach="kernel", kernel="gaussian", bandwidth=0.5)))
+    cmi = f"select round(avg(ln(xyz)+ln(dz)-ln(xz)-ln(yz)), {DIGITS}) + 0.0 as value, count(*) as n from d"
+    add(
+        "gaussian_cmi",
+        lambda s, d: rounded(api.conditional_mutual_information(_part(s, d), ["x", "y"], "z", "kernel", kernel="gaussian", bandwidth=0.5)),
+        f"with {sql_gaussian(PART, {'xyz': ['x', 'y', 'z'], 'dz': ['z'], 'xz': ['x', 'z'], 'yz': ['y', 'z']}, 0.5)} {cmi}",
+    )
+    add(
+        "gaussian_te",
+        lambda s, d: rounded(api.transfer_entropy(series(s, d), "x", "y", ["ts", "event_id"], approach="kernel", kernel="gaussian", bandwidth=0.5)),
+        f"with {sql_gaussian(lagged, {'xyz': ['y', 'xp', 'yp'], 'dz': ['yp'], 'xz': ['xp', 'yp'], 'yz': ['y', 'yp']}, 0.5)} {cmi}",
+    )
 
 
 def sql_kl(dim: int, k: int, volume: float, variant: int = 1) -> str:
@@ -486,10 +514,11 @@ select label, round(-avg(ln(d)), {DIGITS}) + 0.0 as value, count(*) as n from d
         add(f"tsallis_entropy_{name}", lambda s, d_, a=order: rounded(api.entropy(_vectors(s, d_), v[:2], "tsallis", q=a)), f"with {knn_sql} select round({tsallis}, {DIGITS}) + 0.0 as value, count(*) as n from r")
 
     def halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-        x = _vectors(s, d)
-        return x.where("vec_id % 2 = 0"), x.where("vec_id % 2 = 1")
+        x = _vectors(s, d, "label")
+        return x.where("label < 5"), x.where("label >= 5")
 
-    p, q = f"(select * from {VECTORS} where id % 2 = 0)", f"(select * from {VECTORS} where id % 2 = 1)"
+    vectors = VECTORS.replace(" from embeddings", ", label from embeddings")
+    p, q = f"(select * from {vectors} where label < 5)", f"(select * from {vectors} where label >= 5)"
     add(
         "kl_cross_entropy",
         lambda s, d: rounded(api.cross_entropy(*halves(s, d), v[:2], "kl", k=4)),
@@ -540,30 +569,36 @@ select round(avg({term}), {DIGITS}) + 0.0 as value, count(*) as n from cnt"""
         ksg_sql({"n0": ["xp", "yp", "zp"], "n1": ["y", "yp", "zp"], "nz": ["yp", "zp"]}, 1, True, 2, lagged, ["y", "xp", "yp", "zp"]),
     )
 
-    def kl_sum(weights: dict[tuple[str, ...], float], source: str = VECTORS) -> str:
+    def order_sql(kind: str, dim: int, order: float = 1.2, k: int = 4) -> str:
+        ball = math.pi ** (dim / 2) / math.gamma(dim / 2 + 1)
+        c = (math.gamma(k) / math.gamma(k + 1 - order)) ** (1 / (1 - order))
+        i = f"(pow((count(*)-1)*{c * ball!r}, {1 - order!r})*sum(case when rho > 0 then pow(rho, {dim * (1 - order)!r}) else 0 end)/count(*))"
+        return f"select {f'ln({i})' if kind == 'renyi' else f'({i}-1)'}/{1 - order!r} as value from r"
+
+    def kl_sum(weights: dict[tuple[str, ...], float], source: str = VECTORS, kind: str = "kl") -> str:
         parts = []
         for j, (cols, w) in enumerate(weights.items()):
-            parts.append(f"select {w} * (select value from (with {sql_knn(source, list(cols), 4, 'chebyshev')} {sql_kl(len(cols), 4, 1.0).replace(f'round(', '(').replace(f', {DIGITS}) + 0.0', ')')}) t{j}) as v")
+            whole = sql_kl(len(cols), 4, 1.0).replace("round(", "(").replace(f", {DIGITS}) + 0.0", ")") if kind == "kl" else order_sql(kind, len(cols))
+            parts.append(f"select {w} * (select value from (with {sql_knn(source, list(cols), 4, 'chebyshev' if kind == 'kl' else 'euclidean')} {whole}) t{j}) as v")
         return f"select round(sum(v), {DIGITS}) + 0.0 as value, (select count(*) from {source}) as n from ({' union all '.join(parts)})"
 
-    add("kl_mi", lambda s, d: rounded(api.mutual_information(_vectors(s, d), ["v0", "v1"], "kl")), kl_sum({("v0",): 1.0, ("v1",): 1.0, ("v0", "v1"): -1.0}))
-    add(
-        "kl_cmi",
-        lambda s, d: rounded(api.conditional_mutual_information(_vectors(s, d), ["v0", "v1"], "v2", "kl")),
-        kl_sum({("v0", "v2"): 1.0, ("v1", "v2"): 1.0, ("v0", "v1", "v2"): -1.0, ("v2",): -1.0}),
-    )
+    signs = {
+        "mi": (VECTORS, {("v0",): 1.0, ("v1",): 1.0, ("v0", "v1"): -1.0}),
+        "cmi": (VECTORS, {("v0", "v2"): 1.0, ("v1", "v2"): 1.0, ("v0", "v1", "v2"): -1.0, ("v2",): -1.0}),
+        "te": (lagged, {("xp", "yp"): 1.0, ("y", "yp"): 1.0, ("y", "xp", "yp"): -1.0, ("yp",): -1.0}),
+        "cte": (lagged, {("xp", "yp", "zp"): 1.0, ("y", "yp", "zp"): 1.0, ("y", "xp", "yp", "zp"): -1.0, ("yp", "zp"): -1.0}),
+    }
+    sql = {(a, m): kl_sum(weights, source, a) for a in ("kl", "renyi", "tsallis") for m, (source, weights) in signs.items()}
+    for a, more in (("kl", {}), ("renyi", {"alpha": 1.2}), ("tsallis", {"q": 1.2})):
+        add(f"{a}_mi", lambda s, d, a=a, o=more: rounded(api.mutual_information(_vectors(s, d), ["v0", "v1"], a, **o)), sql[a, "mi"])
+        add(f"{a}_cmi", lambda s, d, a=a, o=more: rounded(api.conditional_mutual_information(_vectors(s, d), ["v0", "v1"], "v2", a, **o)), sql[a, "cmi"])
+        add(f"{a}_te", lambda s, d, a=a, o=more: rounded(api.transfer_entropy(_vectors(s, d), "v1", "v0", ["vec_id"], approach=a, **o)), sql[a, "te"])
+        add(f"{a}_cte", lambda s, d, a=a, o=more: rounded(api.conditional_transfer_entropy(_vectors(s, d), "v1", "v0", "v2", ["vec_id"], approach=a, **o)), sql[a, "cte"])
     add(
-        "kl_te",
-        lambda s, d: rounded(api.transfer_entropy(_vectors(s, d), "v1", "v0", ["vec_id"], approach="kl")),
-        kl_sum({("xp", "yp"): 1.0, ("y", "yp"): 1.0, ("y", "xp", "yp"): -1.0, ("yp",): -1.0}, lagged),
+        "kl_local_entropy",
+        lambda s, d: api.local_entropy(_vectors(s, d), v[:2], "kl").select((F.round("local_value", DIGITS) + 0.0).alias("local_value")),
+        f"with {sql_knn(VECTORS, v[:2], 4, 'chebyshev')} select round({sql_psi('(select count(*) from r)')} - {knn.digamma_value(4)!r} + 2*(case when rho > 0 then ln(2*rho) else 0 end), {DIGITS}) + 0.0 as local_value from r",
     )
-    for a, key in (("renyi", "alpha"), ("tsallis", "q")):
-        add(f"{a}_mi", lambda s, d, a=a, k=key: rounded(api.mutual_information(_vectors(s, d), ["v0", "v1"], a, **{k: 1.2})))
-        add(f"{a}_cmi", lambda s, d, a=a, k=key: rounded(api.conditional_mutual_information(_vectors(s, d), ["v0", "v1"], "v2", a, **{k: 1.2})))
-        add(f"{a}_te", lambda s, d, a=a, k=key: rounded(api.transfer_entropy(_vectors(s, d), "v1", "v0", ["vec_id"], approach=a, **{k: 1.2})))
-        add(f"{a}_cte", lambda s, d, a=a, k=key: rounded(api.conditional_transfer_entropy(_vectors(s, d), "v1", "v0", "v2", ["vec_id"], approach=a, **{k: 1.2})))
-    add("kl_cte", lambda s, d: rounded(api.conditional_transfer_entropy(_vectors(s, d), "v1", "v0", "v2", ["vec_id"], approach="kl")))
-    add("kl_local_entropy", lambda s, d: api.local_entropy(_vectors(s, d), v[:2], "kl").agg(F.round(F.avg("local_value"), DIGITS).alias("value")))
     add(
         "effective_te",
         lambda s, d: surrogates.effective_transfer_entropy(_events(s, d), "src", "dst", ["ts", "event_id"], series_by=["shard"], rounds=5),
