@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..plans.series import checkpointed, global_prefix_sum
 
 #: Distinct points up to which every pair is looked at.
-ALL_PAIRS = 25_000
+ALL_PAIRS = 12_000
 #: Data points in a block at most, on average; a few queries' distances to them are taken at a time.
 BLOCK_POINTS = 8_192
 #: Data points in a box at most, on average, as far as ``MAX_BOXES`` goes.
