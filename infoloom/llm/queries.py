@@ -49,6 +49,25 @@ def op3_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# every string of 400 bytes by its digest, cut from overlapping chunks of the text's hexadecimal form
+ORACLE_SQL["op3_repeat_removal"] = r"""
+with b as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+     c as (select doc_id, k * 1000 as off, substr(h, 2000 * k + 1, 2798) as part from (select doc_id, h, unnest(range(0, (n + 999) // 1000)) as k from b)),
+     w as (select doc_id, off + i as s, md5(substr(part, 2 * i + 1, 800)) as m
+           from (select doc_id, off, part, unnest(range(0, least(1000, length(part) // 2 - 399))) as i from c where length(part) >= 800)),
+     r as (select doc_id, s from w join (select m from w group by m having count(*) > 1) using (m)),
+     f as (select doc_id, s, case when s - lag(s) over (partition by doc_id order by s) <= 400 then 0 else 1 end as fresh from r),
+     g as (select doc_id, s, sum(fresh) over (partition by doc_id order by s) as run from f),
+     sp as (select doc_id, min(s) as a, max(s) + 400 as e from g group by doc_id, run),
+     pc as (select doc_id, a, e, coalesce(lag(e) over (partition by doc_id order by a), 0) as p from sp),
+     k as (select doc_id, sum(e - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' order by a) || substr(any_value(h), 2 * max(e) + 1) as left_hex
+           from pc join b using (doc_id) group by doc_id)
+select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+       sha256(unhex(coalesce(left_hex, h))) as kept_sha256
+from b left join k using (doc_id)
+"""
+
+
 @query
 def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sketch.sketch_and_edit(table(spark, sf_dir, "documents"))
@@ -71,6 +90,20 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# CRC-32 byte by byte over a table that its polynomial gives
+ORACLE_SQL["op5_byte_shards"] = r"""
+with tab as (select list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as tab),
+     b as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+     l as (select doc_id, length(h) // 2 + 1 as size, list_transform(regexp_extract_all(h, '..'), lambda x: cast('0x' || x as bigint)) as bytes from b),
+     s as (select doc_id, cast(size as bigint) as size,
+                  xor(list_reduce(bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) as text_crc32 from l, tab),
+     o as (select *, coalesce(sum(size) over (order by doc_id nulls first, text_crc32, size rows between unbounded preceding and 1 preceding), 0) as ahead,
+                  row_number() over (order by doc_id nulls first, text_crc32, size) as no, sum(size) over () as whole from s),
+     d as (select *, cast(least(7, floor((cast(ahead as double) * 2 + size) * 8 / (cast(whole as double) * 2))) as int) as shard from o)
+select doc_id, size, cast(text_crc32 as bigint) as text_crc32, 'bytes' as law, shard, cast(no - min(no) over (partition by shard) as bigint) as slot, cast(null as int) as grown_shard from d
+"""
+
+
 @query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
