@@ -14,7 +14,7 @@ from .api import (
     mutual_information,
     transfer_entropy,
 )
-from .operators.discrete import Estimator
+from .operators.discrete import Estimator, register_entropy
 
 __all__ = [
     "Estimator",
@@ -29,5 +29,6 @@ __all__ = [
     "local_entropy",
     "local_mutual_information",
     "mutual_information",
+    "register_entropy",
     "transfer_entropy",
 ]

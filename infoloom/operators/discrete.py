@@ -9,7 +9,7 @@ fits in one row.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +24,20 @@ LOCAL = ("mle", "miller_madow", "shrink", "grassberger", "zhang")
 CROSS = ("mle", "miller_madow", "bayes")
 PRIORS = ("jeffrey", "laplace", "sch_grass", "min_max")
 
+#: Estimators that callers have added: name to entropy in nats from the rows' number, the symbols' number and a sum over symbols.
+ADDED: dict[str, Callable[[Column, Column, Callable[[Callable[[Column], Column]], Column]], Column]] = {}
+
+
+def register_entropy(name: str, build: Callable[[Column, Column, Callable[[Callable[[Column], Column]], Column]], Column]) -> None:
+    """Add an estimator for all discrete measures: ``build(n, k, total)`` gives an entropy in nats.
+
+    ``n`` is the number of rows and ``k`` that of symbols; ``total(f)`` sums ``f(count)`` over the symbols. All are columns of doubles, so
+    the estimator stays an expression of the plan. A name that is taken is an error.
+    """
+    if name in ESTIMATORS or name in ADDED:
+        raise ValueError(f"there is an estimator {name!r} already")
+    ADDED[name] = build
+
 
 @dataclass(frozen=True)
 class Estimator:
@@ -38,8 +52,8 @@ class Estimator:
     k: int | None = None
 
     def __post_init__(self) -> None:
-        if self.name not in ESTIMATORS:
-            raise ValueError(f"unknown estimator {self.name!r}; there are {', '.join(ESTIMATORS)}")
+        if self.name not in ESTIMATORS and self.name not in ADDED:
+            raise ValueError(f"unknown estimator {self.name!r}; there are {', '.join([*ESTIMATORS, *ADDED])}")
         if isinstance(self.alpha, str) and self.alpha not in PRIORS:
             raise ValueError(f"unknown prior {self.alpha!r}; there are {', '.join(PRIORS)}")
 
@@ -125,6 +139,8 @@ def _unseen_tail(a: Column, n: Column) -> Column:
 def entropy_column(est: Estimator) -> Column:
     """Entropy in nats from the columns of :func:`profiles`."""
     n, k = F.col("_n").cast("double"), F.col("_k").cast("double")
+    if est.name in ADDED:
+        return ADDED[est.name](n, k, _over)
     mle = F.log(n) - F.col("_clogc") / n
     zhang = digamma(n) - F.col("_cpsi") / n
     if est.name == "mle":

@@ -128,3 +128,18 @@ def test_bad_arguments(triple):
         il.entropy(triple, "x", base=1)
     with pytest.raises(NotImplementedError):
         il.local_entropy(triple, "x", estimator="bonachela")
+
+
+def test_own_estimator(grouped, triple, monkeypatch):
+    monkeypatch.setattr(discrete, "ADDED", {})
+    il.register_entropy("own_mle", lambda n, k, total: total(lambda c: -c / n * F.log(c / n)))
+    il.register_entropy("hartley", lambda n, k, total: F.log(k))
+    got = {r.g: r.value for r in il.entropy(grouped, "x", group_by=["g"], estimator="own_mle").collect()}
+    assert [got[i] for i in range(3)] == pytest.approx(GOLDEN["mle"])
+    assert {r.g: r.value for r in il.entropy(grouped, "x", group_by=["g"], estimator="hartley").collect()} == pytest.approx({g: math.log(len(set(d))) for g, d in enumerate(DATA)})
+    x, y = triple.columns[:2]
+    own, mle = (il.mutual_information(triple, [x, y], estimator=e).first().value for e in ("own_mle", "mle"))
+    assert own == pytest.approx(mle, abs=1e-12)
+    for name in ("mle", "hartley"):
+        with pytest.raises(ValueError):
+            il.register_entropy(name, lambda n, k, total: n)
