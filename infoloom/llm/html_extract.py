@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
 ATTRS = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "head"}
+#: Elements whose content is text alone, up to their own end tag whatever stands before it; without one, to the end of the page.
+RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for n in ("script", "style", "iframe", "textarea", "title")}
+#: Elements with markup of their own that is not shown.
+UNSEEN = {"noscript", "template", "svg"}
+#: What may stand in a head besides; anything else begins the body.
+HEAD_ONLY = {"html", "head", "base", "link", "meta"}
 APART = {"nav", "aside", "footer", "form", "button", "select", "dialog", "menu"}
 UNLIKE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookie\w*|consent|notice|alert|popup|modal|sidebar|side|widget|nav\w*|menu|"
@@ -45,16 +50,21 @@ def blocks(page: str) -> Iterator[Block]:
     """Blocks of a page in order. The tags since the block before come with each block.
 
     ``inside`` says whether the block is in an article or main element, the label that pages give themselves.
+    A head ends at its end tag, at a body or at the first thing that belongs to a body.
     """
     stack: list[tuple[str, bool, bool]] = []  # name, sets apart, is an article
     tags: list[str] = []
     block: Block | None = None
-    raw = ""
-    for m in TOKEN.finditer(page):
+    head = False
+    tokens = TOKEN.finditer(page)
+    while (m := next(tokens, None)) is not None:
         name = m.group(2)
         if name is None:
-            if raw or m.group()[0] == "<" and len(m.group()) > 1:
+            if m.group()[0] == "<" and len(m.group()) > 1 or any(x[0] in UNSEEN for x in stack):
                 continue
+            if head and m.group().isspace():
+                continue
+            head = False
             if block is None:
                 where = next((n for n, _, _ in reversed(stack) if n not in INLINE), "")
                 block = Block(where, any(x[2] for x in stack), any(x[1] for x in stack), tags)
@@ -64,14 +74,32 @@ def blocks(page: str) -> Iterator[Block]:
                 block.linked += len(m.group().split())
             continue
         name, closing = name.lower(), bool(m.group(1))
-        if raw:
-            if closing and name == raw:
-                raw = ""
-            continue
         if name in RAW:
+            if not closing and not m.group(3).rstrip().endswith("/"):  # as XML writes an empty one
+                end = RAW[name].search(page, m.end())
+                tokens = TOKEN.finditer(page, end.end() if end else len(page))
+            continue
+        if name == "body" and not closing:  # nothing that a head left open reaches into it
+            stack = [x for x in stack if x[0] not in UNSEEN]
+        empty = m.group(3).rstrip().endswith("/")
+        unseen = next((i for i, x in enumerate(stack) if x[0] in UNSEEN), None)
+        if unseen is not None or name in UNSEEN:
             if not closing:
-                raw = name if not m.group(3).rstrip().endswith("/") else ""
+                if not empty and name not in VOID:
+                    stack.append((name, False, False))
+                continue
+            at = max((i for i, x in enumerate(stack) if x[0] == name), default=-1)
+            if at >= 0 and (name in UNSEEN or at > unseen):
+                del stack[at:]
+                continue
+            if at < 0 or name in INLINE or name == "p":
+                continue  # else the element around ends, and with it what is not shown
+        if name == "head":
+            head = not closing
+            continue
+        if head and name in HEAD_ONLY:
             continue
+        head = False
         if name == "br":
             if block is not None:
                 block.parts.append(" ")
