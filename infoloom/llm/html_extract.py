@@ -38,24 +38,28 @@ SPACE = re.compile(r"\s+")
 class Block:
     """A run of text between block tags: where it stands, its words, and whether markup sets it apart."""
 
-    __slots__ = ("apart", "inside", "linked", "parts", "tags", "where")
+    __slots__ = ("apart", "article", "linked", "parts", "tags", "where")
 
-    def __init__(self, where: str, inside: bool, apart: bool, tags: list[str]) -> None:
-        self.where, self.inside, self.apart, self.tags = where, inside, apart, tags
+    def __init__(self, where: str, article: int, apart: bool, tags: list[str]) -> None:
+        self.where, self.article, self.apart, self.tags = where, article, apart, tags
         self.parts: list[str] = []
         self.linked = 0
 
+    @property
+    def inside(self) -> bool:
+        return self.article > 0
+
 
 def blocks(page: str) -> Iterator[Block]:
     """Blocks of a page in order. The tags since the block before come with each block.
 
-    ``inside`` says whether the block is in an article or main element, the label that pages give themselves.
-    A head ends at its end tag, at a body or at the first thing that belongs to a body.
+    ``inside`` says whether the block is in an article or main element, the label that pages give themselves;
+    ``article`` numbers the outermost of these from 1. A head ends at its end tag, at a body or at the first thing that belongs to a body.
     """
     stack: list[tuple[str, bool, bool]] = []  # name, sets apart, is an article
     tags: list[str] = []
     block: Block | None = None
-    head = False
+    head, articles = False, 0
     tokens = TOKEN.finditer(page)
     while (m := next(tokens, None)) is not None:
         name = m.group(2)
@@ -67,7 +71,7 @@ def blocks(page: str) -> Iterator[Block]:
             head = False
             if block is None:
                 where = next((n for n, _, _ in reversed(stack) if n not in INLINE), "")
-                block = Block(where, any(x[2] for x in stack), any(x[1] for x in stack), tags)
+                block = Block(where, articles if any(x[2] for x in stack) else 0, any(x[1] for x in stack), tags)
                 tags = []
             block.parts.append(m.group())
             if any(n == "a" for n, _, _ in stack[-3:]):
@@ -132,6 +136,7 @@ def blocks(page: str) -> Iterator[Block]:
             outside = not any(x[2] for x in stack)  # an article may have a header of its own, with its heading
             heading = name == "header" or bool(names) and name not in ("html", "body", "article", "main", *INLINE) and bool(HEAD.search(names))
             apart = name in APART or unlike or heading and outside
+            articles += article and outside
             stack.append((name, apart, article))
     if block is not None:
         yield block
@@ -199,6 +204,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
     Words of elements that were never seen score 1, tags that were never seen -0.5; words that the
     markup sets apart (menus, forms, adverts, comments) score negative and are left out within the run too.
+    Inside an article they and all tags score 0, so that the rest of the article stays whole.
     Of equal runs the first wins; a page whose words all score below 0 has no text.
     """
     if not page:
@@ -214,7 +220,11 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         kind, n = features(b)
         # a block without words has no say, nor may its tags part a run
         cost = sum(weights.get(f"tag:{t}", -0.5) for t in b.tags)
-        if b.apart:
+        if b.inside and i and kept[i - 1].article == b.article:
+            cost = 0.0  # nothing parts an article
+        if b.apart and b.inside:
+            gain = 0.0
+        elif b.apart:
             gain = min(-0.5, weights.get(kind, -2.0)) * n
         elif outside is not None and not b.inside:
             gain = outside * n
