@@ -27,6 +27,9 @@ UNLIKE = re.compile(
     re.I,
 )
 HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|banner)(?=$|[\s_-])", re.I)
+#: A class that says what a page has or lacks, and names of wrappers, which hold to whole names only.
+WITH = re.compile(r"(?:^|[_-])(?:has|have|no|not|non|with|without)[_-]", re.I)
+LAYOUT = {"wrapper", "layout", "page", "container", "site", "body", "main", "content"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
@@ -38,10 +41,10 @@ SPACE = re.compile(r"\s+")
 class Block:
     """A run of text between block tags: where it stands, its words, and whether markup sets it apart."""
 
-    __slots__ = ("apart", "article", "linked", "parts", "tags", "where")
+    __slots__ = ("apart", "article", "linked", "parts", "tags", "under", "where")
 
-    def __init__(self, where: str, article: int, apart: bool, tags: list[str]) -> None:
-        self.where, self.article, self.apart, self.tags = where, article, apart, tags
+    def __init__(self, where: str, article: int, apart: bool, under: bool, tags: list[str]) -> None:
+        self.where, self.article, self.apart, self.under, self.tags = where, article, apart, under, tags
         self.parts: list[str] = []
         self.linked = 0
 
@@ -50,13 +53,41 @@ class Block:
         return self.article > 0
 
 
-def blocks(page: str) -> Iterator[Block]:
+def marked(pattern: re.Pattern[str], names: str) -> bool:
+    """Whether one of an element's names is of the pattern: whole for a wrapper, or in a part of it."""
+    if not pattern.search(names):
+        return False
+    own = [n for n in names.lower().split() if not WITH.search(n)]
+    return any(map(pattern.search if LAYOUT.isdisjoint(own) else pattern.fullmatch, own))
+
+
+def blocks(page: str) -> list[Block]:
+    """Blocks of a page in order, with what sets them apart.
+
+    A class or form around an article sets it apart only where another article is without such a mark, and
+    a form that holds more than half of the words of a page without articles sets nothing apart.
+    """
+    found = list(_scan(page))
+    loose = [b for b in found if b.under and not b.apart]
+    if loose:
+        size = {id(b): len("".join(b.parts).split()) for b in found}
+        if any(b.inside for b in found):
+            reached = any(b.inside and not b.under and not b.apart and size[id(b)] for b in found)
+        else:
+            reached = 2 * sum(size[id(b)] for b in loose) <= sum(size.values())
+        for b in loose:
+            b.apart = reached or not b.inside and any(x.inside for x in found)
+    return found
+
+
+def _scan(page: str) -> Iterator[Block]:
     """Blocks of a page in order. The tags since the block before come with each block.
 
     ``inside`` says whether the block is in an article or main element, the label that pages give themselves;
-    ``article`` numbers the outermost of these from 1. A head ends at its end tag, at a body or at the first thing that belongs to a body.
+    ``article`` numbers the outermost of these from 1. ``under`` says that only a class or form around its article,
+    or a form around what is in none, may set it apart. A head ends at its end tag, at a body or at the first thing that belongs to a body.
     """
-    stack: list[tuple[str, bool, bool]] = []  # name, sets apart, is an article
+    stack: list[tuple[str, int, bool]] = []  # name, sets apart (1 as a form, 2 by its class, 3 by its name), is an article
     tags: list[str] = []
     block: Block | None = None
     head, articles = False, 0
@@ -71,7 +102,11 @@ def blocks(page: str) -> Iterator[Block]:
             head = False
             if block is None:
                 where = next((n for n, _, _ in reversed(stack) if n not in INLINE), "")
-                block = Block(where, articles if any(x[2] for x in stack) else 0, any(x[1] for x in stack), tags)
+                top = next((i for i, x in enumerate(stack) if x[2]), None)
+                outer = max((x[1] for x in stack[:top]), default=0)
+                own = 0 if top is None else max(x[1] for x in stack[top:])
+                apart = own > 0 or outer > (1 if top is None else 2)
+                block = Block(where, 0 if top is None else articles, apart, outer > 0, tags)
                 tags = []
             block.parts.append(m.group())
             if any(n == "a" for n, _, _ in stack[-3:]):
@@ -90,7 +125,7 @@ def blocks(page: str) -> Iterator[Block]:
         if unseen is not None or name in UNSEEN:
             if not closing:
                 if not empty and name not in VOID:
-                    stack.append((name, False, False))
+                    stack.append((name, 0, False))
                 continue
             at = max((i for i, x in enumerate(stack) if x[0] == name), default=-1)
             if at >= 0 and (name in UNSEEN or at > unseen):
@@ -132,10 +167,10 @@ def blocks(page: str) -> Iterator[Block]:
                         break
             article = name in ("article", "main")
             names = " ".join(x[1] or x[2] or x[3] for x in ATTRS.findall(m.group(3)) if x[0].lower() != "hidden")
-            unlike = bool(names) and name not in ("html", "body", "article", "main", *INLINE) and bool(UNLIKE.search(names))
+            unlike = bool(names) and name not in ("html", "body", "article", "main", *INLINE) and marked(UNLIKE, names)
             outside = not any(x[2] for x in stack)  # an article may have a header of its own, with its heading
-            heading = name == "header" or bool(names) and name not in ("html", "body", "article", "main", *INLINE) and bool(HEAD.search(names))
-            apart = name in APART or unlike or heading and outside
+            heading = name == "header" or bool(names) and name not in ("html", "body", "article", "main", *INLINE) and marked(HEAD, names)
+            apart = (1 if name == "form" and not unlike else 3) if name in APART else 2 if unlike or heading and outside else 0
             articles += article and outside
             stack.append((name, apart, article))
     if block is not None:
@@ -209,7 +244,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     """
     if not page:
         return ""
-    kept = list(blocks(page))
+    kept = blocks(page)
     if any(b.inside and not b.apart for b in kept):
         outside = -4.0
     else:
