@@ -234,25 +234,11 @@ def fit_weights(pages: DataFrame, sample_pages: int = 2_000, html_col: str = "ht
     return weights
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """The blocks of the contiguous run of words and tags with the largest score.
-
-    Words of elements that were never seen score 1, tags that were never seen -0.5; words that the
-    markup sets apart (menus, forms, adverts, comments) score negative and are left out within the run too.
-    Inside an article they and all tags score 0, so that the rest of the article stays whole.
-    Of equal runs the first wins; a page whose words all score below 0 has no text.
-    """
-    if not page:
-        return ""
-    kept = blocks(page)
-    if any(b.inside and not b.apart for b in kept):
-        outside = -4.0
-    else:
-        outside = None
+def _best(kept: list[Block], fitted: list[tuple[float, int]], weights: dict[str, float], labelled: bool) -> tuple[float, tuple[int, int] | None]:
+    """The largest score of a run, and its first and last block; ``labelled`` says whether articles rule."""
     best, best_at = 0.0, None
     run, start = 0.0, 0
-    for i, b in enumerate(kept):
-        kind, n = features(b)
+    for i, (b, (weight, n)) in enumerate(zip(kept, fitted, strict=True)):
         # a block without words has no say, nor may its tags part a run
         cost = sum(weights.get(f"tag:{t}", -0.5) for t in b.tags)
         if b.inside and i and kept[i - 1].article == b.article:
@@ -260,18 +246,49 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         if b.apart and b.inside:
             gain = 0.0
         elif b.apart:
-            gain = min(-0.5, weights.get(kind, -2.0)) * n
-        elif outside is not None and not b.inside:
-            gain = outside * n
+            gain = min(-0.5, weight) * n
+        elif labelled:
+            gain = (abs(weight) if b.inside else -4.0) * n
         else:
-            gain = weights.get(kind, 1.0 if b.linked * 2 <= n else -1.0) * n
-            if b.inside:
-                gain = abs(gain)
+            gain = weight * n
         if run + cost <= 0:
             run, start, cost = 0.0, i, 0.0
         run += cost + gain
         if run > best:
             best, best_at = run, (start, i)
+    return best, best_at
+
+
+def _teasers(kept: list[Block], fitted: list[tuple[float, int]], weights: dict[str, float]) -> bool:
+    """Whether by the fitted weights a run outside the articles scores more than the words of any one article do."""
+    sizes: Counter[int] = Counter()
+    for b, (weight, n) in zip(kept, fitted, strict=True):
+        if b.inside and not b.apart:
+            sizes[b.article] += abs(weight) * n
+    rest = [i for i, b in enumerate(kept) if not b.inside]
+    return _best([kept[i] for i in rest], [fitted[i] for i in rest], weights, False)[0] > max(sizes.values())
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    """The blocks of the contiguous run of words and tags with the largest score.
+
+    Words of elements that were never seen score 1, tags that were never seen -0.5; words that the
+    markup sets apart (menus, forms, adverts, comments) score negative and are left out within the run too.
+    Inside an article they and all tags score 0, so that the rest of the article stays whole.
+    Where a page has articles, its label rules: words outside score -4, and words inside as much as their weight
+    is away from 0. Only where a run outside the articles scores more than any one of them by the fitted weights
+    are they teasers, and the weights decide alone.
+    Of equal runs the first wins; a page whose words all score below 0 has no text.
+    """
+    if not page:
+        return ""
+    kept = blocks(page)
+    fitted = []
+    for b in kept:
+        kind, n = features(b)
+        fitted.append((weights.get(kind, (1.0 if b.linked * 2 <= n else -1.0) if not b.apart else -2.0), n))
+    labelled = any(b.inside and not b.apart for b in kept) and not _teasers(kept, fitted, weights)
+    best_at = _best(kept, fitted, weights, labelled)[1]
     if best_at is None:
         return ""
     texts = (clean(b.parts) for b in kept[best_at[0] : best_at[1] + 1] if not b.apart)
