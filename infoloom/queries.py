@@ -601,7 +601,7 @@ select round(avg({term}), {DIGITS}) + 0.0 as value, count(*) as n from cnt"""
     )
     add(
         "effective_te",
-        lambda s, d: surrogates.effective_transfer_entropy(_events(s, d), "src", "dst", ["ts", "event_id"], series_by=["shard"], rounds=5),
+        lambda s, d: surrogates.effective_transfer_entropy(_events(s, d), "src", "dst", ["ts", "event_id"], series_by=["shard"]),
     )
 
 

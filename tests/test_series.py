@@ -98,3 +98,16 @@ def test_effective(spark):
     df = spark.range(80).select("id", (F.xxhash64("id") % 2).alias("x")).withColumn("y", F.xxhash64(F.col("id") - 1) % 2)
     got = effective_transfer_entropy(df, "x", "y", ["id"], rounds=3).first()
     assert got.observed > 0.5 and got.p_value == pytest.approx(0.25) and got.value < got.observed
+
+
+def test_effective_query_can_reach_significance(monkeypatch):
+    import inspect
+
+    from infoloom import queries
+
+    given = {}
+    monkeypatch.setattr(queries, "_events", lambda s, d: None)
+    monkeypatch.setattr(queries.surrogates, "effective_transfer_entropy", lambda *a, **k: given.update(k))
+    queries.QUERIES["effective_te"](None, "")
+    rounds = given.get("rounds", inspect.signature(queries.surrogates.surrogate_values).parameters["rounds"].default)
+    assert 1 / (rounds + 1) <= 0.05
