@@ -453,3 +453,23 @@ def test_pipeline_against_brute_force(spark, rows, tmp_path):
     assert {r.doc_id for r in four.collect()} == clean
     last = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in last} == clean and all(r.decodes for r in last)
+
+
+def test_pipeline_language_stage_rejects_other_scripts(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+
+    def texts(letters, n, size):
+        lexicon = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(150)]
+        return [" ".join(rng.choice(lexicon) for _ in range(size)) for _ in range(n)]
+
+    known = {"de": "aäbdeghilnorsßtuüz", "en": "acdehilmnorstwy"}
+    rows = [(t, lang) for lang, letters in known.items() for size in (3, 100) for t in texts(letters, 30, size)]
+    other = [(t, None) for letters in ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "אבגדהוזחטיכלמנסעפצקרשת") for t in texts(letters, 40, 200)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows + other)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").select("doc_id").collect()}
+    scores = {r.doc_id: r.lang_score for r in language.predict(docs, language.fit(docs.where(~language.held_out()))).collect()}
+    clean = set(range(len(rows)))
+    assert any(scores[i] < 0.1 for i in clean & kept) and {i for i in clean if scores[i] >= corpus_pipeline.LEAST_SCORE} <= kept
+    assert len(kept & set(range(len(rows), len(rows) + len(other)))) <= len(other) // 20
