@@ -30,7 +30,7 @@ SCALE = 300.0  # per character; cancels within a word, as all its segmentations
 GAMMA = np.uint64(0x9E3779B97F4A7C15)
 MASK64 = (1 << 64) - 1
 BASE = np.uint64(0xD6E8FEB86659FD93)
-FIELDS = ("first", "final", "length", "piece", "upto", "logp")
+FIELDS = ("first", "final", "length", "piece", "upto", "logp", "other")
 STORE_EDGES = 1_500_000  # of the words whose lattices a worker keeps between batches (about 50 MB)
 
 
@@ -69,6 +69,7 @@ class Lattices:
     piece: np.ndarray  # piece id, or -1 - code point where bytes are written
     upto: np.ndarray  # cumulative conditional probability within the node
     logp: np.ndarray
+    other: np.ndarray  # probability of the node's other edges, summed where it is small and not taken from 1
 
 
 class Sampler:
@@ -204,14 +205,18 @@ class Sampler:
         upto = run[1:] - run[first[source]]
         final = several[1:] == 0
         upto[first[1:][~final] - 1] = 2.0  # whatever the rounding, the last edge of a node ends it
+        large = prob > 0.5
+        rest = np.zeros(total)
+        if len(prob):
+            rest[~final] = np.add.reduceat(np.where(large, 0.0, prob), first[:-1][~final])
+        other = np.where(large, rest[source], 1.0 - prob)
         with np.errstate(divide="ignore"):
-            return Lattices(first, final, length, piece, upto, np.log(prob)), starts
+            return Lattices(first, final, length, piece, upto, np.log(prob), other), starts
 
     @staticmethod
     def _empty(nodes: int = 1 << 16, edges: int = 1 << 18) -> Lattices:
-        return Lattices(
-            np.zeros(nodes + 1, np.int64), np.zeros(nodes, bool), np.zeros(edges, np.int16), np.zeros(edges, np.int32), np.zeros(edges), np.zeros(edges)
-        )
+        whole = (np.zeros(nodes + 1, np.int64), np.zeros(nodes, bool), np.zeros(edges, np.int16), np.zeros(edges, np.int32))
+        return Lattices(*whole, *(np.zeros(edges) for _ in FIELDS[4:]))
 
     def numbered(self, cps: np.ndarray, starts: np.ndarray) -> tuple[Lattices, np.ndarray]:
         """Lattices that hold all the words that begin at ``starts``, and the first node of each.
@@ -242,12 +247,7 @@ class Sampler:
             lat, first = self.lattices(fresh, size)
             nodes, edges = self.used
             more = (nodes + len(lat.final), edges + len(lat.length))
-            if more[0] > len(self.store.final) or more[1] > len(self.store.length):
-                grown = self._empty(more[0] * 3 // 2, more[1] * 3 // 2)
-                for f in FIELDS:
-                    old = getattr(self.store, f)
-                    getattr(grown, f)[: len(old)] = old
-                self.store = grown
+            self._room(*more)
             self.store.first[nodes : more[0] + 1] = lat.first + edges
             self.store.final[nodes : more[0]] = lat.final
             for f in FIELDS[2:]:
@@ -263,6 +263,17 @@ class Sampler:
                 self.known.append((h[order], n[order]))
         return self.store, node[which]
 
+    def _room(self, nodes: int, edges: int) -> None:
+        """Enlarge the store to hold so many nodes and edges. Either may run out first; neither ever shrinks."""
+        have = (len(self.store.final), len(self.store.length))
+        if nodes <= have[0] and edges <= have[1]:
+            return
+        grown = self._empty(*(n if m <= n else m * 3 // 2 for m, n in zip((nodes, edges), have, strict=True)))
+        upto = (self.used[0] + 1, self.used[0], *[self.used[1]] * len(FIELDS[2:]))
+        for f, n in zip(FIELDS, upto, strict=True):
+            getattr(grown, f)[:n] = getattr(self.store, f)[:n]
+        self.store = grown
+
     def _forget(self) -> None:
         self.store, self.used = self._empty(), (0, 0)
         self.known: list[tuple[np.ndarray, np.ndarray]] = []
@@ -305,34 +316,43 @@ class Sampler:
             out[offsets[who] + t] = e
         return out, offsets, logp
 
-    def redraw(self, lat: Lattices, node: int, banned: list[tuple[int, ...]], base: int, sample: int) -> tuple[int, ...] | None:
-        """Segment one word otherwise than ``banned``, by its distribution over the rest; None if there is none."""
+    def rest(self, lat: Lattices, edges: np.ndarray, offsets: np.ndarray, logp: np.ndarray) -> np.ndarray:
+        """Probability of each drawn word's other segmentations, to full precision also where it is tiny."""
+        out = -np.expm1(logp)
+        near = np.flatnonzero(out < 1e-6)
+        if len(near):  # up to a millionth, whatever parts from the word leaves it with a chance of about 1 before it
+            width = offsets[near + 1] - offsets[near]
+            begin = np.cumsum(width) - width
+            at = np.arange(width.sum()) + np.repeat(offsets[near] - begin, width)
+            out[near] = np.add.reduceat(lat.other[edges[at]], begin)
+        return out
+
+    def redraw(self, lat: Lattices, node: int, banned: list[tuple[int, ...]], base: int, sample: int) -> tuple[tuple[int, ...], float] | None:
+        """Segment one word otherwise than ``banned``, by its distribution over the rest; None if there is no other.
+
+        The second value is the probability of what then is left.
+        """
+        left = _Rest(lat, node)
+        group = tuple(banned)
+        if not left(group, 0):
+            return None
         out: list[int] = []
-        rests = []
-        for seq in banned:
-            p = np.exp(lat.logp[list(seq)]).tolist()
-            rests.append((seq, p, 0))
-        step = 0
         a, b = lat.first[node : node + 2].tolist()
         while a < b:
             q = np.exp(lat.logp[a:b]).tolist()
-            for seq, p, at in rests:
-                q[seq[at] - a] -= math.prod(p[at:])
-            q = [x if x > 1e-13 else 0.0 for x in q]
-            total = sum(q)
-            if not total:
-                return None
-            u, e = uniform_one(base, sample, 1_000_000 + step) * total, 0
+            step = len(out)
+            for e, own in left.heads(group, step).items():
+                q[e - a] *= left(own, step + 1)
             last = max(i for i, x in enumerate(q) if x)
-            while e < last and (u >= q[e] or not q[e]):
-                u -= q[e]
-                e += 1
-            out.append(a + e)
-            rests = [(seq, p, at + 1) for seq, p, at in rests if seq[at] == a + e and at + 1 < len(seq)]
-            node += int(lat.length[a + e])
+            u, i = uniform_one(base, sample, 1_000_000 + step) * sum(q), 0
+            while i < last and (u >= q[i] or not q[i]):
+                u -= q[i]
+                i += 1
+            out.append(a + i)
+            group = tuple(s for s in group if s[step] == a + i)
+            node += int(lat.length[a + i])
             a, b = lat.first[node : node + 2].tolist()
-            step += 1
-        return tuple(out)
+        return tuple(out), left((*banned, tuple(out)), 0)
 
     def ids(self, lat: Lattices, edges: np.ndarray) -> np.ndarray:
         """Piece ids of edges, with bytes written out."""
@@ -395,6 +415,46 @@ def uniform(base: np.ndarray, sample: int, step: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+class _Rest:
+    """Probability of a word's segmentations but some, by sums of what parts from them and so without cancellation."""
+
+    def __init__(self, lat: Lattices, node: int) -> None:
+        self.lat, self.node = lat, node
+        self.known: dict[tuple[tuple[tuple[int, ...], ...], int], float] = {}
+
+    @staticmethod
+    def heads(group: tuple[tuple[int, ...], ...], step: int) -> dict[int, tuple[tuple[int, ...], ...]]:
+        """The segmentations of a group by their edge at a step."""
+        out: dict[int, tuple[tuple[int, ...], ...]] = {}
+        for s in group:
+            out[s[step]] = (*out.get(s[step], ()), s)
+        return out
+
+    def __call__(self, group: tuple[tuple[int, ...], ...], step: int) -> float:
+        """The chance, after the edges before ``step`` that all of ``group`` share, of a segmentation outside it."""
+        if not group:
+            return 1.0
+        got = self.known.get((group, step))
+        if got is not None:
+            return got
+        head = group[0]
+        fork = step if len(group) > 1 else len(head)  # all of a group are of one word, so none is the beginning of another
+        while fork < len(head) and all(s[fork] == head[fork] for s in group):
+            fork += 1
+        value = 0.0
+        if fork < len(head):
+            heads = self.heads(group, fork)
+            node = self.node + int(self.lat.length[list(head[:fork])].sum())
+            a, b = self.lat.first[node : node + 2].tolist()
+            p = np.exp(self.lat.logp[a:b]).tolist()
+            value = sum(x if a + i not in heads else x * self(heads[a + i], fork + 1) for i, x in enumerate(p))
+        self.known[group, fork] = value
+        for at in range(fork - 1, step - 1, -1):
+            value = float(self.lat.other[head[at]]) + math.exp(self.lat.logp[head[at]]) * value
+            self.known[group, at] = value
+        return value
+
+
 @dataclass
 class _Path:
     """A sampled segmentation of one document: the words before ``fork`` are the parent's."""
@@ -417,6 +477,12 @@ def _bound(loc: np.ndarray, cap: np.ndarray | float, u: np.ndarray) -> np.ndarra
         return -np.logaddexp(-cap, np.log(-np.log(u)) - loc)
 
 
+def _bound_one(loc: float, cap: float, u: float) -> float:
+    """:func:`_bound` for a single number."""
+    a, b = -cap, math.log(-math.log(u)) - loc
+    return -(max(a, b) + math.log1p(math.exp(-abs(a - b))))
+
+
 class _Search:
     """The agendas of a batch of documents. (A class, not closures that call themselves: those would outlive their batch.)"""
 
@@ -438,9 +504,8 @@ class _Search:
                 head[i] = self.prefix(paths[d], p.parent, p.fork) + float(lat.logp[list(p.own)].sum())
         which = np.repeat(np.arange(len(todo)), width)
         before = head[which] + run[:-1] - run[begin][which]
-        rest = -np.expm1(logp)
         with np.errstate(divide="ignore"):
-            loc = before + np.where(rest > 1e-12, np.log(np.maximum(rest, 1e-300)), -np.inf)
+            loc = before + np.log(self.sampler.rest(lat, edges, offsets, logp))
         caps = np.array([p.value for _, p in todo])
         values = _bound(loc, caps[which], uniform(base[at], sample, 2_000_000))
         for i, (_, p) in enumerate(todo):
@@ -536,15 +601,14 @@ def sample_batch(sampler: Sampler, keys: list[str], texts: list[str], k: int) ->
                     banned = [search.word_edges(paths[d], i, w)]
                 else:
                     _, _, banned = p.residue.pop(r)
-                fresh = sampler.redraw(lat, int(node[at]), banned, int(base[at]), sample)
-                if fresh is None:
+                drawn = sampler.redraw(lat, int(node[at]), banned, int(base[at]), sample)
+                if drawn is None:
                     continue
+                fresh, left = drawn
                 banned = [*banned, fresh]
-                left = 1.0 - sum(float(np.exp(lat.logp[list(b)].sum())) for b in banned)
-                if left > 1e-12:
-                    loc = search.prefix(paths[d], i, w) + np.log(left)
-                    v = _bound(np.array([loc]), value, uniform(base[at : at + 1], sample, 2_500_000))
-                    p.residue.append((float(v[0]), w, banned))
+                if left > 0:
+                    loc = search.prefix(paths[d], i, w) + math.log(left)
+                    p.residue.append((_bound_one(loc, value, uniform_one(int(base[at]), sample, 2_500_000)), w, banned))
                 new = _Path(w, i, fresh, value)
                 todo.append((d, new))
                 break
@@ -588,8 +652,7 @@ def sample_encodings(
     as 32-bit little-endian numbers with ``digest``), the segmentation's log-probability, its
     Gumbel-perturbed value by which samples are ordered from 0, the log of its inclusion probability given the next
     perturbed value, and whether the ids decode to the text. The draws depend on the row's id and text alone,
-    whatever the partitions. A text with fewer than ``k`` segmentations gives all of them, with log inclusion 0; of
-    one word's segmentations, those with a share under 1e-12 together count as none.
+    whatever the partitions. A text with fewer than ``k`` segmentations gives all of them, with log inclusion 0.
 
     A null or empty text has the one empty segmentation. Rows with equal id and text get equal
     samples; a null id is a key as any other. An empty table gives an empty result; other columns are not read.
