@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
 ATTRS = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 #: Elements whose content is text alone, up to their own end tag whatever stands before it; without one, to the end of the page.
@@ -35,6 +37,8 @@ INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
+#: Elements of running text; their names say what they are only as a whole.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "figcaption"}
 SPACE = re.compile(r"\s+")
 
 
@@ -61,6 +65,11 @@ def marked(pattern: re.Pattern[str], names: str) -> bool:
     return any(map(pattern.search if LAYOUT.isdisjoint(own) else pattern.fullmatch, own))
 
 
+def wholly(pattern: re.Pattern[str], names: str) -> bool:
+    """Whether all parts of all of an element's names are of the pattern, as those of ``cookie-notice`` are and those of ``share-price`` not."""
+    return all(map(pattern.fullmatch, re.findall(r"[^\s_-]+", names)))
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order, with what sets them apart.
 
@@ -167,7 +176,7 @@ def _scan(page: str) -> Iterator[Block]:
                         break
             article = name in ("article", "main")
             names = " ".join(x[1] or x[2] or x[3] for x in ATTRS.findall(m.group(3)) if x[0].lower() != "hidden")
-            unlike = bool(names) and name not in ("html", "body", "article", "main", *INLINE) and marked(UNLIKE, names)
+            unlike = bool(names) and name not in ("html", "body", "article", "main", *INLINE) and (wholly if name in PROSE else marked)(UNLIKE, names)
             outside = not any(x[2] for x in stack)  # an article may have a header of its own, with its heading
             heading = name == "header" or bool(names) and name not in ("html", "body", "article", "main", *INLINE) and marked(HEAD, names)
             apart = (1 if name == "form" and not unlike else 3) if name in APART else 2 if unlike or heading and outside else 0
@@ -189,15 +198,22 @@ def features(block: Block) -> tuple[str, int]:
     return f"word:{kind}{':link' if block.linked * 2 > n else ''}", n
 
 
+def placed(kind: str, block: Block) -> str:
+    """A word feature with the block's place, for pages that have an article."""
+    return f"{kind}@{'in' if block.inside else 'out'}"
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[tuple[str, bool]] = Counter()
-    for batch in batches:
+    for batch in slices(batches):
         for page in batch.column(0).to_pylist():
             for b in blocks(page):
                 kind, n = features(b)
-                seen[kind, b.inside and not b.apart] += n
+                main = b.inside and not b.apart
+                seen[kind, main] += n
+                seen[placed(kind, b), main] += n
                 for t in b.tags:
-                    seen[f"tag:{t}", b.inside and not b.apart] += 1
+                    seen[f"tag:{t}", main] += 1
     if seen:
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in seen]), pa.array([i for _, i in seen]), pa.array(list(seen.values()), pa.int64())],
@@ -209,48 +225,41 @@ def fit_weights(pages: DataFrame, sample_pages: int = 2_000, html_col: str = "ht
     """Weights of words by their element and of tags, from pages that label their main text.
 
     A page with an article or main element is labelled. ``sample_pages`` bounds the sample: the labelled pages
-    whose ids have the smallest hashes. A word's weight is the log of how much likelier its element
-    is inside than outside, clipped to 4, and at least 0.5 for what is likelier inside; a tag's is the
-    negative log of its chance inside, between -2 and -0.05. At most 5,000 features, the commonest, are kept.
+    whose ids have the smallest hashes; all features of those go to the driver. A word's weight is the log of how much likelier its element
+    is inside than outside, clipped to 4, at least 0.5 for what is likelier inside and at most -0.5 for what stands outside; a tag's is the
+    negative log of its chance inside, between -2 and -0.05. Words are counted twice: by element alone, for pages without an article,
+    and by element and place, for pages with one.
     """
     known = pages.where(F.lower(html_col).rlike("<(article|main)[ >]"))
     ids = known.select(id_col).distinct().orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(sample_pages)
     rows = known.join(F.broadcast(ids), id_col, "left_semi").select(html_col)  # at most sample_pages ids
     counts = rows.mapInArrow(_count, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n"))
-    top = counts.groupBy("feature").agg(
+    got = counts.groupBy("feature").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("o")
-    )
-    got = top.orderBy(F.desc(F.col("i") + F.col("o")), "feature").limit(5_000).collect()
-    words = [r for r in got if r.feature.startswith("word:")]
+    ).collect()
+    words = [r for r in got if r.feature.startswith("word:") and "@" not in r.feature]
     ni, no = sum(r.i for r in words) + 1, sum(r.o for r in words) + 1
     weights: dict[str, float] = {}
     for r in got:
         odds = math.log((r.i + 0.5) / ni) - math.log((r.o + 0.5) / no)
         if r.feature.startswith("word:"):
             share = (r.i + 0.5) / (r.i + r.o + 1)
-            weights[r.feature] = max(-4.0, min(4.0, odds)) if share < 0.5 else max(0.5, min(4.0, odds))
+            most = -0.5 if r.feature.endswith("@out") else 4.0
+            weights[r.feature] = max(-4.0, min(most, odds)) if share < 0.5 else max(0.5, min(4.0, odds))
         else:
             weights[r.feature] = -min(2.0, max(0.05, -math.log((r.i + 0.5) / (r.i + r.o + 1))))
     return weights
 
 
-def _best(kept: list[Block], fitted: list[tuple[float, int]], weights: dict[str, float], labelled: bool) -> tuple[float, tuple[int, int] | None]:
-    """The largest score of a run, and its first and last block; ``labelled`` says whether articles rule."""
+def best_run(costs: list[float], gains: list[float]) -> tuple[float, tuple[int, int] | None]:
+    """The contiguous run with the largest sum of its gains and of the costs between them, and its first and last place.
+
+    ``costs[i]`` stands before ``gains[i]`` and counts in runs that begin earlier. One pass; of equal runs the one that ends first wins, and
+    a run without a positive sum is none.
+    """
     best, best_at = 0.0, None
     run, start = 0.0, 0
-    for i, (b, (weight, n)) in enumerate(zip(kept, fitted, strict=True)):
-        # a block without words has no say, nor may its tags part a run
-        cost = sum(weights.get(f"tag:{t}", -0.5) for t in b.tags)
-        if b.inside and i and kept[i - 1].article == b.article:
-            cost = 0.0  # nothing parts an article
-        if b.apart and b.inside:
-            gain = 0.0
-        elif b.apart:
-            gain = min(-0.5, weight) * n
-        elif labelled:
-            gain = (abs(weight) if b.inside else -4.0) * n
-        else:
-            gain = weight * n
+    for i, (cost, gain) in enumerate(zip(costs, gains, strict=True)):
         if run + cost <= 0:
             run, start, cost = 0.0, i, 0.0
         run += cost + gain
@@ -259,12 +268,31 @@ def _best(kept: list[Block], fitted: list[tuple[float, int]], weights: dict[str,
     return best, best_at
 
 
-def _teasers(kept: list[Block], fitted: list[tuple[float, int]], weights: dict[str, float]) -> bool:
-    """Whether by the fitted weights a run outside the articles scores more than the words of any one article do."""
+def _best(kept: list[Block], fitted: list[tuple[str, int]], weights: dict[str, float], labelled: bool) -> tuple[float, tuple[int, int] | None]:
+    """The best run of blocks; ``labelled`` says whether their places have a weight."""
+    costs, gains = [], []
+    for i, (b, (kind, n)) in enumerate(zip(kept, fitted, strict=True)):
+        same = b.inside and i > 0 and kept[i - 1].article == b.article  # nothing parts an article
+        costs.append(0.0 if same else sum(weights.get(f"tag:{t}", -0.5) for t in b.tags))
+        gains.append(weight(b, kind, weights, labelled) * n)
+    return best_run(costs, gains)
+
+
+def weight(block: Block, kind: str, weights: dict[str, float], labelled: bool) -> float:
+    """What a word of a block scores; 0 for what is set apart inside an article, so that the rest of it stays whole."""
+    if block.apart:
+        return 0.0 if block.inside else min(-0.5, weights.get(kind, -2.0))
+    if labelled:
+        return weights.get(placed(kind, block), 1.0 if block.inside else -1.0)
+    return weights.get(kind, -1.0 if kind.endswith(":link") else 1.0)
+
+
+def _teasers(kept: list[Block], fitted: list[tuple[str, int]], weights: dict[str, float]) -> bool:
+    """Whether by the weights of elements alone a run outside the articles scores more than the words of any one article do."""
     sizes: Counter[int] = Counter()
-    for b, (weight, n) in zip(kept, fitted, strict=True):
+    for b, (kind, n) in zip(kept, fitted, strict=True):
         if b.inside and not b.apart:
-            sizes[b.article] += abs(weight) * n
+            sizes[b.article] += abs(weight(b, kind, weights, False)) * n
     rest = [i for i, b in enumerate(kept) if not b.inside]
     return _best([kept[i] for i in rest], [fitted[i] for i in rest], weights, False)[0] > max(sizes.values())
 
@@ -272,21 +300,17 @@ def _teasers(kept: list[Block], fitted: list[tuple[float, int]], weights: dict[s
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The blocks of the contiguous run of words and tags with the largest score.
 
-    Words of elements that were never seen score 1, tags that were never seen -0.5; words that the
+    Words of elements that were never seen score 1, links and words outside an article -1, tags that were never seen -0.5; words that the
     markup sets apart (menus, forms, adverts, comments) score negative and are left out within the run too.
     Inside an article they and all tags score 0, so that the rest of the article stays whole.
-    Where a page has articles, its label rules: words outside score -4, and words inside as much as their weight
-    is away from 0. Only where a run outside the articles scores more than any one of them by the fitted weights
-    are they teasers, and the weights decide alone.
+    Where a page has articles, words are weighed by element and place, else by element alone; so they are too where a run outside
+    the articles scores more than any one of them, which makes them teasers.
     Of equal runs the first wins; a page whose words all score below 0 has no text.
     """
     if not page:
         return ""
     kept = blocks(page)
-    fitted = []
-    for b in kept:
-        kind, n = features(b)
-        fitted.append((weights.get(kind, (1.0 if b.linked * 2 <= n else -1.0) if not b.apart else -2.0), n))
+    fitted = [features(b) for b in kept]
     labelled = any(b.inside and not b.apart for b in kept) and not _teasers(kept, fitted, weights)
     best_at = _best(kept, fitted, weights, labelled)[1]
     if best_at is None:
@@ -298,12 +322,12 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 def extract_main_text(pages: DataFrame, weights: dict[str, float], html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Main text of every page from its whole html: ``page_id, url, text, n_chars``, one row a page row.
 
-    A null or empty page, and one without words that score, has an empty text. Each row is read
-    alone, so repeated rows repeat their result; other columns are not read; an empty table gives an empty result.
+    A null or empty page, and one without words that score, has an empty text. A page of any length is read whole, in
+    one pass, and no more than 512 pages stand in a worker's memory at once. Each row is read alone, so repeated rows repeat their result; other columns are not read; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(p, weights) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],

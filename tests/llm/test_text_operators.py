@@ -303,6 +303,27 @@ def test_pages_raw_text_and_heads(page, want):
     assert html_extract.main_text(page, {f"tag:{t}": -0.05 for t in ("p", "/p", "div", "/div", "body")}) == want
 
 
+def test_best_run_against_all_runs():
+    rng = random.Random(8)
+    for _ in range(400):
+        n = rng.randrange(0, 9)
+        gains = [rng.choice([-4, -2, -1, 0, 1, 2, 3.5]) * rng.randrange(4) for _ in range(n)]
+        costs = [-rng.choice([0, 0, 0.5, 2]) for _ in range(n)]
+        score = {(a, b): sum(gains[a : b + 1]) + sum(costs[a + 1 : b + 1]) for a in range(n) for b in range(a, n)}
+        value, at = html_extract.best_run(costs, gains)
+        assert value == max([0, *score.values()]) and (at is None if value == 0 else score[at] == value and at[1] == min(b for (_, b), x in score.items() if x == value))
+
+
+def test_pages_keep_paragraphs_with_speaking_names():
+    page = "<article><p class='share-price alert'>" + "price " * 9 + "</p><p class='cookie-notice'>" + "cookie " * 9 + "</p><p>" + "text " * 9 + "</p></article>"
+    assert html_extract.main_text(page, WEIGHTS).split() == ["price"] * 9 + ["text"] * 9
+
+
+def test_page_of_great_length():
+    page = "<nav>" + "<a href=x>menu</a> " * 50_000 + "</nav><article>" + "<p>some text here</p>" * 50_000 + "</article>" + "<div>" * 500 + "x" * 100_000
+    assert html_extract.main_text(page, WEIGHTS) == "\n\n".join(["some text here"] * 50_000)
+
+
 #: Of the size that fitting on pages with an article gives.
 WEIGHTS = {"word:p": 4.0, "word:h1": 4.0, "word:apart": -4.0, "word:apart:link": -4.0, "tag:p": -0.05, "tag:/p": -0.05, "tag:/article": -2.0, "tag:div": -2.0, "tag:li": -2.0, "tag:/li": -2.0}
 
@@ -392,25 +413,83 @@ def test_pieces_round_trip(spark, docs, empty, rows):
     assert pieces.sample_encodings(empty, MODEL).count() == 0
 
 
+def every(lat, node):
+    """All segmentations of a word, as piece ids with their chances."""
+    if lat.final[node]:
+        return [((), 1.0)]
+    return [((int(lat.piece[e]), *x), math.exp(lat.logp[e]) * p) for e in range(lat.first[node], lat.first[node + 1]) for x, p in every(lat, node + int(lat.length[e]))]
+
+
 @needs_model
-def test_pieces_distribution():
+@pytest.mark.parametrize(("text", "k"), [("then", 2), ("an it", 3), ("to\nbe or", 2)])
+def test_pieces_distribution(text, k):
     sampler = pieces.Sampler(pieces.load(None, MODEL))
-    text, n = "then", 4000
-    cps = np.array([ord(c) for c in " " + text] + [0], np.uint32)
-    lat, starts = sampler.lattices(cps, np.array([len(text) + 1]))
-
-    def every(node):
-        if lat.final[node]:
-            return [((), 1.0)]
-        return [((int(lat.piece[e]), *x), math.exp(lat.logp[e]) * p) for e in range(lat.first[node], lat.first[node + 1]) for x, p in every(node + int(lat.length[e]))]
-
-    exact = dict(every(int(starts[0])))
-    assert sum(exact.values()) == pytest.approx(1.0)
-    found = pieces.sample_batch(sampler, [str(i) for i in range(n)], [text] * n, 2)
+    n = 4000
+    cps, starts, sizes = pieces.split_words([text])
+    lat, nodes = sampler.numbered(cps, starts)
+    exact = {(): 1.0}
+    for node in nodes:
+        exact = {(*a, *b): p * q for a, p in exact.items() for b, q in every(lat, int(node))}
+    assert sum(exact.values()) == pytest.approx(1.0) and sizes[0] == len(nodes)
+    found = pieces.sample_batch(sampler, [str(i) for i in range(n)], [text] * n, k)
+    assert all(len({tuple(x[0].tolist()) for x in f}) == len(f) for f in found)
+    assert all(x[1] == pytest.approx(math.log(exact[tuple(x[0].tolist())])) for f in found for x in f)
     once, twice = (Counter(tuple(f[j][0].tolist()) for f in found) for j in (0, 1))
     for x, p in exact.items():
         second = sum(pa * p / (1 - pa) for a, pa in exact.items() if a != x)
         assert once[x] / n == pytest.approx(p, abs=0.03) and twice[x] / n == pytest.approx(second, abs=0.03)
+    if k > 2:  # inclusion given the next perturbed value: weights 1 / inclusion estimate any sum without bias
+        shares = [sum(math.exp(x[1] - x[3]) for x in f) for f in found]
+        assert np.mean(shares) == pytest.approx(1.0, abs=0.05)
+
+
+@needs_model
+def test_pieces_give_every_segmentation():
+    """More samples than there are segmentations, over several words: all of them, each once, with inclusion 1."""
+    sampler = pieces.Sampler(pieces.load(None, MODEL))
+    for text in ("at", "a b", "an it"):
+        cps, starts, _ = pieces.split_words([text])
+        lat, nodes = sampler.numbered(cps, starts)
+        whole = {()}
+        for node in nodes:
+            whole = {(*a, *b) for a in whole for b, _ in every(lat, int(node))}
+        found = pieces.sample_batch(sampler, ["k"], [text], len(whole) + 5)[0]
+        assert {tuple(x[0].tolist()) for x in found} == whole and len(found) == len(whole) and all(x[3] == 0 for x in found)
+
+
+def lattices_of(sampler, texts):
+    cps, starts, _ = pieces.split_words(texts)
+    lat, nodes = sampler.numbered(cps, starts)
+    return [every(lat, int(n)) for n in nodes]
+
+
+@needs_model
+@pytest.mark.parametrize("room", [(4, 1 << 18), (1 << 16, 4), (4, 4), (1 << 16, 1 << 18), (60, 61)])
+def test_pieces_store_grows_in_any_order(monkeypatch, room):
+    """Nodes run out before edges, edges before nodes, both at once, and after the store has been emptied."""
+    rng = random.Random(3)
+    han = lambda: "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(3))
+    batches = [[" ".join(han() for _ in range(60))], ["the other words here"], [" ".join(han() for _ in range(300))], ["the other words here", "a b c d"]]
+    plain = pieces.Sampler(pieces.load(None, MODEL))
+    want = []
+    for b in batches:
+        plain._forget()
+        want.append(lattices_of(plain, b))
+    empty = pieces.Sampler._empty
+    monkeypatch.setattr(pieces.Sampler, "_empty", staticmethod(lambda nodes=room[0], edges=room[1]: empty(nodes, edges)))
+    small = pieces.Sampler(pieces.load(None, MODEL))
+    assert [lattices_of(small, b) for b in batches] == want
+    monkeypatch.setattr(pieces, "STORE_EDGES", 100)  # now each batch of Han words empties it
+    assert [lattices_of(small, b) for b in batches] == want
+
+
+@needs_model
+def test_pieces_of_many_distinct_words():
+    rng = random.Random(1)
+    texts = [" ".join("".join(chr(0x4E00 + rng.randrange(8000)) for _ in range(3)) for _ in range(3000)) for _ in range(5)]
+    sampler = pieces.Sampler(pieces.load(None, MODEL))
+    for text, found in zip(texts, pieces.sample_batch(sampler, list("abcde"), texts, 2), strict=True):
+        assert {sampler.decode(x[0]) for x in found} == {text}  # most Han characters go as bytes, in one way
 
 
 @needs_model
