@@ -18,10 +18,11 @@ def words(text: Column) -> Column:
 
 
 def _fingerprints(df: DataFrame, k: int, window: int) -> DataFrame:
-    """Add ``fps``: the distinct winnowed k-grams of column ``words``, hash above and position below in a long.
+    """Add ``marks``: key (hash), position and the words around of the distinct winnowed k-grams of column ``words``.
 
     Each run of ``window`` words holds ``window - k + 1`` k-grams; its smallest, the leftmost of
-    equals, is kept. Two texts that share a run keep the same k-gram of it.
+    equals, is kept. Two texts that share a run keep the same k-gram of it. The words around are cut here, before
+    marks become rows, so that no row carries a whole text.
     """
     n = F.size("words")
     grams = F.transform(
@@ -34,7 +35,14 @@ def _fingerprints(df: DataFrame, k: int, window: int) -> DataFrame:
     least = F.transform(
         F.sequence(F.lit(0), n - window), lambda s: F.least(*[F.col("_grams")[s + j] for j in range(window - k + 1)])
     )
-    return packed.withColumn("fps", F.when(n >= window, F.array_distinct(least)).otherwise(none)).drop("_grams")
+    packed = packed.withColumn("_fps", F.when(n >= window, F.array_distinct(least)).otherwise(none))
+
+    def mark(fp: Column) -> Column:
+        pos = fp.bitwiseAND(F.lit(POS_MASK)).cast("int")
+        around = F.slice("words", F.greatest(pos - (window - k), F.lit(0)) + 1, F.lit(2 * (window - k) + k))
+        return F.struct(F.shiftright(fp, POS_BITS).alias("key"), pos.alias("pos"), around.alias("context"))
+
+    return packed.withColumn("marks", F.transform("_fps", mark)).drop("_grams", "_fps")
 
 
 def _starts(k: int, window: int) -> Column:
@@ -74,44 +82,26 @@ def find_contamination(
     words are compared, so a shared window is never missed and a hash collision never counts.
     The item side is broadcast if it has at most ``broadcast_rows`` fingerprints (they are counted first), each with the
     few words around it, so that a long item adds no more than its fingerprints; beyond that the same join is left to
-    shuffle, with as many words of context for each document fingerprint.
+    shuffle. Texts of any length are read whole; their rows carry a window's surroundings, not the text.
 
     Null and empty texts have no words; a null item id is not listed; repeated rows count each; an
     empty benchmark leaves every document clean; an empty document table gives an empty result.
     Other columns of either table are not read.
     """
-    span = 2 * (window - k) + k
     items = benchmark.select(F.col("item_id"), words(F.col("text")).alias("words"))
     small = items.select(
         F.count(F.when((F.size("words") > 0) & (F.size("words") < window), 1)).alias("short"),
         F.sum(F.greatest(F.size("words") - window + 1, F.lit(0)).cast("long")).alias("most"),
     ).first()
     fits = (small.most or 0) + small.short <= broadcast_rows
-    item_fps = _fingerprints(items.where(F.size("words") >= window), k, window).select(
-        "item_id", F.col("words").alias("item_words"), F.explode_outer("fps").alias("_fp")  # an inner one would have its filter pushed below, with all it stands on
-    )
-    item_fps = item_fps.withColumn("item_pos", F.col("_fp").bitwiseAND(F.lit(POS_MASK)).cast("int")).select(
-        "item_id",
-        F.shiftright("_fp", POS_BITS).alias("key"),
-        "item_pos",
-        F.slice("item_words", F.greatest(F.col("item_pos") - (window - k), F.lit(0)) + 1, F.lit(span)).alias("item_context"),
-    )
+    # an inner explode would have its filter pushed below, with all it stands on
+    item_fps = _fingerprints(items.where(F.size("words") >= window), k, window).select("item_id", F.explode_outer("marks").alias("m"))
+    item_fps = item_fps.select("item_id", "m.key", F.col("m.pos").alias("item_pos"), F.col("m.context").alias("item_context"))
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), words(F.col(text_col)).alias("words"))
     base = base.withColumn("_row", F.monotonically_increasing_id()).withColumn("n_words", F.size("words").cast("long"))
-    marked = _fingerprints(base, k, window)
-    context = F.slice("words", F.greatest(F.col("pos") - (window - k), F.lit(0)) + 1, F.lit(span))
-    spread = marked.select("_row", "doc_id", "th", "n_words", "words", F.col("fps")[0].alias("_fp0"), F.explode_outer("fps").alias("_fp"))
-    spread = (
-        spread.withColumn("key", F.shiftright("_fp", POS_BITS))
-        .withColumn("pos", F.col("_fp").bitwiseAND(F.lit(POS_MASK)).cast("int"))
-        .withColumn("_one", F.col("_fp").isNull() | (F.col("_fp") == F.col("_fp0")))
-    )
-    if fits:
-        met = spread.join(F.broadcast(item_fps), "key", "left").where(F.col("item_pos").isNotNull() | F.col("_one"))
-        met = met.withColumn("context", context)
-    else:
-        met = spread.withColumn("context", context).drop("words").join(item_fps, "key", "left")
-        met = met.where(F.col("item_pos").isNotNull() | F.col("_one"))
+    spread = _fingerprints(base, k, window).select("_row", "doc_id", "th", "n_words", F.posexplode_outer("marks").alias("_nth", "m"))
+    spread = spread.select("_row", "doc_id", "th", "n_words", F.coalesce(F.col("_nth") == 0, F.lit(True)).alias("_one"), "m.key", "m.pos", "m.context")
+    met = spread.join(F.broadcast(item_fps) if fits else item_fps, "key", "left").where(F.col("item_pos").isNotNull() | F.col("_one"))
     none = F.array().cast("array<int>")
     found = met.select(
         "_row", "doc_id", "th", "n_words", "item_id", F.when(F.col("item_pos").isNotNull(), _starts(k, window)).otherwise(none).alias("starts")
@@ -120,15 +110,10 @@ def find_contamination(
         short = items.where((F.size("words") > 0) & (F.size("words") < window)).select(
             "item_id", F.col("words").alias("item_words"), F.col("words")[0].alias("word")
         )
-        short = F.broadcast(short) if fits else short
         size = F.size("item_words")
-        here = F.slice("words", F.col("pos") + 1, F.lit(window))
-        cells = base.select("_row", "doc_id", "th", "n_words", "words", F.posexplode("words").alias("pos", "word"))
-        if not fits:
-            cells = cells.withColumn("words", here).withColumn("at", F.lit(0))
-        else:
-            cells = cells.withColumn("at", F.col("pos"))
-        cells = cells.join(short, "word").where(F.slice("words", F.col("at") + 1, size) == F.col("item_words"))
+        cells = F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("pos"), F.slice("words", i + 1, F.lit(window - 1)).alias("here")))
+        cells = base.select("_row", "doc_id", "th", "n_words", F.explode(cells).alias("c")).select("_row", "doc_id", "th", "n_words", "c.*")
+        cells = cells.join(F.broadcast(short) if fits else short, "word").where(F.slice("here", F.lit(1), size) == F.col("item_words"))
         found = found.unionByName(
             cells.select("_row", "doc_id", "th", "n_words", "item_id", F.array(F.col("pos") * window + (size - 1)).alias("starts"))
         )
@@ -150,7 +135,12 @@ def find_contamination(
 
 
 def drop_contaminated(docs: DataFrame, found: DataFrame, least_items: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with passages of fewer than ``least_items`` benchmark items; columns stay as they are."""
+    """The documents with passages of fewer than ``least_items`` benchmark items; columns stay as they are.
+
+    A row is known by its id, which may be null, and its text's hash, so rows repeated as a whole stay or go together and rows
+    of one id with different texts are judged apart. A null text, and any table without findings, stays whole;
+    an empty table gives an empty result.
+    """
     gone = found.where(F.size("item_ids") >= least_items).select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
     same = docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_th"))
     return docs.join(gone.hint("shuffle_hash"), same, "left_anti")

@@ -71,14 +71,18 @@ from b left join k using (doc_id)
 @query
 def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sketch.sketch_and_edit(table(spark, sf_dir, "documents"))
+    own, edited, after = (sketch.fingerprint(F.col(c), F.col(f"{c}_least")) for c in ("sketch", "edited_sketch", "next_sketch"))
+    done = done.withColumns({"own": own, "edit": edited, "after": after})
     return done.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        sketch.as_text(F.col("sketch")).alias("fingerprint"),
-        sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        sketch.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        sketch.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        sketch.as_text(F.col("own")).alias("fingerprint"),
+        sketch.as_text(F.col("edit")).alias("edited_fingerprint"),
+        sketch.likeness(F.col("own"), F.col("edit")).alias("near_edited"),
+        sketch.likeness(F.col("own"), F.col("after")).alias("near_next"),
+        sketch.containment(F.col("own"), F.col("edit")).alias("kept_in_edited"),
+        sketch.containment(F.col("own"), F.col("after")).alias("kept_in_next"),
     )
 
 

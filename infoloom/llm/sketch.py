@@ -13,10 +13,12 @@ HASH_BITS = 32
 
 
 def with_sketch(df: DataFrame, text_col: str, out: str, shingle: int = 5, scale: int = 4) -> DataFrame:
-    """Add ``out``: the sorted 32-bit hashes below ``2**32 / scale`` of a text's word shingles.
+    """Add ``out``: the sorted 32-bit hashes below ``2**32 / scale`` of a text's word shingles, and ``out + "_least"``: the smallest of all.
 
-    The smallest hash is kept too, so that only a text without words has an empty sketch. A text of fewer than
-    ``shingle`` words is one shingle. Sketches of parts merge to the sketch of the whole by set union.
+    A text of fewer than ``shingle`` words is one shingle; one without words has no hashes and a null smallest one.
+    Whether a hash is kept depends on the hash alone, so the union of two texts' sketches is the sketch of the union of their
+    shingle sets. (Shingles over a joint belong to neither of two parts of a text.) The smallest hash may lie
+    above the threshold; it tells short texts apart, whose sketch may be empty, and merges by taking the smaller.
     """
     spaced = F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+")
     n = F.size("_words")
@@ -31,9 +33,13 @@ def with_sketch(df: DataFrame, text_col: str, out: str, shingle: int = 5, scale:
     none = F.array().cast("array<bigint>")
     df = df.withColumn("_words", F.array_remove(spaced, ""))
     df = df.withColumn("_hashes", F.when(n >= shingle, hashes).when(n > 0, short).otherwise(none))
-    kept = F.filter("_hashes", lambda h: h < 2**HASH_BITS // scale)
-    least = F.when(F.size("_hashes") > 0, F.array(F.array_min("_hashes"))).otherwise(none)
-    return df.withColumn(out, F.array_sort(F.array_distinct(F.concat(kept, least)))).drop("_words", "_hashes")
+    kept = F.array_sort(F.array_distinct(F.filter("_hashes", lambda h: h < 2**HASH_BITS // scale)))
+    return df.withColumn(out, kept).withColumn(f"{out}_least", F.array_min("_hashes")).drop("_words", "_hashes")
+
+
+def fingerprint(sketch: Column, least: Column) -> Column:
+    """A sketch with the smallest hash, so that only a text without words has an empty one."""
+    return F.when(least.isNull() | F.array_contains(sketch, least), sketch).otherwise(F.array(least))
 
 
 def as_text(sketch: Column) -> Column:
@@ -58,7 +64,7 @@ def sketch_and_edit(docs: DataFrame, shingle: int = 5, scale: int = 4, id_col: s
 
     The edited text has its last quarter of code points (rounded down) replaced by as many first ones of the
     next document, or all if it is shorter; the first document follows the last. Returns ``doc_id, text,
-    edited, sketch, edited_sketch, next_sketch``, one row a document row.
+    edited`` and ``sketch, edited_sketch, next_sketch``, each with its ``_least``, one row a document row.
 
     Only ids and lengths are ordered globally. Texts move once, by their own key; what the next document sends
     back is its first characters and its sketch. A null text counts as empty, a null id as the smallest.
@@ -80,10 +86,12 @@ def sketch_and_edit(docs: DataFrame, shingle: int = 5, scale: int = 4, id_col: s
         F.col("_prev_th").alias("_th"),
         F.substring(F.col("text"), F.lit(1), F.col("_want")).alias("_head"),
         F.col("sketch").alias("next_sketch"),
+        F.col("sketch_least").alias("next_sketch_least"),
     )
-    sent = sent.groupBy("_k", "_th").agg(F.first("_head").alias("_head"), F.first("next_sketch").alias("next_sketch"))
+    sent = sent.groupBy("_k", "_th").agg(*(F.first(c).alias(c) for c in ("_head", "next_sketch", "next_sketch_least")))
     both = base.join(sent.hint("shuffle_hash"), ["_k", "_th"])
     n = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 4)).cast("int")), F.col("_head"))
     both = with_sketch(both.withColumn("edited", edited), "edited", "edited_sketch", shingle, scale)
-    return both.select(F.when(F.col("_k") != NULL_ID, F.col("_k")).alias("doc_id"), "text", "edited", "sketch", "edited_sketch", "next_sketch")
+    sketches = [f"{c}{end}" for c in ("sketch", "edited_sketch", "next_sketch") for end in ("", "_least")]
+    return both.select(F.when(F.col("_k") != NULL_ID, F.col("_k")).alias("doc_id"), "text", "edited", *sketches)

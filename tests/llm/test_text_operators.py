@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from infoloom.llm import decontaminate, html_extract, language, line_dedup, near_dup, pieces, secrets, sharding, sketch, suffix_dedup
@@ -225,6 +226,18 @@ def test_segments_do_not_matter(monkeypatch):
     assert covered[0] == covered[1] == list(range(len(text) - 99))
 
 
+def naive_sketch(text):
+    """Threshold sketch and smallest hash by a loop over the shingles: XXH64 chained over five words, its upper half."""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").encode().lower().decode()) if x]
+    hashes = set()
+    for part in [w[i : i + 5] for i in range(len(w) - 4)] or ([[" ".join(w)]] if w else []):
+        h = 42
+        for x in part:
+            h = xxhash.xxh64_intdigest(x.encode(), seed=h)
+        hashes.add(h >> 32)
+    return sorted(h for h in hashes if h < 2**30), min(hashes, default=None)
+
+
 def test_sketch(docs, empty, rows):
     got = sketch.sketch_and_edit(docs).collect()
     assert len(got) == len(rows)
@@ -232,12 +245,27 @@ def test_sketch(docs, empty, rows):
     after = {k: kinds[(n + 1) % len(kinds)][1] for n, k in enumerate(kinds)}
     for r in got:
         n = len(r.text)
-        assert r.edited == r.text[: n - n // 4] + after[first(r.doc_id), r.text][: n // 4]
-        assert bool(r.sketch) == bool(r.text.split()) and r.sketch == sorted(set(r.sketch))
+        behind = after[first(r.doc_id), r.text]
+        assert r.edited == r.text[: n - n // 4] + behind[: n // 4]
+        assert (r.sketch, r.sketch_least) == naive_sketch(r.text)
+        assert (r.edited_sketch, r.edited_sketch_least) == naive_sketch(r.edited)
+        assert (r.next_sketch, r.next_sketch_least) == naive_sketch(behind)
     assert len({tuple(r.sketch) for r in got if r.doc_id in (0, 25, 26)}) == 1
     assert sketch.sketch_and_edit(empty).count() == 0
 
 
+def test_sketches_merge(spark):
+    """Sketches of parts cut between lines of at least five words, taken line by line, unite to the sketch of all lines."""
+    rng = random.Random(9)
+    lines = [words(rng, rng.randrange(5, 40)) for _ in range(60)] + ["x " * 3000, ""]
+    got = sketch.with_sketch(spark.createDataFrame([(x,) for x in lines], "t string"), "t", "s").collect()
+    union = sorted({h for r in got for h in r.s})
+    naive = sorted({h for x in lines for h in naive_sketch(x)[0]})
+    assert union == naive and min(r.s_least for r in got if r.s_least is not None) == min(naive_sketch(x)[1] for x in lines if x)
+    f = spark.createDataFrame([([1, 5], 1), ([], 9), ([], None)], "s array<bigint>, m bigint").select(sketch.fingerprint(F.col("s"), F.col("m")).alias("f"))
+    assert [r.f for r in f.collect()] == [[1, 5], [9], []]
+
+
 def test_sketch_estimates(spark):
     a = spark.createDataFrame([(" ".join(map(str, range(4000))), " ".join(map(str, range(2000))))], "a string, b string")
     r = sketch.with_sketch(sketch.with_sketch(a, "a", "x"), "b", "y").select(
