@@ -11,63 +11,86 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, slices
+from .near_dup import mixed
 
 DIM = 512
-SLOTS = 64  # 0 stands for any run of non-letters
 SEED = 20_177
+CP_BITS = 21
+MOST_BOUND = 1 << 17  # trigram vectors that a worker keeps (67 MB); beyond that it starts anew
 
 
-def _slot_table() -> np.ndarray:
-    """Slot of every code point: own slots for a-z, shared ones for all other letters, 0 for the rest."""
-    slots = np.zeros(0x110000, np.uint8)
+def _fold_table() -> np.ndarray:
+    """The lower-case code point of every letter, 0 for the rest."""
+    fold = np.zeros(0x110000, np.int64)
     for cp in range(0x110000):
-        if 0xD800 <= cp < 0xE000 or not chr(cp).isalpha():
-            continue
-        low = ord(chr(cp).lower()[0])
-        slots[cp] = low - 96 if 97 <= low <= 122 else 27 + low * 2_654_435_761 % 2**32 % (SLOTS - 27)
-    return slots
+        if not 0xD800 <= cp < 0xE000 and chr(cp).isalpha():
+            fold[cp] = ord(chr(cp).lower()[0])
+    return fold
+
+
+def letters(cps: np.ndarray) -> np.ndarray:
+    """Bipolar vectors of letters, one a row: ``DIM`` bits of a mixing function of the code point, so no two letters share theirs.
+
+    Code point 0 stands for any run of non-letters.
+    """
+    words = mixed((cps.astype(np.uint64)[:, None] + np.uint64(SEED)) * np.uint64(DIM // 64) + np.arange(DIM // 64, dtype=np.uint64))
+    words = mixed(words * np.uint64(0x9E3779B97F4A7C15))
+    return np.unpackbits(words.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
 
 
 class Encoder:
-    """Binds permuted letter vectors to trigram vectors, on demand, and counts trigrams of texts."""
+    """Binds permuted letter vectors to trigram vectors, on demand, and bundles those of texts."""
 
     def __init__(self) -> None:
-        self.slots = _slot_table()
-        letters = np.random.default_rng(SEED).integers(0, 2, (SLOTS, DIM)).astype(np.int8) * 2 - 1
-        self.shifted = [np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters]
-        self.row = np.full(SLOTS**3, -1, np.int32)
-        self.vectors = np.zeros((4096, DIM), np.int8)  # one byte a component: 134 MB if every trigram there can be occurs
-        self.bound = 0
-
-    def grams(self, text: str) -> np.ndarray:
-        """Trigram codes of a text, with runs of non-letters as one gap; empty if it has no letter."""
+        self.fold = _fold_table()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.kinds, self.row = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.vectors = np.zeros((4096, DIM), np.int8)
+
+    def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct trigrams of a text and their counts, with runs of non-letters as one gap; none if it has no letter."""
         cps = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        ids = self.slots[cps]
+        ids = self.fold[cps]
         if not ids.any():
-            return np.zeros(0, np.int32)
-        ids = np.concatenate([[0], ids, [0]]).astype(np.int32)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids = np.concatenate([[0], ids, [0]])
         ids = ids[np.concatenate([[True], (ids[1:] != 0) | (ids[:-1] != 0)])]
-        return (ids[:-2] * SLOTS + ids[1:-1]) * SLOTS + ids[2:]
+        return np.unique((ids[:-2] << 2 * CP_BITS) | (ids[1:-1] << CP_BITS) | ids[2:], return_counts=True)
 
     def rows(self, codes: np.ndarray) -> np.ndarray:
-        """Rows of ``vectors`` for trigram codes; new trigrams are bound first."""
-        new = np.unique(codes[self.row[codes] < 0])
+        """Rows of ``vectors`` for distinct sorted trigrams; new ones are bound first."""
+        at = np.searchsorted(self.kinds, codes)
+        known = np.zeros(len(codes), bool)
+        inner = at < len(self.kinds)
+        known[inner] = self.kinds[at[inner]] == codes[inner]
+        new = codes[~known]
         if len(new):
-            a, b, c = new // SLOTS**2, new // SLOTS % SLOTS, new % SLOTS
-            upto = self.bound + len(new)
+            if len(self.kinds) and len(self.kinds) + len(new) > MOST_BOUND:
+                self._forget()
+                return self.rows(codes)
+            bound = len(self.kinds)
+            upto = bound + len(new)
             if upto > len(self.vectors):
-                grown = np.zeros((min(SLOTS**3, upto * 3 // 2), DIM), np.int8)
-                grown[: self.bound] = self.vectors[: self.bound]
+                grown = np.zeros((upto * 3 // 2, DIM), np.int8)
+                grown[:bound] = self.vectors[:bound]
                 self.vectors = grown
-            self.row[new] = np.arange(self.bound, upto, dtype=np.int32)
-            self.vectors[self.bound : upto] = self.shifted[0][a] * self.shifted[1][b] * self.shifted[2][c]
-            self.bound = upto
-        return self.row[codes]
-
-    def bundle(self, codes: np.ndarray) -> np.ndarray:
-        """The sum of the trigram vectors of a text."""
-        kinds, counts = np.unique(self.rows(codes), return_counts=True)
-        return (counts.astype(np.float32) @ self.vectors[kinds].astype(np.float32)).astype(np.float64)
+            mask = (1 << CP_BITS) - 1
+            a, b, c = (letters(x & mask) for x in (new >> 2 * CP_BITS, new >> CP_BITS, new))
+            self.vectors[bound:upto] = np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c
+            self.kinds = np.insert(self.kinds, at[~known], new)
+            self.row = np.insert(self.row, at[~known], np.arange(bound, upto))
+            at = np.searchsorted(self.kinds, codes)
+        return self.row[at]
+
+    def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The sum of trigram vectors, each as often as its count."""
+        total = np.zeros(DIM)
+        for a in range(0, len(codes), 8192):
+            at = self.rows(codes[a : a + 8192])
+            total += (counts[a : a + 8192].astype(np.float32) @ self.vectors[at].astype(np.float32)).astype(np.float64)
+        return total
 
 
 _ENCODER: Encoder | None = None
@@ -91,25 +114,19 @@ class Prototypes:
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coder = encoder()
-    counts: dict[str, np.ndarray] = {}
+    totals: dict[str, np.ndarray] = {}
     for batch in slices(batches):
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            codes = coder.grams(text)
-            if len(codes):
-                into = counts.get(lang)
-                if into is None:
-                    into = counts[lang] = np.zeros(SLOTS**3, np.int64)
-                np.add.at(into, codes, 1) if len(codes) < 256 else np.add(into, np.bincount(codes, minlength=SLOTS**3), out=into)
-    for lang, into in counts.items():
-        kinds = np.flatnonzero(into)
-        at = coder.rows(kinds)  # binds what is new, so before the vectors are read
-        total = np.zeros(DIM)
-        for a in range(0, len(at), 4096):
-            total += into[kinds[a : a + 4096]].astype(np.float64) @ coder.vectors[at[a : a + 4096]].astype(np.float64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(np.rint(total).astype(np.int64))],
-            names=["lang", "dim", "v"],
-        )
+            grams = coder.grams(text)
+            if len(grams[0]):
+                found.setdefault(lang, []).append(grams)
+        for lang, grams in found.items():  # texts of one language are bundled together
+            codes, which = np.unique(np.concatenate([c for c, _ in grams]), return_inverse=True)
+            counts = np.bincount(which, np.concatenate([n for _, n in grams])).astype(np.int64)
+            totals[lang] = totals.get(lang, 0) + np.rint(coder.bundle(codes, counts)).astype(np.int64)
+    for lang, total in totals.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(total)], names=["lang", "dim", "v"])
     release()
 
 
@@ -134,7 +151,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
 def predict(docs: DataFrame, model: Prototypes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``lang_score``: the language whose prototype has the largest cosine, and that cosine.
 
-    The whole text is read. A null text, one without any letter, or a model without languages gives ``und``
+    The whole text is read, whatever its length. A null text, one without any letter, or a model without languages gives ``und``
     and 0; a negative cosine counts as 0; of equal cosines the language that comes first by name wins.
     Columns of the two names are replaced, all others pass through; an empty table gives an empty result.
     """
@@ -146,12 +163,12 @@ def predict(docs: DataFrame, model: Prototypes, id_col: str = "doc_id", text_col
         for batch in slices(batches):
             pred, score = [], []
             for text in batch.column(at).to_pylist():
-                codes = coder.grams(text or "")
+                codes, counts = coder.grams(text or "")
                 if not len(codes) or not langs:
                     pred.append("und")
                     score.append(0.0)
                     continue
-                v = coder.bundle(codes)
+                v = coder.bundle(codes, counts)
                 norm = float(np.linalg.norm(v))
                 cos = matrix @ v / norm if norm else np.zeros(len(langs))
                 best = int(np.argmax(cos))

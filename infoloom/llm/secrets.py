@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -42,54 +44,51 @@ def linked_parts(text: str, low: str, base: list[tuple[str, int, int]], scope: i
     """Weak parts that count because their complements stand within ``scope`` code points.
 
     A weak secret is reported with an identity (an access identifier counts) and an endpoint in its scope, both
-    of which are then reported too. Returns the added spans and the
-    extents of the links. The interval join sorts identities and endpoints once and looks each candidate up.
+    of which are then reported too: the nearest of either, and of equally near ones the first. Returns the added spans and the
+    extents of the links. The interval join looks each candidate up among the sorted parts of a kind, which do not
+    overlap each other, so their ends are sorted as their starts are and no long part widens the search.
     """
     ends = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text else []
     if not ends:
         return [], []
-    ids = [(s, e, "access") for k, s, e in base if k == "access"]
-    if any(h in low for h in IDENTITY_HINTS):
-        ids += [(*m.span(), "identity") for m in IDENTITY.finditer(text)]
-    if not ids:
+    access = [(s, e) for k, s, e in base if k == "access"]
+    names = [m.span() for m in IDENTITY.finditer(text)] if any(h in low for h in IDENTITY_HINTS) else []
+    if not access and not names:
         return [], []
-    ids.sort()
-    taken = sorted([(s, e) for _, s, e in base] + [(s, e) for s, e, _ in ids] + ends)
-    starts = [s for s, _ in taken]
-    longest = max(e - s for s, e in taken)
-
-    def near(parts: list, at: list[int], reach: int, s: int, e: int) -> list:
-        i = bisect_left(at, s - scope - reach)
-        found = []
-        while i < len(parts) and parts[i][0] <= e + scope:
-            if parts[i][1] >= s - scope:
-                found.append(parts[i])
-            i += 1
-        return found
-
-    id_at, end_at = [p[0] for p in ids], [p[0] for p in ends]
-    id_reach, end_reach = max(p[1] - p[0] for p in ids), max(p[1] - p[0] for p in ends)
+    taken: list[list[int]] = []  # disjoint stretches that are parts of other kinds
+    for s, e in sorted([(s, e) for _, s, e in base] + access + names + ends):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    taken_ends = [e for _, e in taken]
+    kinds = {k: (parts, [e for _, e in parts]) for k, parts in (("access", access), ("identity", names), ("endpoint", ends))}
+
+    def nearest(kind: str, s: int, e: int) -> tuple[int, int, int, str] | None:
+        """Distance, extent and kind of the nearest part within the scope of a candidate."""
+        parts, part_ends = kinds[kind]
+        best = None
+        for i in range(bisect_left(part_ends, s - scope), len(parts)):
+            a, b = parts[i]
+            if a > e + scope:
+                break
+            best = min(best or (scope + 1, a, b, kind), (max(a - e, s - b), a, b, kind))
+        return best
+
     spans: set[tuple[str, int, int]] = set()
     links: list[tuple[int, int]] = []
     for m in WEAK.finditer(text):
         s, e = m.span()
-        i = bisect_left(starts, s - longest)
-        clash = False
-        while i < len(taken) and taken[i][0] < e:
-            clash |= taken[i][1] > s
-            i += 1
-        if clash or not _mixed(m.group()):
+        i = bisect_right(taken_ends, s)
+        if i < len(taken) and taken[i][0] < e or not _mixed(m.group()):
             continue
-        who, where = near(ids, id_at, id_reach, s, e), near(ends, end_at, end_reach, s, e)
+        who = min(filter(None, (nearest("access", s, e), nearest("identity", s, e))), default=None)
+        where = nearest("endpoint", s, e)
         if who and where:
-            # the nearest of either kind completes the credential
-            a = min(who, key=lambda p: (max(p[0] - e, s - p[1]), p))
-            b = min(where, key=lambda p: (max(p[0] - e, s - p[1]), p))
-            spans.add(("weak", s, e))
-            spans.add(("endpoint", b[0], b[1]))
-            if a[2] == "identity":
-                spans.add(("identity", a[0], a[1]))
-            links.append((min(s, a[0], b[0]), max(e, a[1], b[1])))
+            spans |= {("weak", s, e), ("endpoint", where[1], where[2])}
+            if who[3] == "identity":
+                spans.add(("identity", who[1], who[2]))
+            links.append((min(s, who[1], where[1]), max(e, who[2], where[2])))
     return sorted(spans), links
 
 
@@ -109,6 +108,7 @@ def scan_secrets(docs: DataFrame, scope: int = 300, id_col: str = "doc_id", text
     ``spans`` holds kind, start and end (code points, end exclusive) of every match. Kinds ``assign``, ``access``
     and ``hex`` stand alone; ``weak``, ``identity`` and ``endpoint`` are reported only together: a random-looking
     string with somebody's identifier and an endpoint within ``scope`` code points. ``links`` holds their extents.
+    Of equally near complements the first counts. A text of any length is read whole, in time that grows with it and its parts.
     Null and empty texts have no spans; each row is judged alone, so repeated rows repeat their result;
     an empty table gives an empty result; other columns are not read.
     """
@@ -116,7 +116,7 @@ def scan_secrets(docs: DataFrame, scope: int = 300, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         link_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in slices(batches):
             spans, links = [], []
             for text in batch.column(1).to_pylist():
                 a, b = scan_text(text, scope)
