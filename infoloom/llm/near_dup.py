@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, parallelism
+from .common import parallelism, slices, written
 from .graph import connected_components
 
 SEED = 7
@@ -71,7 +71,7 @@ class Banding:
 def _signatures(shingle: int, groups: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         banding = Banding(groups, rows)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, sigs, values = [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 s = shingle_set(text, shingle)
@@ -94,7 +94,7 @@ def _signatures(shingle: int, groups: int, rows: int):
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, shingle).view(np.int64) for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(sets, pa.list_(pa.int64()))],
@@ -104,8 +104,8 @@ def _sets(shingle: int):
     return run
 
 
-def star_forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Component roots of sets linked where ``100 * intersection >= percent * union``.
+def star_forest(sets: list[np.ndarray], percent: int, root: np.ndarray | None = None) -> np.ndarray:
+    """Component roots of sets linked where ``100 * intersection >= percent * union``, over given roots if any.
 
     Every pair that is not yet in one component is compared, so no link between components is missed. Sets whose
     shingles are the most shared lead, which soon joins a family around its middle and leaves few pairs.
@@ -117,7 +117,7 @@ def star_forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
     begins = ends - sizes
     shared = np.bincount(flat, minlength=len(kinds))
     lead = np.add.reduceat(shared[flat], begins) / sizes
-    root = np.arange(n)
+    root = np.arange(n) if root is None else root.copy()
     mark = np.zeros(len(kinds), bool)
     done = np.zeros(n, bool)
     for u in np.argsort(-lead, kind="stable"):
@@ -140,66 +140,120 @@ def star_forest(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return root
 
 
+LINK = "u long, v long"
+
+
+def _verify_heads(percent: int):
+    """Compare members with their head: sorted rows ``head, salt, sig, shingles``, the head's own set the first of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lead = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True))
+            sig, lists = batch.column(3).to_pylist(), batch.column(4)
+            found = []
+            for i, k in enumerate(keys):
+                own = lists[i].values.to_numpy().view(np.uint64)
+                if k != key:
+                    key, lead = k, own
+                elif sig[i] != k[0] and 100 * min(len(own), len(lead)) >= percent * max(len(own), len(lead)):
+                    at = np.minimum(np.searchsorted(lead, own), len(lead) - 1)
+                    met = int((lead[at] == own).sum())
+                    if 100 * met >= percent * (len(lead) + len(own) - met):
+                        found.append((sig[i], k[0]))
+            if found:
+                u, v = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
 def _verify(percent: int):
     """Solve one block pair of one cluster after the other; only one is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sigs, sets = None, [], []
+        key, sigs, parts, sets = None, [], [], []
 
         def solve() -> Iterator[pa.RecordBatch]:
             if len(sets) > 1:
-                root = star_forest(sets, percent)
+                _, first, part = np.unique(np.array(parts, np.int64), return_index=True, return_inverse=True)
+                root = star_forest(sets, percent, first[part])
                 ids = np.array(sigs, np.int64)
-                away = root != np.arange(len(ids))
+                away = root != first[part]
                 if away.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[away]), pa.array(ids[root[away]])], names=["u", "v"])
 
         for batch in batches:
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            sig, lists = batch.column(3).to_pylist(), batch.column(4)
+            sig, part, lists = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
             for i, k in enumerate(keys):
                 if k != key:
                     yield from solve()
-                    key, sigs, sets = k, [], []
+                    key, sigs, parts, sets = k, [], [], []
                 elif sig[i] == sigs[-1]:
                     continue  # the same row again
                 sigs.append(sig[i])
+                parts.append(part[i])
                 sets.append(lists[i].values.to_numpy().view(np.uint64))
         yield from solve()
 
     return run
 
 
+def whole(linked: DataFrame) -> DataFrame:
+    """Components with their roots as nodes of their own."""
+    return linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _tables(nodes: DataFrame, groups: int) -> DataFrame:
+    """``(sig, key, weight)`` of the tables that hold several sets; the weight tells how common a set's group values are.
+
+    A group value that no other set has cannot make a common table key, so such values go before pairs of values are formed.
+    """
+    values = nodes.select("sig", F.posexplode("minhash").alias("g", "h"))
+    # written before it is joined back: then both sides are plain shuffles, which Spark can split where a value is frequent
+    met = written(values.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    left = values.join(met, ["g", "h"]).groupBy("sig").agg(
+        F.sum("n").alias("weight"),
+        F.collect_list(F.when(F.col("g") < groups, F.struct("g", "h"))).alias("a"),
+        F.collect_list(F.when(F.col("g") >= groups, F.struct("g", "h"))).alias("b"),
+    )
+    tables = left.select("sig", "weight", "b", F.explode("a").alias("x")).select("sig", "weight", "x", F.explode("b").alias("y"))
+    return tables.select("sig", F.xxhash64("x.g", "x.h", "y.g", "y.h").alias("key"), "weight")
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
     percent: int = 80,
-    groups: int = 12,
-    rows: int = 3,
-    block_shingles: int = 2_000_000,
+    groups: int = 16,
+    rows: int = 4,
+    head_rows: int = 256,
+    block_shingles: int = 250_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard likeness of ``percent`` or more.
 
     Returns ``doc_id, th, n_shingles, component, component_id``, one row a document row; ``th`` is xxhash64 of the text,
-    ``component`` a key of its own for each component (null without shingles) and ``component_id`` its smallest document id. With 12 groups of 3 hashes in each of two collections, 72 hashes make
-    144 tables, and a pair at 0.8 exactly meets in one with probability 0.9996, a closer one more surely.
+    ``component`` a key of its own for each component (null without shingles) and ``component_id`` its smallest document id. With 16 groups of 4 hashes in each of two collections, 128 hashes make
+    256 tables, and a pair at 0.8 exactly meets in one with probability 0.9996, a closer one more surely.
 
-    Equal sets are one node from the start. A group value that no other set has cannot make a common table key, so such
-    values go before pairs of values are formed; that loses nothing. Sets that meet in a table form candidate clusters
-    through each table's smallest member, never through all pairs of it. A cluster's sets move once and
-    are compared in full; one with more than ``block_shingles`` shingles is cut into blocks, and each pair of
-    blocks is a task of its own, so no task grows with a group. Links of a cluster come back as stars.
+    Equal sets are one node from the start. Candidates are verified before anything is closed over them. Each table has a head,
+    the set whose group values are the most common, which in a family of near copies is the one in its middle. A set is
+    compared in full with the most common of its heads first, in tasks of ``head_rows`` sets, and components are formed of true
+    links alone. What then is left are tables that hold several components: only their sets go on, in clusters of
+    components that share a table, and of these all pairs are compared that are not in one component. A cluster
+    with more than ``block_shingles`` shingles is cut into blocks, and each pair of blocks is a task of its own, so no task grows with a group.
 
     Null texts and texts without words have no shingles and are linked with nothing. A null id is smaller in no
-    component and is kept only alone. Rows of one id with different texts are different nodes; an
-    empty table gives an empty result; other columns are not read.
+    component and is kept only alone. Rows of one id with different texts are different nodes; very long texts are hashed
+    whole, a slice of their shingles at a time; an empty table gives an empty result; other columns are not read.
     """
     n = parallelism(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    signed = checkpointed(
+    signed = written(
         slim.mapInArrow(_signatures(shingle, groups, rows), f"doc_id {id_type}, th long, n_shingles long, sig long, minhash array<long>")
     )
     nodes = (
@@ -207,39 +261,46 @@ def near_duplicates(
         .groupBy("sig")
         .agg(F.min(F.struct("doc_id", "th")).alias("at"), F.max("n_shingles").alias("n_shingles"), F.max("minhash").alias("minhash"))
     )
-    values = nodes.select("sig", F.posexplode("minhash").alias("g", "h"))
-    # written before it is joined back: then both sides are plain shuffles, which Spark can split where a value is frequent
-    met = checkpointed(values.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    left = values.join(met, ["g", "h"]).groupBy("sig").agg(
-        F.collect_list(F.when(F.col("g") < groups, F.struct("g", "h"))).alias("a"),
-        F.collect_list(F.when(F.col("g") >= groups, F.struct("g", "h"))).alias("b"),
+    tables = written(_tables(nodes, groups))
+    heads = written(
+        tables.groupBy("key")
+        .agg(F.max(F.struct("weight", "sig")).alias("head"), F.min("sig").alias("_first"), F.max("sig").alias("_last"))
+        .where("_first < _last")
+        .select("key", "head")
     )
-    tables = left.select("sig", "b", F.explode("a").alias("x")).select("sig", "x", F.explode("b").alias("y"))
-    tables = tables.select("sig", F.xxhash64("x.g", "x.h", "y.g", "y.h").alias("key"))
-    tables = checkpointed(tables)
-    heads = checkpointed(tables.groupBy("key").agg(F.min("sig").alias("v"), F.max("sig").alias("_last")).where("v < _last").drop("_last"))
-    candidates = tables.join(heads, "key").select(F.col("sig").alias("u"), "v").where("u != v")
-    clusters = connected_components(candidates)
-    clusters = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
-    member = clusters.join(nodes.select("sig", "at", "n_shingles"), clusters.node == F.col("sig"))
-    weight = member.groupBy("root").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("cuts"))
-    member = member.join(weight, "root").select("at.doc_id", "at.th", "sig", "root", "cuts")
-    member = checkpointed(member.withColumn("block", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("cuts")).cast("int")))
-    # one row of each node brings its text; the id may be null
+    stars = written(tables.join(heads, "key").groupBy("sig").agg(F.max("head").alias("head")).select("sig", F.col("head.sig").alias("head")))
+    # one row of each candidate brings its text; the id may be null
+    member = stars.join(nodes.select("sig", "at", "n_shingles"), "sig").select("at.doc_id", "at.th", "sig")
     texts = slim.join(member.hint("shuffle_hash"), slim.doc_id.eqNullSafe(member.doc_id) & (slim.th == member.th))
-    sets = texts.select("root", "block", "cuts", "sig", "text").mapInArrow(
-        _sets(shingle), "root long, block int, cuts int, sig long, shingles array<long>"
-    )
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    pairs = pairs.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", "shingles")
-    links = (
-        pairs.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "sig").mapInArrow(_verify(percent), "u long, v long")
-    )
-    linked = connected_components(links)
-    linked = checkpointed(linked.union(linked.select(F.col("root").alias("node"), "root").distinct()))
+    sets = written(texts.select("sig", "text").mapInArrow(_sets(shingle), "sig long, shingles array<long>"))
+    spread = written(stars.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / head_rows).cast("int").alias("salts")))
+    ours = stars.where("sig != head").join(spread, "head").select("sig", "head", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("salts")).cast("int").alias("salt"))
+    ours = ours.select("sig", "head", "salt", F.lit(1).alias("late"))
+    lead = spread.select(F.col("head").alias("sig"), "head", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("late"))
+    rows_ = ours.union(lead).join(sets, "sig").select("head", "salt", "late", "sig", "shingles")
+    rows_ = rows_.repartition(n, "head", "salt").sortWithinPartitions("head", "salt", "late")
+    links = written(rows_.mapInArrow(_verify_heads(percent), LINK))
+    parts = written(whole(connected_components(links)))
+    # tables with several components: their sets go on
+    placed = stars.select("sig").join(parts.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("part"))
+    placed = written(placed)
+    held = tables.join(placed, "sig").select("key", "sig", "part")
+    several = written(held.groupBy("key").agg(F.min("part").alias("v"), F.max("part").alias("_last")).where("v < _last").select("key", "v"))
+    open_ = written(held.join(several, "key").select("sig", "part", "v").distinct())
+    clusters = whole(connected_components(open_.select(F.col("part").alias("u"), "v").distinct()))
+    clusters = written(clusters.select(F.col("node").alias("part"), F.col("root").alias("cluster")))
+    inside = open_.select("sig", "part").distinct().join(clusters, "part").join(nodes.select("sig", "n_shingles"), "sig")
+    inside = written(inside.select("sig", "part", "cluster", "n_shingles"))
+    cuts = written(inside.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("cuts")))
+    inside = inside.join(cuts, "cluster").select("cluster", "cuts", "sig", "part", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("cuts")).cast("int").alias("block"))
+    pairs = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    pairs = pairs.select("sig", "part", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets, "sig")
+    pairs = pairs.select("cluster", "i", "j", "sig", "part", "shingles").repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "sig")
+    linked = connected_components(links.union(pairs.mapInArrow(_verify(percent), LINK)))
+    linked = written(whole(linked))
     ids = signed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"))
-    named = ids.join(linked, ids.sig == linked.node, "left").select("sig", "first_id", F.coalesce("root", "sig").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = written(ids.join(linked, ids.sig == linked.node, "left").select("sig", "first_id", F.coalesce("root", "sig").alias("root")))
+    smallest = written(named.groupBy("root").agg(F.min("first_id").alias("component_id")))
     names = named.join(smallest, "root").select("sig", F.col("root").alias("component"), "component_id")
     full = signed.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sig")).alias("sig"))
     out = full.join(names, "sig", "left")
@@ -251,7 +312,7 @@ def near_duplicates(
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without those that :func:`near_duplicates` links to another one; columns stay as they are.
 
-    Of each component one row stays: of its smallest id, and of rows that share it, that of the smallest text
+    A null or repeated id names rows together with the text's hash. Of each component one row stays: of its smallest id, and of rows that share it, that of the smallest text
     hash. Rows without shingles are linked with nothing and all stay.
     """
     first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("at")).select("at.*")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, parallelism
+from .common import parallelism, written
 from .near_dup import mixed
 
 NULL_ID = -(2**63)
@@ -299,18 +299,18 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, group_row
     of larger groups are settled one by one by an aggregation of their hashes, with partial sums.
     """
     n = parallelism(docs.sparkSession)
-    found = checkpointed(docs.mapInArrow(_anchor_rows(length, gram), ", ".join(f"{c} long" for c in ANCHOR)))
+    found = written(docs.mapInArrow(_anchor_rows(length, gram), ", ".join(f"{c} long" for c in ANCHOR)))
     own = found.where("h is null").select("k", "th", F.col("place").alias("s"), F.col("u1").alias("e"))
     rows = found.where("h is not null")
     # what is joined back by a key that may be frequent is written first: then both sides are plain shuffles, which Spark can split
-    often = checkpointed(rows.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
-    rows = checkpointed(rows.join(often, "h"))
-    units = checkpointed(rows.groupBy("h", "u1", "u2").agg(F.sum("times").alias("n"), F.min(F.struct("k", "th", "place")).alias("at")))
+    often = written(rows.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
+    rows = written(rows.join(often, "h"))
+    units = written(rows.groupBy("h", "u1", "u2").agg(F.sum("times").alias("n"), F.min(F.struct("k", "th", "place")).alias("at")))
     mask = (1 << D_BITS) - 1
     p, lo, hi = F.shiftright("place", 2 * D_BITS), F.shiftright("place", D_BITS).bitwiseAND(F.lit(mask)), F.col("place").bitwiseAND(F.lit(mask))
     whole = rows.join(units.where("n > 1").select("h", "u1", "u2"), ["h", "u1", "u2"]).select("k", "th", (p - hi).alias("s"), (p - lo + length).alias("e"))
-    kinds = checkpointed(units.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
-    open_ = checkpointed(units.join(kinds, "h").select("h", "at.*", (F.col("kinds") > group_rows).alias("large")))
+    kinds = written(units.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    open_ = written(units.join(kinds, "h").select("h", "at.*", (F.col("kinds") > group_rows).alias("large")))
 
     def contexts(anchors: DataFrame) -> DataFrame:
         marks = anchors.groupBy("k", "th").agg(F.collect_list(F.struct("h", "place")).alias("marks"))
@@ -320,7 +320,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, group_row
     merged = contexts(open_.where(~F.col("large"))).repartition(n, "h").sortWithinPartitions("h")
     spans = own.union(whole).union(merged.mapInArrow(_merge(length, chunk_rows), "k long, th long, s long, e long"))
     if open_.where("large").limit(1).count():
-        strings = checkpointed(contexts(open_.where("large")).mapInArrow(_strings(length), "k long, th long, u1 long, u2 long, s long"))
+        strings = written(contexts(open_.where("large")).mapInArrow(_strings(length), "k long, th long, u1 long, u2 long, s long"))
         twice = strings.groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u1", "u2")
         spans = spans.union(strings.join(twice, ["u1", "u2"]).select("k", "th", "s", (F.col("s") + length).alias("e")))
     return spans.groupBy("k", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
