@@ -1,10 +1,14 @@
-"""Exact removal of long repeated byte strings by merging shards of a sparse suffix order (operator 3).
+"""Exact removal of long repeated byte strings by merging shards' positional Burrows-Wheeler transforms (operator 3).
 
 Every string of ``length`` bytes has an anchor, the leftmost smallest of its ``gram``-byte hashes, so all copies of it
-are found among the anchors with the same hash. Around those anchors the suffixes (bytes to the right) and
-reversed prefixes (bytes to the left) of all shards are interleaved by refinement: blocks of equal
-context are split by the next eight bytes until they are single or the length is reached, and the round in
-which two neighbours part gives their common prefix. A repeated string then is a pair of runs, one in each order.
+are found among the anchors with the same hash, and at the same offset from them. The bytes around an anchor that its strings
+cover are its window. Windows of one hash are aligned at their anchors, which makes their transform a positional one
+(Durbin, 2014): column by column it holds the next byte of each window, in the order of what stands before it read backwards.
+
+A shard builds the transforms of its own windows. They are merged as Holt and McMillan (2014) merge transforms, by
+refining an interleave: it says of which shard each place of the merged order is, begins anyhow, and each column deals it
+anew by the bytes there, which is one step of the LF mapping. No window is sorted again. Where
+neighbours part tells where their common stretch begins, and stretches of ``length`` bytes are the repeated intervals.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, written
+from .common import parallelism, slices, written
 from .near_dup import mixed
 
 NULL_ID = -(2**63)
@@ -79,7 +83,7 @@ ANCHOR = ["k", "th", "place", "h", "u1", "u2", "times"]
 def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors(length, gram)
-        for batch in batches:
+        for batch in slices(batches):
             ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             got: list[tuple] = []
             spans: list[tuple] = []
@@ -125,132 +129,183 @@ def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place >> (2 * D_BITS), (place >> D_BITS) & mask, place & mask
 
 
-def _contexts(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("h", pa.int64()), ("place", pa.int64())])
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for k, th, text, marks in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), strict=True
-            ):
-                mark = marks.values.cast(kind)
-                place = mark.field("place").to_numpy()
-                p, lo, hi = unpacked(place)
-                out[0] += mark.field("h").to_pylist()
-                out[1] += [k] * len(p)
-                out[2] += [th] * len(p)
-                out[3] += place.tolist()
-                for a, b, c in zip((p - hi).tolist(), p.tolist(), (p - lo + length).tolist(), strict=True):
-                    out[4].append(text[a:b][::-1])
-                    out[5].append(text[b:c])
-                if len(out[0]) >= 4096:
-                    yield _context_batch(out)
-                    out = [[], [], [], [], [], []]
-            if out[0]:
-                yield _context_batch(out)
+FAR = np.int32(1 << 30)  # where a group begins, nothing is in common
 
-    return run
 
+def refine(
+    columns: np.ndarray, group: np.ndarray, unit: np.ndarray, first: np.ndarray, last: np.ndarray, settled: int | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Merge transforms by refining their interleave, one column after the other.
 
-def _context_batch(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.binary()] * 2
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["h", "k", "th", "place", "lefts", "rights"])
+    ``columns[c]`` holds the bytes of column ``c`` of all units (transforms) one after the other; those of a unit are in its own
+    order. Members are sorted by group, then unit; ``first`` and ``last`` bound the columns that each has. Yields the column, the bytes in merged
+    order, and then, with that column taken in, the order (as members) and where the stretch begins that each
+    shares with the one before it. Groups whose bytes are all alike in a column stay as they are, and from column
+    ``settled`` on (if given) groups go for good in which no stretch that holds that column is shared.
+    """
+    n = columns.shape[1]
+    order, slot = np.arange(n), np.arange(n)
+    head = np.ones(n, bool)
+    head[1:] = group[1:] != group[:-1]
+    place = np.cumsum(head) - 1
+    f, b = first.copy(), last.copy()
+    units = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))  # where each begins in a column
+    number = np.repeat(np.arange(len(units)), np.diff(np.append(units, n)))
+    start = int(first.min())
+    begin = np.where(head, FAR, np.int32(start))
+    low = (1 << 32) - 1
+    for c in range(start, int(last.max())):
+        symbols = columns[c][slot]
+        here = (f <= c) & (c < b)
+        s = np.where(here, symbols, np.int16(256))
+        apart = np.flatnonzero((s[1:] != s[:-1]) & ~head[1:]) + 1
+        if len(apart):
+            open_ = np.zeros(int(place[-1]) + 1, bool)
+            open_[place[apart]] = True
+            at = np.flatnonzero(open_[place])
+            m = np.arange(len(at))
+            key = np.sort((((place[at] << 9) | s[at]) << 32) | m)
+            rank, kind = key & low, key >> 32
+            fresh = np.full(len(at), c + 1, np.int32)
+            same = np.flatnonzero(kind[1:] == kind[:-1]) + 1
+            if len(same):  # of what lies between two members of one byte, the latest beginning counts
+                between = np.empty(2 * len(same), np.int64)
+                between[::2], between[1::2] = rank[same - 1] + 1, rank[same] + 1
+                fresh[same] = np.maximum.reduceat(np.append(begin[at], np.int32(0)), between)[::2]
+            begin[at] = np.where(head[at], FAR, fresh)
+            for x in (order, f, b, here):
+                x[at] = x[at][rank]
+            key = np.sort((number[order[at]] << 32) | m)
+            owner = key >> 32
+            new = np.ones(len(at), bool)
+            new[1:] = owner[1:] != owner[:-1]
+            slot[at[key & low]] = units[owner] + m - np.maximum.accumulate(np.where(new, m, 0))
+        gone = np.flatnonzero(~here)
+        if len(gone):  # a member outside its columns shares nothing
+            gone = np.concatenate([gone, gone[gone < len(here) - 1] + 1])
+            begin[gone[~head[gone]]] = c + 1
+        yield c, symbols, order, begin
+        if settled is not None and c >= settled and c % 32 == 0:
+            shared = np.zeros(int(place[-1]) + 1, bool)
+            shared[place[begin <= settled]] = True
+            keep = shared[place]
+            if not keep.any():
+                return
+            if not keep.all():
+                order, slot, head, f, b, begin = (x[keep] for x in (order, slot, head, f, b, begin))
+                place = np.cumsum(head) - 1
+
+
+def laid_out(windows: list[bytes], first: np.ndarray, last: np.ndarray, width: int) -> np.ndarray:
+    """Windows as columns: each by itself is a transform of one member."""
+    rows = np.zeros((len(windows), width), np.uint8)
+    for row, w, a, b in zip(rows, windows, first.tolist(), last.tolist(), strict=True):
+        row[a:b] = np.frombuffer(w, np.uint8)
+    return np.ascontiguousarray(rows.T)
+
+
+def transform(columns: np.ndarray, group: np.ndarray, unit: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The merged transform of units, group by group."""
+    out = np.zeros_like(columns)
+    for c, symbols, _, _ in refine(columns, group, unit, first, last):
+        out[c] = symbols
+    return out
+
+
+def repeated(
+    columns: np.ndarray, group: np.ndarray, unit: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, reach: int, gram: int
+) -> np.ndarray:
+    """``hit[i, d]``: the string that starts ``d`` bytes before anchor ``i`` has a copy at another anchor of its group.
 
+    Anchors stand at column ``reach``; every string of an anchor holds the ``gram`` columns from there on.
+    """
+    hit = np.zeros((columns.shape[1], reach + 1), bool)
+    for c, _, order, begin in refine(columns, group, unit, first, last, settled=reach):
+        d = length - 1 - (c - reach)
+        if c >= reach + gram - 1 and 0 <= d <= reach:
+            twin = begin <= c - length + 1
+            twin[:-1] |= twin[1:]
+            hit[order[twin], d] = True
+    return hit
 
-def matrix(contexts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts as rows of big-endian words, padded with zeros, and their lengths."""
-    words = -(-width // 8)
-    rows = np.frombuffer(b"".join(c.ljust(words * 8, b"\0") for c in contexts), ">u8").reshape(len(contexts), words)
-    return rows, np.array([len(c) for c in contexts], np.int64)
 
+#: One row a shard and anchor hash: its windows' places, and its transform, columns one after the other.
+SHARD = "h long, k array<long>, th array<long>, place array<long>, columns binary"
 
-def interleave(group: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of contexts within their groups, and what each has in common with the one before.
 
-    ``group`` is sorted. Each round reads one word of the contexts whose block still has several members and splits
-    those blocks; settled blocks are not touched again. The common prefix is -1 at the start of a group.
-    """
-    n = len(group)
-    order = np.arange(n)
-    common = np.full(n, 1 << 30, np.int64)
-    starts = np.ones(n, bool)
-    starts[1:] = group[1:] != group[:-1]
-    common[starts] = -1
-    for r in range(rows.shape[1]):
-        block = np.cumsum(starts) - 1
-        open_ = np.bincount(block)[block] > 1
-        at = np.flatnonzero(open_)
-        if not len(at):
-            break
-        word = rows[order[at], r].astype(np.uint64)
-        rank = np.lexsort((word, block[at]))
-        order[at] = order[at][rank]
-        word, blk = word[rank], block[at]  # blocks keep their places
-        new = np.flatnonzero((word[1:] != word[:-1]) & (blk[1:] == blk[:-1])) + 1
-        differ = word[new] ^ word[new - 1]
-        same = np.zeros(len(new), np.int64)
-        for byte in range(1, 8):
-            same += differ < (np.uint64(1) << np.uint64(64 - 8 * byte))
-        common[at[new]] = 8 * r + same
-        starts[at[new]] = True
-    limit = sizes[order]
-    common[1:] = np.minimum(common[1:], np.minimum(limit[1:], limit[:-1]))
-    return order, common
-
-
-def repeated(group: np.ndarray, lefts: list[bytes], rights: list[bytes], lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
-    """``hit[i, d]``: the string that starts ``d`` bytes before anchor ``i`` has a copy at another anchor of its group.
+def _shards(length: int, gram: int, shard_windows: int = 4096):
+    """Build the transforms of the windows of a partition, ``shard_windows`` at a time."""
+    reach = length - gram
+    kind = pa.struct([("h", pa.int64()), ("place", pa.int64())])
 
-    Two strings at offset ``d`` are equal if their anchors share ``d`` bytes to the left and ``length - d`` to the
-    right: if they are in one run of either order at these depths.
-    """
-    n = len(group)
-    to_right, along_right = interleave(group, *matrix(rights, length))
-    to_left, along_left = interleave(group, *matrix(lefts, length))
-    hit = np.zeros((n, int(hi.max()) + 1), bool)
-    run_right, run_left = np.empty(n, np.int64), np.empty(n, np.int64)
-    for d in range(int(lo.min()), int(hi.max()) + 1):
-        live = np.flatnonzero((lo <= d) & (d <= hi))
-        if len(live) < 2:
-            continue
-        run_right[to_right] = np.cumsum(along_right < length - d)
-        run_left[to_left] = np.cumsum(along_left < d)
-        key = run_right[live] * (n + 1) + run_left[live]
+    def built(h: list, k: list, th: list, place: list, windows: list) -> pa.RecordBatch:
+        key = np.array(h, np.int64)
         rank = np.argsort(key, kind="stable")
-        key = key[rank]
-        twin = np.zeros(len(key), bool)
-        twin[1:] = key[1:] == key[:-1]
-        twin[:-1] |= twin[1:]
-        hit[live[rank[twin]], d] = True
-    return hit
+        key, at = key[rank], np.array(place, np.int64)[rank]
+        _, lo, hi = unpacked(at)
+        first, last = reach - hi, reach + length - lo
+        columns = laid_out([windows[i] for i in rank.tolist()], first, last, reach + length)
+        columns = transform(columns, key, np.arange(len(key)), first, last)
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = np.append(begin[1:], len(key))
+        bits = [columns[first[a:b].min() : last[a:b].max(), a:b].tobytes() for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
+        offsets = pa.array(np.append(begin, len(key)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, np.int64)[rank])) for x in (k, th, place)]
+        return pa.RecordBatch.from_arrays([pa.array(key[begin]), *lists, pa.array(bits, pa.binary())], names=["h", "k", "th", "place", "columns"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple[list, list, list, list, list] = ([], [], [], [], [])
+        for batch in slices(batches, 64):
+            for k, th, text, marks in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), strict=True
+            ):
+                mark = marks.values.cast(kind)
+                hs, places = mark.field("h").to_pylist(), mark.field("place").to_numpy()
+                p, lo, hi = unpacked(places)
+                for h, x, a, b in zip(hs, places.tolist(), (p - hi).tolist(), (p - lo + length).tolist(), strict=True):
+                    for into, value in zip(kept, (h, k, th, x, text[a:b]), strict=True):
+                        into.append(value)
+                    if len(kept[0]) >= shard_windows:
+                        yield built(*kept)
+                        kept = ([], [], [], [], [])
+        if kept[0]:
+            yield built(*kept)
 
+    return run
+
+
+def _merge(length: int, gram: int, chunk_windows: int):
+    """Merge the shards' transforms, whole groups at a time, and give the spans of repeated strings."""
+    reach = length - gram
+
+    def solve(table: pa.Table) -> pa.RecordBatch | None:
+        k, th, place = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("k", "th", "place"))
+        sizes = table.column("place").combine_chunks().value_lengths().to_numpy()
+        ends = np.cumsum(sizes)
+        p, lo, hi = unpacked(place)
+        first, last = reach - hi, reach + length - lo
+        columns = np.zeros((reach + length, len(place)), np.uint8)
+        for bits, a, b in zip(table.column("columns").to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+            top, low = int(first[a:b].min()), int(last[a:b].max())
+            columns[top:low, a:b] = np.frombuffer(bits, np.uint8).reshape(low - top, b - a)
+        group = np.repeat(table.column("h").to_numpy(), sizes)
+        hit = repeated(columns, group, np.repeat(np.arange(len(sizes)), sizes), first, last, length, reach, gram)
+        edge = np.zeros((len(hit), hit.shape[1] + 2), np.int8)
+        edge[:, 1:-1] = hit
+        step = np.diff(edge, axis=1)
+        i, a = np.nonzero(step == 1)
+        _, b = np.nonzero(step == -1)  # offsets a .. b - 1 of anchor i
+        if not len(i):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(k[i]), pa.array(th[i]), pa.array(p[i] - b + 1), pa.array(p[i] - a + length)], names=["k", "th", "s", "e"])
 
-def _merge(length: int, chunk_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
-        rows = 0
-
-        def solve(table: pa.Table) -> pa.RecordBatch | None:
-            h = table.column("h").to_numpy()
-            group = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
-            p, lo, hi = unpacked(table.column("place").to_numpy())
-            hit = repeated(group, table.column("lefts").to_pylist(), table.column("rights").to_pylist(), lo, hi, length)
-            edge = np.zeros((len(hit), hit.shape[1] + 2), np.int8)
-            edge[:, 1:-1] = hit
-            step = np.diff(edge, axis=1)
-            i, a = np.nonzero(step == 1)
-            _, b = np.nonzero(step == -1)  # offsets a .. b - 1 of anchor i
-            if not len(i):
-                return None
-            k, th = table.column("k").to_numpy(), table.column("th").to_numpy()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(k[i]), pa.array(th[i]), pa.array(p[i] - b + 1), pa.array(p[i] - a + length)], names=["k", "th", "s", "e"]
-            )
-
-        for batch in batches:
+        held = 0
+        for batch in slices(batches, 256):
             kept.append(batch)
-            rows += batch.num_rows
-            if rows >= chunk_rows:
+            held += len(batch.column(3).flatten())
+            if held >= chunk_windows:
                 table = pa.Table.from_batches(kept)
                 h = table.column("h").to_numpy()
                 cut = int(np.flatnonzero(h == h[-1])[0])  # the last group may go on
@@ -258,74 +313,82 @@ def _merge(length: int, chunk_rows: int):
                     if (got := solve(table.slice(0, cut))) is not None:
                         yield got
                     kept = table.slice(cut).combine_chunks().to_batches()
-                    rows -= cut
-        if rows and (got := solve(pa.Table.from_batches(kept))) is not None:
+                    held = sum(len(x.column(3).flatten()) for x in kept)
+        if held and (got := solve(pa.Table.from_batches(kept))) is not None:
             yield got
 
     return run
 
 
-def _strings(length: int):
-    """Each string of an anchor by its hash: how groups too large for one task are settled."""
+def _narrowed(length: int, width: int):
+    """Anchors of a group too large for one task, by ranges of ``width`` offsets: what all strings of a range share becomes the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p, lo, hi = unpacked(batch.column(3).to_numpy())
-            ks, ths = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        kind = pa.struct([("h", pa.int64()), ("place", pa.int64())])
+        for batch in slices(batches, 64):
+            rows: list[tuple[int, int, int, int]] = []
             keys: list[bytes] = []
-            who, begin = [], []
-            for i, (left, right) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                text = left[::-1] + right
-                for j in range(int(hi[i] - lo[i]) + 1):
-                    keys.append(xxhash.xxh3_128_digest(text[j : j + length]))
-                    who.append(i)
-                    begin.append(int(p[i] - hi[i]) + j)
-            u = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ks[who]), pa.array(ths[who]), pa.array(u[:, 0].copy()), pa.array(u[:, 1].copy()), pa.array(np.array(begin, np.int64))],
-                names=["k", "th", "u1", "u2", "s"],
-            )
+            for k, th, text, marks in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), strict=True
+            ):
+                for p, lo, hi in zip(*(x.tolist() for x in unpacked(marks.values.cast(kind).field("place").to_numpy())), strict=True):
+                    for d in range(lo - lo % width, hi + 1, width):
+                        a, b = max(lo, d), min(hi, d + width - 1)
+                        core = text[p - d : p + length - (d + width - 1)]
+                        rows.append((k, th, (p << 2 * D_BITS) | (a << D_BITS) | b, xxhash.xxh3_64_intdigest(core, d)))
+                        keys.append(xxhash.xxh3_128_digest(text[p - b : p - a + length], (a << D_BITS) | b))
+            if rows:
+                k_, th_, place, h = zip(*rows, strict=True)
+                u = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+                columns = [pa.array(k_), pa.array(th_), pa.array(place), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(u[:, 0].copy()), pa.array(u[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.ones(len(rows), np.int64))], names=ANCHOR)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, group_rows: int = 20_000, chunk_rows: int = 50_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, group_windows: int = 20_000, chunk_windows: int = 20_000) -> DataFrame:
     """``(k, th, spans)`` of the documents ``(k, th, text)`` with a byte string of ``length`` bytes that starts elsewhere too.
 
-    Anchors whose hash is unique are dropped. Anchors with equal surroundings (all strings that they anchor) are
+    Anchors whose hash is unique are dropped. Anchors with equal windows are
     aggregated, within each text and before the shuffle: two or more of them settle each other, and one stands for them
     in the merge. So exact copies, however many, and periodic texts cost one row. The groups that are left are merged by sorted
-    partitions, several groups in one pass and one group of at most ``group_rows`` anchors in one task; the strings
-    of larger groups are settled one by one by an aggregation of their hashes, with partial sums.
+    partitions, several groups in one pass and one group of at most ``group_windows`` windows in one task. Larger groups are
+    narrowed first: windows are cut by ranges of offsets, and what all strings of a range share tells groups apart, in
+    ranges of an eighth of ``length`` offsets, then 7, then single ones, whose windows are equal or share no string. All go the same way.
     """
+    if length - gram >= 1 << D_BITS or gram >= length:
+        raise ValueError(f"length must exceed gram, by less than {1 << D_BITS}")
     n = parallelism(docs.sparkSession)
-    found = written(docs.mapInArrow(_anchor_rows(length, gram), ", ".join(f"{c} long" for c in ANCHOR)))
-    own = found.where("h is null").select("k", "th", F.col("place").alias("s"), F.col("u1").alias("e"))
+    schema = ", ".join(f"{c} long" for c in ANCHOR)
+    found = written(docs.mapInArrow(_anchor_rows(length, gram), schema))
+    spans = found.where("h is null").select("k", "th", F.col("place").alias("s"), F.col("u1").alias("e"))
     rows = found.where("h is not null")
-    # what is joined back by a key that may be frequent is written first: then both sides are plain shuffles, which Spark can split
-    often = written(rows.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
-    rows = written(rows.join(often, "h"))
-    units = written(rows.groupBy("h", "u1", "u2").agg(F.sum("times").alias("n"), F.min(F.struct("k", "th", "place")).alias("at")))
     mask = (1 << D_BITS) - 1
     p, lo, hi = F.shiftright("place", 2 * D_BITS), F.shiftright("place", D_BITS).bitwiseAND(F.lit(mask)), F.col("place").bitwiseAND(F.lit(mask))
-    whole = rows.join(units.where("n > 1").select("h", "u1", "u2"), ["h", "u1", "u2"]).select("k", "th", (p - hi).alias("s"), (p - lo + length).alias("e"))
-    kinds = written(units.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
-    open_ = written(units.join(kinds, "h").select("h", "at.*", (F.col("kinds") > group_rows).alias("large")))
-
-    def contexts(anchors: DataFrame) -> DataFrame:
-        marks = anchors.groupBy("k", "th").agg(F.collect_list(F.struct("h", "place")).alias("marks"))
-        met = docs.join(marks.hint("shuffle_hash"), ["k", "th"]).select("k", "th", "text", "marks")
-        return met.mapInArrow(_contexts(length), "h long, k long, th long, place long, lefts binary, rights binary")
-
-    merged = contexts(open_.where(~F.col("large"))).repartition(n, "h").sortWithinPartitions("h")
-    spans = own.union(whole).union(merged.mapInArrow(_merge(length, chunk_rows), "k long, th long, s long, e long"))
-    if open_.where("large").limit(1).count():
-        strings = written(contexts(open_.where("large")).mapInArrow(_strings(length), "k long, th long, u1 long, u2 long, s long"))
-        twice = strings.groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u1", "u2")
-        spans = spans.union(strings.join(twice, ["u1", "u2"]).select("k", "th", "s", (F.col("s") + length).alias("e")))
+    for width in (max(1, length // 8), min(7, max(1, length // 8)), 1, None):
+        # what is joined back by a key that may be frequent is written first: then both sides are plain shuffles, which Spark can split
+        often = written(rows.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
+        rows = written(rows.join(often, "h"))
+        units = written(rows.groupBy("h", "u1", "u2").agg(F.sum("times").alias("n"), F.min(F.struct("k", "th", "place")).alias("at")))
+        whole = rows.join(units.where("n > 1").select("h", "u1", "u2"), ["h", "u1", "u2"])
+        spans = spans.union(whole.select("k", "th", (p - hi).alias("s"), (p - lo + length).alias("e")))
+        kinds = written(units.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+        open_ = written(units.join(kinds, "h").select("h", "at.*", (F.col("kinds") > group_windows).alias("large")))
+        merged = _marked(docs, open_.where(~F.col("large"))).mapInArrow(_shards(length, gram), SHARD)
+        merged = merged.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_merge(length, gram, chunk_windows), "k long, th long, s long, e long")
+        spans = spans.union(merged)
+        if not kinds.where(F.col("kinds") > group_windows).limit(1).count():
+            break
+        rows = written(_marked(docs, open_.where("large")).mapInArrow(_narrowed(length, width), schema))
     return spans.groupBy("k", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
+def _marked(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Texts with their anchors."""
+    marks = anchors.groupBy("k", "th").agg(F.collect_list(F.struct("h", "place")).alias("marks"))
+    return docs.join(marks.hint("shuffle_hash"), ["k", "th"]).select("k", "th", "text", "marks")
+
+
 def merged_spans(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
     """The union of spans as maximal runs; spans that touch are one run."""
     order = np.argsort(s, kind="stable")
@@ -339,7 +402,7 @@ def _cut(digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         kind = pa.struct([("s", pa.int64()), ("e", pa.int64())])
-        for batch in batches:
+        for batch in slices(batches):
             sizes, cuts, kept = [], [], []
             for text, spans in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), strict=True):
                 runs = []
@@ -364,7 +427,7 @@ def _cut(digest: bool):
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 400, gram: int = 64, digest: bool = False, group_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = 400, gram: int = 64, digest: bool = False, group_windows: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that starts anywhere else too, the same document included.
 
@@ -377,7 +440,7 @@ def remove_repeats(
     base = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID).cast("long")).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).select("k", F.xxhash64("text").alias("th"), "text")
-    spans = repeated_spans(base, length, gram, group_rows)
+    spans = repeated_spans(base, length, gram, group_windows)
     met = base.join(spans.hint("shuffle_hash"), ["k", "th"], "left").select("k", "th", "text", "spans")
     done = met.mapInArrow(_cut(digest), "k long, th long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return done.select(F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"), "n_bytes", "spans", "kept")

@@ -193,26 +193,80 @@ def brute_repeats(rows, length):
 
 @pytest.mark.parametrize(("length", "gram", "limit"), [(40, 12, 20_000), (40, 12, 2), (100, 64, 20_000)])
 def test_repeats(docs, rows, length, gram, limit):
-    got = suffix_dedup.remove_repeats(docs, length, gram, group_rows=limit).collect()
+    got = suffix_dedup.remove_repeats(docs, length, gram, group_windows=limit).collect()
     assert Counter((r.doc_id, r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), bytes(r.kept)) for r in got) == brute_repeats(rows, length)
 
 
 def test_repeats_of_nothing(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
-
-
-def test_interleave_is_a_sort():
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(empty, length=5000, gram=64)
+
+
+def some_windows(rng, n, reach, length):
+    """Groups of windows that share much, in order of group, with the columns that each has."""
+    group = np.sort(rng.integers(0, 6, n))
+    lo = rng.integers(0, reach + 1, n)
+    hi = np.maximum(lo, rng.integers(0, reach + 1, n))
+    core = rng.integers(97, 99, (6, reach + length)).astype(np.uint8)
+    texts = core[group]
+    for i in range(n):
+        for _ in range(rng.integers(0, 3)):
+            texts[i, rng.integers(0, reach + length)] ^= 3
+    first, last = reach - hi, reach + length - lo
+    return group, first, last, [texts[i, first[i] : last[i]].tobytes() for i in range(n)]
+
+
+def test_transforms_merge():
+    """Shards' transforms merge to what all windows at once give: bytes in the order of reversed prefixes, with true common stretches."""
     rng = np.random.default_rng(1)
-    contexts = [bytes(rng.integers(97, 99, rng.integers(0, 30)).astype(np.uint8)) for _ in range(200)]
-    group = np.sort(rng.integers(0, 5, 200))
-    order, common = suffix_dedup.interleave(group, *suffix_dedup.matrix(contexts, 32))
-    for a in range(1, 200):
-        x, y = contexts[order[a - 1]], contexts[order[a]]
-        if group[a] != group[a - 1]:
-            assert common[a] == -1
-            continue
-        n = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
-        assert common[a] == n and x.ljust(32, b"\0") <= y.ljust(32, b"\0")
+    reach, length = 9, 15
+    for n in (2, 40, 120):
+        group, first, last, windows = some_windows(rng, n, reach, length)
+        columns = suffix_dedup.laid_out(windows, first, last, reach + length)
+        alone = np.arange(n)
+        cell = lambda i, c: windows[i][c - first[i]] if first[i] <= c < last[i] else None
+        for c, symbols, order, begin in suffix_dedup.refine(columns, group, alone, first, last):
+            assert all(group[order] == group)
+            for a, b, x in zip(order[:-1], order[1:], begin[1:], strict=True):
+                if group[a] != group[b]:
+                    assert x == suffix_dedup.FAR
+                    continue
+                same = c + 1
+                while same > 0 and cell(a, same - 1) is not None and cell(a, same - 1) == cell(b, same - 1):
+                    same -= 1
+                assert x == same
+                if cell(a, same - 1) is not None and cell(b, same - 1) is not None:
+                    assert cell(a, same - 1) < cell(b, same - 1)
+        # deal each group's windows to shards, build their transforms, and merge these
+        shard = rng.integers(0, 4, n)
+        rank = np.lexsort((alone, shard, group))
+        unit = group[rank] * 4 + shard[rank]
+        parts = columns[:, rank].copy()
+        for u in np.unique(unit):
+            at = np.flatnonzero(unit == u)
+            parts[:, at] = suffix_dedup.transform(columns[:, rank[at]], group[rank[at]], np.arange(len(at)), first[rank[at]], last[rank[at]])
+        merged = suffix_dedup.transform(parts, group[rank], unit, first[rank], last[rank])
+        assert (merged == suffix_dedup.transform(columns[:, rank], group[rank], alone, first[rank], last[rank])).all()
+
+
+def test_merged_transforms_give_repeats():
+    rng = np.random.default_rng(2)
+    reach, length, gram = 9, 15, 6
+    for n in (2, 30, 90):
+        group, first, last, windows = some_windows(rng, n, reach, length)
+        hit = suffix_dedup.repeated(suffix_dedup.laid_out(windows, first, last, reach + length), group, np.arange(n), first, last, length, reach, gram)
+        strings = Counter()
+        for i in range(n):
+            for d in range(reach + 1):
+                a = reach - d - first[i]
+                if a >= 0 and reach - d + length <= last[i]:
+                    strings[group[i], d, windows[i][a : a + length]] += 1
+        for i in range(n):
+            for d in range(reach + 1):
+                a = reach - d - first[i]
+                inside = a >= 0 and reach - d + length <= last[i]
+                assert hit[i, d] == (inside and strings[group[i], d, windows[i][a : a + length]] > 1)
 
 
 def test_segments_do_not_matter(monkeypatch):
