@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..core.validate import Variable, at_least, positive, unit, variable
 from ..functions.special import digamma, digamma_value, unit_ball_volume
+from ..plans.series import checkpointed
 from .neighbors import every_row, kth_distance, points, range_counts, total
 
 METRICS = {"chebyshev": math.inf, "euclidean": 2.0, "manhattan": 1.0}
@@ -21,16 +22,16 @@ def norm(metric: str | float) -> float:
         if metric not in METRICS:
             raise ValueError(f"unknown metric {metric!r}; there are {', '.join(METRICS)}")
         return METRICS[metric]
-    if metric < 1:
-        raise ValueError("a metric's power must be at least 1")
+    if not metric > 0:
+        raise ValueError("a metric's power must be positive")
     return float(metric)
 
 
 def noisy(df: DataFrame, columns: Sequence[str], noise: float, seed: int) -> DataFrame:
-    """Columns with normal noise of standard deviation ``noise``; none at 0."""
+    """Columns with normal noise of standard deviation ``noise``; none at 0. It is drawn once, so that all terms of a measure see the same."""
     if noise <= 0:
         return df
-    return df.select(*[(F.col(c) + noise * F.randn(seed + i)).alias(c) if c in columns else F.col(c) for i, c in enumerate(df.columns)])
+    return checkpointed(df.select(*[(F.col(c) + noise * F.randn(seed + i)).alias(c) if c in columns else F.col(c) for i, c in enumerate(df.columns)]))
 
 
 def _radii(df: DataFrame, cols: Sequence[str], k: int, p: float, other: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -3,7 +3,8 @@
 Equal points are one point with a weight, so a value that a third of all rows share costs one row. Up to ``ALL_PAIRS`` distinct
 points, queries and data are dealt into blocks and each pair of blocks is one task of plain array arithmetic. Beyond that the data
 are cut into boxes at medians, and a query visits only the boxes within its reach, so work follows the number of
-neighbours and not the square of the points. A task holds two bounded blocks whatever the number of points. In one
+neighbours and not the square of the points. Boxes come in two levels where there are too many for the driver: the outer ones are
+known to it, the inner ones to the tasks that search an outer one. A task holds two bounded blocks whatever the number of points. In one
 dimension, range counts need no pairs at all: they are differences of global prefix sums.
 """
 
@@ -28,7 +29,7 @@ BOX_POINTS = 2_048
 #: Queries that meet a block in one task, on average.
 BLOCK_QUERIES = 65_536
 CELLS = 4_000_000
-#: Boxes at most; their corners and sizes go through the driver. Beyond, boxes are cut further by hash.
+#: Boxes at most whose corners and sizes go through the driver. Beyond, each of these is cut into boxes of its own by a task.
 MAX_BOXES = 4_096
 #: Points that decide where boxes are cut; results do not depend on the cuts.
 SAMPLE = 50_000
@@ -157,6 +158,20 @@ def _dealt(ids: np.ndarray, into: np.ndarray) -> np.ndarray:
     return ((mixed >> np.uint64(33)) % into.astype(np.uint64)).astype(np.int64)
 
 
+def _gaps(x: np.ndarray, low: np.ndarray, high: np.ndarray, p: float) -> np.ndarray:
+    """Distances of points to boxes with the given corners; 0 within."""
+    gap = np.zeros((len(x), len(low)))
+    for k in range(x.shape[1]):
+        side = np.maximum(0.0, np.maximum(low[None, :, k] - x[:, None, k], x[:, None, k] - high[None, :, k]))
+        gap = np.maximum(gap, side) if math.isinf(p) else gap + side**p
+    return gap if math.isinf(p) else gap ** (1 / p)
+
+
+def boxed(data: DataFrame, n: int, dim: int) -> Boxes:
+    """Boxes of ``n`` data points in ``dim`` dimensions, in one level or two."""
+    return Nested(data, n, dim) if n > MAX_BOXES * BOX_POINTS else Boxes(data, n, dim)
+
+
 class Boxes:
     """Data points in boxes: their corners and sizes (``MAX_BOXES`` rows at most) are known to the driver."""
 
@@ -190,13 +205,7 @@ class Boxes:
         who, where = [], []
         step = max(1, CELLS // max(1, len(self.box)))
         for a in range(0, len(x), step):
-            part = x[a : a + step]
-            gap = np.zeros((len(part), len(self.box)))
-            for k in range(self.dim):
-                side = np.maximum(0.0, np.maximum(self.low[None, :, k] - part[:, None, k], part[:, None, k] - self.high[None, :, k]))
-                gap = np.maximum(gap, side) if math.isinf(p) else gap + side**p
-            if not math.isinf(p):
-                gap **= 1 / p
+            gap = _gaps(x[a : a + step], self.low, self.high, p)
             i, j = np.nonzero(gap <= reach[a : a + step, None] * (1 + 1e-9))  # rounding may add a box, never lose one
             who.append(i + a)
             where.append(j)
@@ -259,6 +268,76 @@ class Boxes:
         return q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInArrow(_solver(compute, schema, extra), f"_id long, {schema}")
 
 
+class Nested(Boxes):
+    """Boxes in two levels. What a query visits is found twice: outer boxes from their corners on the driver, then
+    the inner boxes of each by a task that has their corners and a bounded number of queries.
+    """
+
+    def __init__(self, data: DataFrame, n: int, dim: int) -> None:
+        super().__init__(data, n, dim)
+        cuts, size = self.cuts, BOX_POINTS
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cuts.of(_matrix(batch.column(0))))], names=["_y", "_w", "_o"])
+
+        def cut(table: pa.Table) -> pa.Table:
+            y = _matrix(table.column("_y"))
+            return table.append_column("_s", pa.array(Cuts(y, math.ceil(len(y) / size)).of(y)))
+
+        placed = data.select(F.col("_x").alias("_y"), "_w").mapInArrow(place, "_y array<double>, _w long, _o long")
+        self.inner = checkpointed(placed.groupBy("_o").applyInArrow(cut, "_y array<double>, _w long, _o long, _s long"))
+        corner = [F.array(*[f(F.col("_y")[k]) for k in range(dim)]).alias(n) for f, n in ((F.min, "_low"), (F.max, "_high"))]
+        self.corners = checkpointed(self.inner.groupBy("_o", "_s").agg(*corner))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("data", "inner", "corners")}
+
+    def partials(self, queries: DataFrame, compute: Compute, schema: str, p: float, reach: str | float | None, extra: Sequence[str] = ()) -> DataFrame:
+        """As with one level; without reach a query visits the inner box that is nearest, in its own outer one."""
+        more = [*extra, *([reach] if isinstance(reach, str) and reach not in extra else [])]
+        slim = queries.select("_id", "_x", *more)
+        kinds = "".join(f", {c} double" for c in more)
+
+        def limits(x: np.ndarray, columns: Callable[[str], pa.Array]) -> np.ndarray | None:
+            return columns(reach).to_numpy() if isinstance(reach, str) else None if reach is None else np.full(len(x), float(reach))
+
+        def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = _matrix(batch.column(1))
+                    i, j = self.visits(x, limits(x, lambda c, b=batch: b.column(2 + more.index(c))), p)
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(i)).columns, pa.array(self.box[j])], names=["_id", "_x", *more, "_o"])
+
+        def inner(left: pa.Table, right: pa.Table) -> pa.Table:
+            who, where = [], []
+            if left.num_rows and right.num_rows:
+                x, low, high = _matrix(left.column("_x")), _matrix(right.column("_low")), _matrix(right.column("_high"))
+                at = limits(x, left.column)
+                step = max(1, CELLS // len(low))
+                for a in range(0, len(x), step):
+                    gap = _gaps(x[a : a + step], low, high, p)
+                    i, j = (np.arange(len(gap)), gap.argmin(axis=1)) if at is None else np.nonzero(gap <= at[a : a + step, None] * (1 + 1e-9))
+                    who.append(i + a)
+                    where.append(j)
+            i, j = (np.concatenate(z or [np.zeros(0, np.int64)]) for z in (who, where))
+            took = left.take(pa.array(i))
+            columns = {c: took.column(c) for c in ("_id", "_x", *more, "_o")}
+            return pa.table({**columns, "_s": right.column("_s").take(pa.array(j))})
+
+        deal = F.xxhash64("_id", F.lit(1))
+        visits = checkpointed(slim.mapInArrow(outer, f"_id long, _x array<double>{kinds}, _o long"))
+        groups = checkpointed(visits.groupBy("_o").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("_groups")))
+        asked = visits.join(groups, "_o").withColumn("_i", F.pmod(deal, F.col("_groups"))).drop("_groups")
+        known = self.corners.join(groups, "_o").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1))).drop("_groups")
+        within = checkpointed(asked.groupBy("_o", "_i").cogroup(known.groupBy("_o", "_i")).applyInArrow(inner, f"_id long, _x array<double>{kinds}, _o long, _s long"))
+        groups = checkpointed(within.groupBy("_o", "_s").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("_groups")))
+        asked = within.join(groups, ["_o", "_s"]).withColumn("_i", F.pmod(deal, F.col("_groups"))).drop("_groups")
+        stored = self.inner.join(groups, ["_o", "_s"]).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1))).drop("_groups")
+        keys = ["_o", "_s", "_i"]
+        return asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(_solver(compute, schema, extra), f"_id long, {schema}")
+
+
 def distances(x: np.ndarray, y: np.ndarray, p: float) -> np.ndarray:
     """Distances between two sets of points under a Minkowski norm."""
     out = np.abs(x[:, None, 0] - y[None, :, 0])
@@ -306,7 +385,7 @@ def kth_distance(queries: DataFrame, data: DataFrame, k: int, p: float, exclude_
     nq, nd = queries.count(), data.count()
     if max(nq, nd) <= ALL_PAIRS:
         return queries.join(best(all_pairs(queries, data, (nq, nd), compute, "_near array<double>"), "_rho"), "_id")
-    boxes = Boxes(data, nd, _dim(data))
+    boxes = boxed(data, nd, _dim(data))
     own = best(boxes.partials(queries, compute, "_near array<double>", p, None), "_reach")
     bounded = checkpointed(queries.join(own, "_id", "left").withColumn("_reach", F.coalesce("_reach", F.lit(math.inf))))
     return queries.join(best(boxes.partials(bounded, compute, "_near array<double>", p, "_reach"), "_rho"), "_id")
@@ -352,7 +431,7 @@ def range_counts(queries: DataFrame, data: DataFrame, subspaces: dict[str, Seque
     for name, dims in subspaces.items():
         asked = _projected(queries, dims, keep=["_rho"]).select("_id", F.col("_y").alias("_x"), "_rho")
         stored = _distinct(_projected(data, dims))
-        boxes, every = Boxes(stored, stored.count(), len(dims)), range(len(dims))
+        boxes, every = boxed(stored, stored.count(), len(dims)), range(len(dims))
         parts = boxes.partials(asked, lambda x, more, y, w, n=name, e=every: {n: within(x, more, y, w, e)}, f"{name} long", p, "_rho", ["_rho"])
         out = out.join(parts.groupBy("_id").agg(F.sum(name).alias(name)), "_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
     return out
@@ -388,7 +467,7 @@ def kernel_sums(queries: DataFrame, data: DataFrame, kernels: dict[str, Kernel])
         if len(kernel.dims) == 1 and kernel.value is None:
             found = rank_counts(stored, kernel.reach, asked).select("_x", F.col("_cnt").cast("double").alias(name))
         else:
-            boxes = Boxes(stored, stored.count(), len(kernel.dims))
+            boxes = boxed(stored, stored.count(), len(kernel.dims))
             parts = boxes.partials(asked, lambda x, _, y, w, n=name, k=kernel: {n: k.sums(x, y, w)}, f"{name} double", kernel.p, kernel.reach)
             found = asked.join(parts.groupBy("_id").agg(F.sum(name).alias(name)), "_id", "left")
         at = found.select(F.col("_x").alias("_y"), F.coalesce(name, F.lit(0.0)).alias(name))

@@ -51,19 +51,19 @@ def test_ksg_goldens(spark):
     assert il.mutual_information(df, ["x", "y"], "ksg", k=2, variant=2).first().value == pytest.approx(-0.916666666667)
 
 
-@pytest.fixture(params=[True, False], ids=["boxes", "pairs"])
+@pytest.fixture(params=["boxes", "nested", "pairs"])
 def boxes(request, monkeypatch):
-    """Whether points are searched box by box, as many are, with boxes and blocks of a few points."""
+    """Whether points are searched box by box, as many are, in one level or two, with boxes and blocks of a few points."""
     monkeypatch.setattr(neighbors, "BLOCK_POINTS", 16)
-    if request.param:
+    if request.param != "pairs":
         monkeypatch.setattr(neighbors, "ALL_PAIRS", 0)
         monkeypatch.setattr(neighbors, "BOX_POINTS", 12)
         monkeypatch.setattr(neighbors, "BLOCK_QUERIES", 20)
-        monkeypatch.setattr(neighbors, "MAX_BOXES", 6)
+        monkeypatch.setattr(neighbors, "MAX_BOXES", 64 if request.param == "boxes" else 3)
     return request.param
 
 
-@pytest.mark.parametrize(("metric", "p"), [("chebyshev", math.inf), ("euclidean", 2.0), ("manhattan", 1.0), (3.0, 3.0)])
+@pytest.mark.parametrize(("metric", "p"), [("chebyshev", math.inf), ("euclidean", 2.0), ("manhattan", 1.0), (3.0, 3.0), (0.5, 0.5)])
 def test_nearest(cloud, metric, p, boxes):
     x, df = cloud
     pts = neighbors.points(df, ["a", "b", "c"])
