@@ -138,20 +138,17 @@ def embedded(
     return out.drop("_t"), names
 
 
-def shuffled_past(frame: DataFrame, columns: Sequence[str], series_by: Sequence[str] = (), seed: int = 0) -> DataFrame:
-    """Whole rows of the given columns dealt anew within each series, the rest left in place."""
-    order = F.xxhash64(F.col("_tie"), F.lit(seed))
-    tied = checkpointed(frame.withColumn("_tie", F.monotonically_increasing_id()))
-    w1 = W.partitionBy(*series_by).orderBy("_tie")
-    w2 = W.partitionBy(*series_by).orderBy(order, "_tie")
-    if series_by:
-        a, b = tied.withColumn("_rn", F.row_number().over(w1)), tied.withColumn("_rn", F.row_number().over(w2))
-    else:
-        a = global_row_number(tied.withColumnRenamed("_tie", "_own"), ["_own"]).drop("_own")
-        b = global_row_number(tied.withColumn("_own", order).drop("_tie"), ["_own"]).drop("_own")
-    kept = a.select(*series_by, "_rn", *[c for c in frame.columns if c not in columns and c not in series_by])
-    dealt = b.select(*[F.col(s).alias(f"_x_{s}") for s in series_by], F.col("_rn").alias("_x_rn"), *columns)
-    same = F.col("_rn") == F.col("_x_rn")
-    for s in series_by:
-        same = same & F.col(s).eqNullSafe(F.col(f"_x_{s}"))
-    return kept.join(dealt, same).select(*frame.columns)
+def shuffled_pasts(
+    frame: DataFrame, columns: Sequence[str], order_by: Sequence[str], series_by: Sequence[str], rounds: int, seed: int, key: Sequence[str]
+) -> DataFrame:
+    """Whole rows of the given columns dealt anew within each series, once a round: the frame with a ``round``, the rest left in place.
+
+    Rows and dealt rows are numbered alike, round by round and series by series, over range partitions, so no series is
+    one task. A row's place in a round is the MD5 of its key and the round plus ``seed``, whatever the partitions.
+    """
+    many = frame.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    place = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key], (F.col("round") + seed).cast("string")))
+    dealt = many.select("round", *series_by, *order_by, place.alias("_place"), *columns)
+    a = global_row_number(many.drop(*columns), ["round", *series_by, *order_by], "_rn")
+    b = global_row_number(dealt, ["round", *series_by, "_place", *order_by], "_rn").select("_rn", *columns)
+    return a.join(b, "_rn").drop("_rn")

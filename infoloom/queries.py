@@ -99,6 +99,42 @@ def sql_sets(source: str, sets: dict[str, list[str]], groups: list[str]) -> str:
     return "\nunion all ".join(f"select {''.join(g + ', ' for g in groups)}'{s}' as s, count(*) as n from {source} group by {', '.join([*groups, *cols])}" for s, cols in sets.items())
 
 
+def sql_psi1(x: str) -> str:
+    """The derivative of ψ as DuckDB arithmetic."""
+    x = f"cast({x} as double)"
+    y = f"({x} + 12)"
+    return f"(1/{y} + 0.5/pow({y},2) + 1/(6*pow({y},3)) - 1/(30*pow({y},5)) + 1/(42*pow({y},7)) - 1/(30*pow({y},9)) + " + " + ".join(f"1/pow({x}+{i},2)" for i in range(12)) + ")"
+
+
+def sql_nsb(counts: str, weights: dict[str, float], groups: list[str], steps: int = 4000) -> str:
+    """A signed sum of Nemenman-Shafee-Bialek entropies: both integrals by Simpson's rule, in steps that shrink towards the largest prior weight."""
+    over = ", ".join([*groups, "s"])
+    weight = "case s " + " ".join(f"when '{s}' then {w}" for s, w in weights.items()) + " end"
+    return f"""
+with c as ({counts}),
+     t as (select {over}, cast(n as double) as n, sum(cast(n as double)) over w as tot, cast(count(*) over w as double) as k from c window w as (partition by {over})),
+     g as (select {over}, any_value(tot) as tot, any_value(k) as k, ln(ln(any_value(k))) as b, ln(ln(any_value(k))) - ln(1e-8) as d from t group by {over}),
+     x as (select *, exp(b - d*exp(-{40 / steps!r}*i)) as beta, exp(-{40 / steps!r}*i)*(case when i = 0 or i = {steps} then 1 when i % 2 = 1 then 4 else 2 end) as w from g, range(0, {steps + 1}) r(i)),
+     y as (select {', '.join(f'x.{c}' for c in [*groups, 's'])}, i, any_value(x.tot) as tot, any_value(w*beta*(x.k*{sql_psi1('1+x.k*beta')} - {sql_psi1('1+beta')})) as f,
+             -any_value(lgamma(x.tot+x.k*beta)-lgamma(x.k*beta)) + sum(t.n*(lgamma(t.n+beta)-lgamma(beta))) as l,
+             any_value({sql_psi('x.tot+x.k*beta+1')}) - sum((t.n+beta)*{sql_psi('t.n+beta+1')})/any_value(x.tot+x.k*beta) as v
+           from x join t using ({over}) group by {', '.join(f'x.{c}' for c in [*groups, 's'])}, i),
+     z as (select *, exp(l - max(l) over (partition by {over}))*f as r from y),
+     h as (select {over}, any_value(tot) as tot, sum(r*v)/sum(r) as h from z group by {over})
+select {''.join(f'{g}, ' for g in groups)}round(sum({weight}*h), {DIGITS}) + 0.0 as value, cast(max(tot) as bigint) as n from h {'group by ' + ', '.join(groups) if groups else ''}
+"""
+
+
+def sql_local_te(source: str, sets: dict[str, list[str]]) -> str:
+    """Terms of transfer entropy for each row, from window counts."""
+    count = {s: f"ln(count(*) over (partition by {', '.join(cols)}))" for s, cols in sets.items()}
+    return f"select round({count['xyz']} + {count['z']} - {count['xz']} - {count['yz']}, {DIGITS}) + 0.0 as local_value from {source}"
+
+
+def _local(df: DataFrame) -> DataFrame:
+    return df.select((F.round("local_value", DIGITS) + 0.0).alias("local_value"))
+
+
 # discrete ---------------------------------------------------------------------------------------------------------------
 
 
@@ -167,11 +203,67 @@ def _register_discrete() -> None:
             sql_signed(sql_sets(sql_embedded(1, 1, 1, 1), te_sets(1, 1, 1), []), est, CMI_WEIGHTS, []),
         )
     mle = ALL["mle"]
-    add("entropy_nsb", lambda s, d: rounded(api.entropy(_orders(s, d), "o_orderpriority", group_by=["o_orderstatus"], estimator="nsb"), "o_orderstatus"))
-    add("mi_nsb", lambda s, d: rounded(api.mutual_information(_lineitem(s, d), ["l_returnflag", "l_linestatus"], group_by=["l_linenumber"], estimator="nsb"), "l_linenumber"))
-    add("cmi_nsb", lambda s, d: rounded(api.conditional_mutual_information(_lineitem(s, d), ["l_returnflag", "l_linestatus"], "l_linenumber", estimator="nsb")))
-    add("te_nsb", lambda s, d: rounded(api.transfer_entropy(_events(s, d), "src", "dst", ["ts", "event_id"], ["shard"], estimator="nsb")))
-    add("cte_nsb", lambda s, d: rounded(api.conditional_transfer_entropy(_events(s, d), "src", "dst", "cond", ["ts", "event_id"], series_by=["shard"], estimator="nsb")))
+    add(
+        "entropy_nsb",
+        lambda s, d: rounded(api.entropy(_orders(s, d), "o_orderpriority", group_by=["o_orderstatus"], estimator="nsb"), "o_orderstatus"),
+        sql_nsb(sql_sets(ORDERS, {"x": ["o_orderpriority"]}, ["o_orderstatus"]), {"x": 1.0}, ["o_orderstatus"]),
+    )
+    add(
+        "mi_nsb",
+        lambda s, d: rounded(api.mutual_information(_lineitem(s, d), ["l_returnflag", "l_linestatus"], group_by=["l_linenumber"], estimator="nsb"), "l_linenumber"),
+        sql_nsb(sql_sets("lineitem", MI_SETS, ["l_linenumber"]), {"x": 1.0, "y": 1.0, "xy": -1.0}, ["l_linenumber"]),
+    )
+    add(
+        "cmi_nsb",
+        lambda s, d: rounded(api.conditional_mutual_information(_lineitem(s, d), ["l_returnflag", "l_linestatus"], "l_linenumber", estimator="nsb")),
+        sql_nsb(sql_sets("lineitem", CMI_SETS, []), CMI_WEIGHTS, []),
+    )
+    add(
+        "te_nsb",
+        lambda s, d: rounded(api.transfer_entropy(_events(s, d), "src", "dst", ["ts", "event_id"], ["shard"], estimator="nsb")),
+        sql_nsb(sql_sets(sql_embedded(1, 1, 1), te_sets(1, 1), []), CMI_WEIGHTS, []),
+    )
+    add(
+        "cte_nsb",
+        lambda s, d: rounded(api.conditional_transfer_entropy(_events(s, d), "src", "dst", "cond", ["ts", "event_id"], series_by=["shard"], estimator="nsb")),
+        sql_nsb(sql_sets(sql_embedded(1, 1, 1, 1), te_sets(1, 1, 1), []), CMI_WEIGHTS, []),
+    )
+    events = EVENTS.replace(" from events", ", event_id % 3 as third from events")
+    window = "window w as (partition by shard order by ts, event_id)"
+    two = f"(select * from (select dst as fut, row_number() over w - 1 as t, lag(src) over w as s1, lag(src, 2) over w as s2, lag(cond) over w as c1, lag(cond, 2) over w as c2, lag(dst) over w as dp from {events} {window}) where t >= 2)"
+    add(
+        "te_nd",
+        lambda s, d: rounded(api.transfer_entropy(_events(s, d), ["src", "cond"], "dst", ["ts", "event_id"], ["shard"], 2, 1, 1)),
+        sql_signed(sql_sets(two, {"xz": ["s1", "s2", "c1", "c2", "dp"], "yz": ["fut", "dp"], "xyz": ["fut", "s1", "s2", "c1", "c2", "dp"], "z": ["dp"]}, []), mle, CMI_WEIGHTS, []),
+    )
+    both = f"(select * from (select dst as f1_, cond as f2_, row_number() over w - 1 as t, lag(src, 2) over w as sp, lag(dst, 2) over w as d1, lag(cond, 2) over w as d2, lag(dst, 4) over w as d3, lag(cond, 4) over w as d4, lag(third, 2) over w as z1, lag(third, 4) over w as z2 from {events} {window}) where t >= 4 and (t - 4) % 2 = 0)"
+    z = ["d1", "d2", "d3", "d4", "z1", "z2"]
+    add(
+        "cte_nd",
+        lambda s, d: rounded(
+            api.conditional_transfer_entropy(
+                _events(s, d).withColumn("third", F.col("event_id") % 3), "src", ["dst", "cond"], "third", ["ts", "event_id"], series_by=["shard"], src_hist=1, dest_hist=2, cond_hist=2, step=2
+            )
+        ),
+        sql_signed(sql_sets(both, {"xz": ["sp", *z], "yz": ["f1_", "f2_", *z], "xyz": ["f1_", "f2_", "sp", *z], "z": z}, []), mle, CMI_WEIGHTS, []),
+    )
+    add(
+        "local_te",
+        lambda s, d: _local(api.transfer_entropy(_events(s, d), "src", "dst", ["ts", "event_id"], ["shard"], 2, 1, 1, local=True)),
+        sql_local_te(sql_embedded(2, 1, 1), te_sets(2, 1)),
+    )
+    dealt = f"""b as (select *, row_number() over (partition by shard order by ts, event_id) as rn from
+ (select * from (select shard, ts, event_id, dst as fut, row_number() over w - 1 as t, lag(src) over w as sp1, lag(dst) over w as dp1 from {EVENTS} {window}) where t >= 1)),
+ m as (select round, shard, sp1, row_number() over (partition by round, shard order by md5(concat_ws(':', event_id, round))) as rn from b, range(0, 20) r(round)),
+ f as (select round, fut, dp1, m.sp1 from b join m using (shard, rn) union all select -1, fut, dp1, sp1 from b)"""
+    each = sql_signed(sql_sets("f", te_sets(1, 1), ["round"]), mle, CMI_WEIGHTS, ["round"]).replace("round(sum(", "(sum(").replace(f", {DIGITS}) + 0.0", ")")
+    add(
+        "effective_te",
+        lambda s, d: surrogates.effective_transfer_entropy(_events(s, d), "src", "dst", ["ts", "event_id"], series_by=["shard"], key=["event_id"], digits=DIGITS),
+        f"""with {dealt}, e as ({each}), o as (select value as seen, n as rows from e where round = -1), r as (select value from e where round >= 0)
+select round(any_value(seen)-avg(value), {DIGITS}) + 0.0 as value, round(any_value(seen), {DIGITS}) + 0.0 as observed, round(avg(value), {DIGITS}) + 0.0 as surrogate_mean,
+ round(stddev_samp(value), {DIGITS}) + 0.0 as surrogate_sd, round((sum(case when value >= seen then 1 else 0 end)+1)/(count(*)+1), {DIGITS}) + 0.0 as p_value, any_value(rows) as n from r, o""",
+    )
     add(
         "te_history",
         lambda s, d: rounded(api.transfer_entropy(_events(s, d), "src", "dst", ["ts", "event_id"], ["shard"], 2, 3, 2)),
@@ -320,6 +412,11 @@ def _register_ordinal() -> None:
         lambda s, d: rounded(api.transfer_entropy(pair(s, d), "other", "value", ["ts", "event_id"], ["shard"], approach="ordinal", order=3)),
         sql_signed(sql_sets(sql_embedded(1, 1, 1, source=both, cols=("py", "px", "px")), te_sets(1, 1), []), ALL["mle"], CMI_WEIGHTS, []),
     )
+    add(
+        "ordinal_local_te",
+        lambda s, d: _local(api.transfer_entropy(pair(s, d), "other", "value", ["ts", "event_id"], ["shard"], approach="ordinal", order=3, local=True)),
+        sql_local_te(sql_embedded(1, 1, 1, source=both, cols=("py", "px", "px")), te_sets(1, 1)),
+    )
     third = f"(select a.*, b.pat as pz from {both} a join (select event_id, pat from {sql_pattern(3, 1, '(value * (event_id % 5))')}) b using (event_id))"
     add(
         "ordinal_cte",
@@ -392,7 +489,7 @@ def sql_knn(source: str, cols: list[str], k: int, metric: str, target: str | Non
         "chebyshev": f"greatest({', '.join(f'abs(a.{c}-b.{c})' for c in cols)})" if len(cols) > 1 else f"abs(a.{cols[0]}-b.{cols[0]})",
         "euclidean": f"sqrt({' + '.join(f'(a.{c}-b.{c})*(a.{c}-b.{c})' for c in cols)})",
         "manhattan": " + ".join(f"abs(a.{c}-b.{c})" for c in cols),
-    }[metric]
+    }.get(metric) or f"pow({' + '.join(f'pow(abs(a.{c}-b.{c}), {metric})' for c in cols)}, 1/{metric})"
     rank = k if target else k + 1
     return f"""pts as (select * from {source}), oth as (select * from {target or source}),
 r as (select id, rho from (select a.id, {dist} as rho, row_number() over (partition by a.id order by {dist}) as rk from pts a, oth b) where rk = {rank})"""
@@ -469,6 +566,33 @@ d as (select id, sum(case when qxy<=64 then exp(-0.5*qxy) else 0 end)/(any_value
         lambda s, d: rounded(api.transfer_entropy(series(s, d), "x", "y", ["ts", "event_id"], approach="kernel", kernel="gaussian", bandwidth=0.5)),
         f"with {sql_gaussian(lagged, {'xyz': ['y', 'xp', 'yp'], 'dz': ['yp'], 'xz': ['xp', 'yp'], 'yz': ['y', 'yp']}, 0.5)} {cmi}",
     )
+    past = f"(select * from (select id, y, row_number() over w - 1 as t, lag(y) over w as yp, lag(x) over w as xp, lag(z) over w as zp from {PART} window w as (order by id)) where t >= 1)"
+    spaces = {"xyz": ["y", "xp", "yp", "zp"], "dz": ["yp", "zp"], "xz": ["xp", "yp", "zp"], "yz": ["y", "yp", "zp"]}
+    for kind, sql in (("box", sql_box), ("gaussian", sql_gaussian)):
+        add(
+            f"{kind}_cte",
+            lambda s, d, k=kind: rounded(api.conditional_transfer_entropy(_part(s, d), "x", "y", "z", ["id"], approach="kernel", kernel=k, bandwidth=0.5)),
+            f"with {sql(past, spaces, 0.5)} {cmi}",
+        )
+        add(
+            f"{kind}_local_entropy",
+            lambda s, d, k=kind: _local(api.local_entropy(_part(s, d), ["x", "y"], "kernel", kernel=k, bandwidth=0.4)),
+            f"with {sql(PART, {'d': ['x', 'y']}, 0.4)} select round(-ln(d), {DIGITS}) + 0.0 as local_value from d",
+        )
+        add(
+            f"{kind}_local_mi",
+            lambda s, d, k=kind: _local(api.local_mutual_information(_part(s, d), ["x", "y"], "kernel", kernel=k, bandwidth=0.4)),
+            f"with {sql(PART, {'xy': ['x', 'y'], 'dx': ['x'], 'dy': ['y']}, 0.4)} select round(ln(xy)-ln(dx)-ln(dy), {DIGITS}) + 0.0 as local_value from d",
+        )
+    add(
+        "gaussian_cross_entropy",
+        lambda s, d: rounded(api.cross_entropy(_part(s, d).where("z < 0.5"), _part(s, d).where("z >= 0.5"), ["x", "y"], "kernel", kernel="gaussian", bandwidth=0.5)),
+        f"""with p as (select * from {PART} where z < 0.5), q as (select * from {PART} where z >= 0.5),
+m as (select count(*) as n, case when count(*) <= 5000 then 64 else 36 end as cut, 0.25*var_samp(x) as sxx, 0.25*var_samp(y) as syy, 0.25*covar_samp(x,y) as sxy from q),
+c as (select p.id, n, cut, sxx*syy-sxy*sxy as det, (syy*pow(p.x-q.x,2) - 2*sxy*(p.x-q.x)*(p.y-q.y) + sxx*pow(p.y-q.y,2))/(sxx*syy-sxy*sxy) as g from p, q, m),
+d as (select id, sum(case when g <= cut then exp(-0.5*g) else 0 end)/(any_value(n)*2*pi()*sqrt(any_value(det))) as d from c group by id)
+select round(-avg(case when d > 0 then ln(d) else 0 end), {DIGITS}) + 0.0 as value, count(*) as n from d""",
+    )
 
 
 def sql_kl(dim: int, k: int, volume: float, variant: int = 1) -> str:
@@ -497,6 +621,32 @@ def _register_knn() -> None:
         "box_entropy_grouped",
         lambda s, d: rounded(api.entropy(_vectors(s, d, "label"), "v0", "kernel", bandwidth=0.1, group_by=["label"]), "label"),
         f"""with {by_label}, d as (select label, a.id, sum(case when abs(a.v0-b.v0) <= 0.05 + 1e-15 then 1.0 else 0 end)/(count(*)*0.1) as d from pts a join pts b using (label) group by label, a.id)
+select label, round(-avg(ln(d)), {DIGITS}) + 0.0 as value, count(*) as n from d group by label""",
+    )
+    for power in (3.0, 0.5):
+        add(
+            f"kl_entropy_minkowski_{str(power).replace('.', '_')}",
+            lambda s, d, p=power: rounded(api.entropy(_vectors(s, d), v[:3], "kl", k=4, metric=p)),
+            f"with {sql_knn(VECTORS, v[:3], 4, repr(power))} {sql_kl(3, 4, math.gamma(1 + 1 / power) ** 3 / math.gamma(1 + 3 / power))}",
+        )
+    add(  # noise far below the digits that are compared
+        "kl_entropy_noise",
+        lambda s, d: rounded(api.entropy(_vectors(s, d), v, "kl", k=4, noise=1e-13, seed=5)),
+        f"with {sql_knn(VECTORS, v, 4, 'chebyshev')} {sql_kl(4, 4, 1.0)}",
+    )
+    near4 = near.replace("where rk = 4", "where rk = 5")
+    grouped_i = f"(pow((count(*)-1)*{(math.gamma(4) / math.gamma(5 - 1.2)) ** (1 / (1 - 1.2)) * 2.0!r}, {1 - 1.2!r})*sum(case when rho > 0 then pow(rho, {1 - 1.2!r}) else 0 end)/count(*))"
+    for name, more, value in (("renyi", {"alpha": 1.2}, f"ln({grouped_i})/{1 - 1.2!r}"), ("tsallis", {"q": 1.2}, f"({grouped_i}-1)/{1 - 1.2!r}")):
+        add(
+            f"{name}_entropy_grouped",
+            lambda s, d, a=name, o=more: rounded(api.entropy(_vectors(s, d, "label"), "v0", a, group_by=["label"], **o), "label"),
+            f"with {near4} select label, round({value}, {DIGITS}) + 0.0 as value, count(*) as n from r group by label",
+        )
+    add(
+        "gaussian_entropy_grouped",
+        lambda s, d: rounded(api.entropy(_vectors(s, d, "label"), "v0", "kernel", kernel="gaussian", bandwidth=0.5, group_by=["label"]), "label"),
+        f"""with {by_label}, m as (select label, count(*) as n, case when count(*) <= 5000 then 64 else 36 end as cut, stddev_samp(v0)*0.5 as sd from pts group by label),
+d as (select a.label, a.id, sum(case when pow((a.v0-b.v0)/sd,2) <= cut then exp(-0.5*pow((a.v0-b.v0)/sd,2)) else 0 end)/(any_value(n)*sqrt(2*pi())*any_value(sd)) as d from pts a join pts b using (label) join m using (label) group by a.label, a.id)
 select label, round(-avg(ln(d)), {DIGITS}) + 0.0 as value, count(*) as n from d group by label""",
     )
     for order in (0.6, 1.0, 1.2, 1.8):
@@ -529,7 +679,7 @@ select label, round(-avg(ln(d)), {DIGITS}) + 0.0 as value, count(*) as n from d
     add("renyi_cross_entropy", lambda s, d: rounded(api.cross_entropy(*halves(s, d), v[:2], "renyi", alpha=1.2)), f"with {sql_knn(p, v[:2], 4, 'euclidean', q)} select round(ln({i})/{1 - 1.2!r}, {DIGITS}) + 0.0 as value, count(*) as n from r")
     add("tsallis_cross_entropy", lambda s, d: rounded(api.cross_entropy(*halves(s, d), v[:2], "tsallis", q=1.2)), f"with {sql_knn(p, v[:2], 4, 'euclidean', q)} select round(({i}-1)/{1 - 1.2!r}, {DIGITS}) + 0.0 as value, count(*) as n from r")
 
-    def ksg_sql(spaces: dict[str, list[str]], variant: int, given: bool, n_vars: int, source: str = VECTORS, cols: list[str] | None = None, k: int = 4) -> str:
+    def ksg_sql(spaces: dict[str, list[str]], variant: int, given: bool, n_vars: int, source: str = VECTORS, cols: list[str] | None = None, k: int = 4, metric: str = "chebyshev", base: float = math.e, local: bool = False) -> str:
         cols = cols or sorted({c for s in spaces.values() for c in s})
         cmp = "<" if variant == 1 else "<="
         counts = ", ".join(f"sum(case when greatest({', '.join(f'abs(a.{c}-b.{c})' for c in s)}, 0) {cmp} rho then 1 else 0 end) as {n}" for n, s in spaces.items())
@@ -542,8 +692,10 @@ select label, round(-avg(ln(d)), {DIGITS}) + 0.0 as value, count(*) as n from d
             term = f"{fix!r} + {psi('nz')} - {psi('n0')} - {psi('n1')}"
         else:
             term = f"{fix!r} + {n_vars - 1}*{sql_psi('(select count(*) from pts)')} - " + " - ".join(psi(n) for n in spaces)
-        return f"""with {sql_knn(source, cols, k, 'chebyshev')}, cnt as (select a.id, {counts} from pts a join r using (id), pts b group by a.id)
-select round(avg({term}), {DIGITS}) + 0.0 as value, count(*) as n from cnt"""
+        cnt = f"with {sql_knn(source, cols, k, metric)}, cnt as (select a.id, {counts} from pts a join r using (id), pts b group by a.id)"
+        if local:
+            return f"{cnt} select round(({term})/{math.log(base)!r}, {DIGITS}) + 0.0 as local_value from cnt"
+        return f"{cnt} select round(avg({term})/{math.log(base)!r}, {DIGITS}) + 0.0 as value, count(*) as n from cnt"
 
     for variant in (1, 2):
         add(
@@ -556,6 +708,18 @@ select round(avg({term}), {DIGITS}) + 0.0 as value, count(*) as n from cnt"""
             lambda s, d, t=variant: rounded(api.conditional_mutual_information(_vectors(s, d), ["v0", "v1"], "v2", "ksg", variant=t)),
             ksg_sql({"n0": ["v0", "v2"], "n1": ["v1", "v2"], "nz": ["v2"]}, variant, True, 2),
         )
+    for metric in ("euclidean", "manhattan"):
+        add(
+            f"ksg_mi_{metric}_bits",
+            lambda s, d, m=metric: rounded(api.mutual_information(_vectors(s, d), ["v0", "v1"], "ksg", metric=m, base=2)),
+            ksg_sql({"n0": ["v0"], "n1": ["v1"]}, 1, False, 2, metric=metric, base=2),
+        )
+    add("ksg_local_mi", lambda s, d: _local(api.local_mutual_information(_vectors(s, d), ["v0", "v1"], "ksg")), ksg_sql({"n0": ["v0"], "n1": ["v1"]}, 1, False, 2, local=True))
+    add(
+        "ksg_local_cmi",
+        lambda s, d: _local(api.conditional_mutual_information(_vectors(s, d), ["v0", "v1"], "v2", "ksg", variant=2, local=True)),
+        ksg_sql({"n0": ["v0", "v2"], "n1": ["v1", "v2"], "nz": ["v2"]}, 2, True, 2, local=True),
+    )
     add("ksg_mi_3way", lambda s, d: rounded(api.mutual_information(_vectors(s, d), ["v0", "v1", ["v2", "v3"]], "ksg")), ksg_sql({"n0": ["v0"], "n1": ["v1"], "n2": ["v2", "v3"]}, 1, False, 3))
     lagged = "(select * from (select vec_id as id, cast(embedding[1] as double) as y, row_number() over w - 1 as t, lag(cast(embedding[1] as double)) over w as yp, lag(cast(embedding[2] as double)) over w as xp, lag(cast(embedding[3] as double)) over w as zp from embeddings window w as (order by vec_id)) where t >= 1)"
     add(
@@ -563,6 +727,16 @@ select round(avg({term}), {DIGITS}) + 0.0 as value, count(*) as n from cnt"""
         lambda s, d: rounded(api.transfer_entropy(_vectors(s, d), "v1", "v0", ["vec_id"], approach="ksg")),
         ksg_sql({"n0": ["xp", "yp"], "n1": ["y", "yp"], "nz": ["yp"]}, 1, True, 2, lagged, ["y", "xp", "yp"]),
     )
+    add(
+        "ksg_te_type2",
+        lambda s, d: rounded(api.transfer_entropy(_vectors(s, d), "v1", "v0", ["vec_id"], approach="ksg", variant=2)),
+        ksg_sql({"n0": ["xp", "yp"], "n1": ["y", "yp"], "nz": ["yp"]}, 2, True, 2, lagged, ["y", "xp", "yp"]),
+    )
+    add(
+        "ksg_cte_type2",
+        lambda s, d: rounded(api.conditional_transfer_entropy(_vectors(s, d), "v1", "v0", "v2", ["vec_id"], approach="ksg", variant=2)),
+        ksg_sql({"n0": ["xp", "yp", "zp"], "n1": ["y", "yp", "zp"], "nz": ["yp", "zp"]}, 2, True, 2, lagged, ["y", "xp", "yp", "zp"]),
+    )
     add(
         "ksg_cte",
         lambda s, d: rounded(api.conditional_transfer_entropy(_vectors(s, d), "v1", "v0", "v2", ["vec_id"], approach="ksg")),
@@ -599,10 +773,6 @@ select round(avg({term}), {DIGITS}) + 0.0 as value, count(*) as n from cnt"""
         lambda s, d: api.local_entropy(_vectors(s, d), v[:2], "kl").select((F.round("local_value", DIGITS) + 0.0).alias("local_value")),
         f"with {sql_knn(VECTORS, v[:2], 4, 'chebyshev')} select round({sql_psi('(select count(*) from r)')} - {knn.digamma_value(4)!r} + 2*(case when rho > 0 then ln(2*rho) else 0 end), {DIGITS}) + 0.0 as local_value from r",
     )
-    add(
-        "effective_te",
-        lambda s, d: surrogates.effective_transfer_entropy(_events(s, d), "src", "dst", ["ts", "event_id"], series_by=["shard"]),
-    )
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
