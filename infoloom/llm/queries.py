@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -40,31 +40,47 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PASSAGE = 256  # bytes; nearly every passage of over 50 words has as many, though often not 400
+
+
 @query
 def op3_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, digest=True)
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, digest=True, short=PASSAGE)
+
+    def total(spans: str) -> Column:
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+
     return done.select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("kept").cast("string").alias("kept_sha256")
+        "doc_id",
+        "n_bytes",
+        total("spans").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.col("kept").cast("string").alias("kept_sha256"),
+        total("passages").alias("n_passage"),
     )
 
 
-# every string of 400 bytes by its digest, cut from overlapping chunks of the text's hexadecimal form
-ORACLE_SQL["op3_repeat_removal"] = r"""
+def _sql_runs(n: int, p: str) -> str:
+    """Maximal runs that repeated strings of ``n`` bytes cover, from the digest of every string, cut from overlapping chunks of the text's hexadecimal form."""
+    return f"""{p}c as (select doc_id, k * 1000 as off, substr(h, 2000 * k + 1, {1998 + 2 * n}) as part from (select doc_id, h, unnest(range(0, (n + 999) // 1000)) as k from b)),
+     {p}w as (select doc_id, off + i as s, md5(substr(part, 2 * i + 1, {2 * n})) as m
+           from (select doc_id, off, part, unnest(range(0, least(1000, length(part) // 2 - {n - 1}))) as i from {p}c where length(part) >= {2 * n})),
+     {p}r as (select doc_id, s from {p}w join (select m from {p}w group by m having count(*) > 1) using (m)),
+     {p}f as (select doc_id, s, case when s - lag(s) over (partition by doc_id order by s) <= {n} then 0 else 1 end as fresh from {p}r),
+     {p}g as (select doc_id, s, sum(fresh) over (partition by doc_id order by s) as run from {p}f),
+     {p}sp as (select doc_id, min(s) as a, max(s) + {n} as e from {p}g group by doc_id, run)"""
+
+
+ORACLE_SQL["op3_repeat_removal"] = f"""
 with b as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
-     c as (select doc_id, k * 1000 as off, substr(h, 2000 * k + 1, 2798) as part from (select doc_id, h, unnest(range(0, (n + 999) // 1000)) as k from b)),
-     w as (select doc_id, off + i as s, md5(substr(part, 2 * i + 1, 800)) as m
-           from (select doc_id, off, part, unnest(range(0, least(1000, length(part) // 2 - 399))) as i from c where length(part) >= 800)),
-     r as (select doc_id, s from w join (select m from w group by m having count(*) > 1) using (m)),
-     f as (select doc_id, s, case when s - lag(s) over (partition by doc_id order by s) <= 400 then 0 else 1 end as fresh from r),
-     g as (select doc_id, s, sum(fresh) over (partition by doc_id order by s) as run from f),
-     sp as (select doc_id, min(s) as a, max(s) + 400 as e from g group by doc_id, run),
-     pc as (select doc_id, a, e, coalesce(lag(e) over (partition by doc_id order by a), 0) as p from sp),
+     {_sql_runs(400, "x")}, {_sql_runs(PASSAGE, "y")},
+     pc as (select doc_id, a, e, coalesce(lag(e) over (partition by doc_id order by a), 0) as p from xsp),
      k as (select doc_id, sum(e - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' order by a) || substr(any_value(h), 2 * max(e) + 1) as left_hex
-           from pc join b using (doc_id) group by doc_id)
+           from pc join b using (doc_id) group by doc_id),
+     q as (select doc_id, sum(e - a) as n_passage from ysp group by doc_id)
 select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
-       sha256(unhex(coalesce(left_hex, h))) as kept_sha256
-from b left join k using (doc_id)
+       sha256(unhex(coalesce(left_hex, h))) as kept_sha256, cast(coalesce(n_passage, 0) as bigint) as n_passage
+from b left join k using (doc_id) left join q using (doc_id)
 """
 
 

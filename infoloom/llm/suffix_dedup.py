@@ -1,8 +1,8 @@
 """Exact removal of long repeated byte strings by merging shards' positional Burrows-Wheeler transforms (operator 3).
 
-Every string of ``length`` bytes has an anchor, the leftmost smallest of its ``gram``-byte hashes, so all copies of it
-are found among the anchors with the same hash, and at the same offset from them. The bytes around an anchor that its strings
-cover are its window. Windows of one hash are aligned at their anchors, which makes their transform a positional one
+Every string of ``short`` bytes (``length`` itself, unless shorter passages are to be reported too) has an anchor, the leftmost smallest of its ``gram``-byte hashes, so all copies of it
+are found among the anchors with the same hash, and at the same offset from them. The bytes around an anchor that its strings,
+prolonged to ``length`` where the text goes on, cover are its window. Windows of one hash are aligned at their anchors, which makes their transform a positional one
 (Durbin, 2014): column by column it holds the next byte of each window, in the order of what stands before it read backwards.
 
 A shard builds the transforms of its own windows. They are merged as Holt and McMillan (2014) merge transforms, by
@@ -14,7 +14,7 @@ neighbours part tells where their common stretch begins, and stretches of ``leng
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -76,19 +76,19 @@ class Anchors:
             yield p + s, p - last, p - first, hashes[p]
 
 
-#: Rows of anchors, and of spans (from ``place`` to ``u1``) that a text settles by itself, where ``h`` is null.
+#: Rows of anchors, and of spans (from ``place`` to ``u1``, of ``length`` bytes or more if ``u2`` is 1) that a text settles by itself, where ``h`` is null.
 ANCHOR = ["k", "th", "place", "h", "u1", "u2", "times"]
 
 
-def _anchor_rows(length: int, gram: int):
+def _anchor_rows(length: int, short: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Anchors(length, gram)
+        finder = Anchors(short, gram)
         for batch in slices(batches):
             ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             got: list[tuple] = []
             spans: list[tuple] = []
             for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-                if len(text) < length:
+                if len(text) < short:
                     continue
                 parts = list(finder.of(text))
                 if parts:
@@ -108,17 +108,21 @@ def _anchor_rows(length: int, gram: int):
                     got.append((place[one], h.view(np.int64)[one], u[one, 0], u[one, 1], times, ids[i], ths[i]))
                     twin = order[np.repeat(times, times) > 1]
                     if len(twin):  # settled within the text; periodic texts have many
-                        for s, e in merged_spans((p - hi)[twin], (p - lo)[twin] + length):
-                            spans.append((ids[i], ths[i], s, e))
+                        for s, e in merged_spans((p - hi)[twin], (p - lo)[twin] + short):
+                            spans.append((ids[i], ths[i], s, e, 0))
+                        long_ = twin[(p - hi)[twin] + length <= len(text)]
+                        if len(long_):
+                            for s, e in merged_spans((p - hi)[long_], np.minimum((p - lo)[long_] + length, len(text))):
+                                spans.append((ids[i], ths[i], s, e, 1))
             if got:
                 width = [len(g[0]) for g in got]
                 columns = [pa.array(np.concatenate(c)) for c in list(zip(*got, strict=True))[:5]]
                 owner = [pa.array(np.repeat(np.array([g[j] for g in got]), width)) for j in (5, 6)]
                 yield pa.RecordBatch.from_arrays([*owner, *columns], names=ANCHOR)
             if spans:
-                k, th, s, e = (np.array(c) for c in zip(*spans, strict=True))
+                k, th, s, e, whole = (np.array(c) for c in zip(*spans, strict=True))
                 none = pa.nulls(len(k), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(th), pa.array(s), none, pa.array(e), none, none], names=ANCHOR)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(th), pa.array(s), none, pa.array(e), pa.array(whole), none], names=ANCHOR)
 
     return run
 
@@ -213,45 +217,48 @@ def transform(columns: np.ndarray, group: np.ndarray, unit: np.ndarray, first: n
 
 
 def repeated(
-    columns: np.ndarray, group: np.ndarray, unit: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, reach: int, gram: int
-) -> np.ndarray:
-    """``hit[i, d]``: the string that starts ``d`` bytes before anchor ``i`` has a copy at another anchor of its group.
+    columns: np.ndarray, group: np.ndarray, unit: np.ndarray, first: np.ndarray, last: np.ndarray, lengths: Sequence[int], reach: int
+) -> list[np.ndarray]:
+    """``hit[i, d]`` for each length: the string that starts ``d`` bytes before anchor ``i`` has a copy at another anchor of its group.
 
-    Anchors stand at column ``reach``; every string of an anchor holds the ``gram`` columns from there on.
+    Anchors stand at column ``reach``, which every string of an anchor holds.
     """
-    hit = np.zeros((columns.shape[1], reach + 1), bool)
+    hits = [np.zeros((columns.shape[1], reach + 1), bool) for _ in lengths]
     for c, _, order, begin in refine(columns, group, unit, first, last, settled=reach):
-        d = length - 1 - (c - reach)
-        if c >= reach + gram - 1 and 0 <= d <= reach:
-            twin = begin <= c - length + 1
-            twin[:-1] |= twin[1:]
-            hit[order[twin], d] = True
-    return hit
+        for hit, length in zip(hits, lengths, strict=True):
+            d = length - 1 - (c - reach)
+            if 0 <= d <= reach:
+                twin = begin <= c - length + 1
+                twin[:-1] |= twin[1:]
+                hit[order[twin], d] = True
+    return hits
 
 
-#: One row a shard and anchor hash: its windows' places, and its transform, columns one after the other.
-SHARD = "h long, k array<long>, th array<long>, place array<long>, columns binary"
+#: One row a shard and anchor hash: its windows' places and sizes, and its transform, columns one after the other.
+SHARD = "h long, k array<long>, th array<long>, place array<long>, size array<long>, columns binary"
+SPAN = "k long, th long, s long, e long, whole long"
 
 
-def _shards(length: int, gram: int, shard_windows: int = 4096):
+def _shards(length: int, short: int, gram: int, shard_windows: int = 4096):
     """Build the transforms of the windows of a partition, ``shard_windows`` at a time."""
-    reach = length - gram
+    reach = short - gram
     kind = pa.struct([("h", pa.int64()), ("place", pa.int64())])
 
     def built(h: list, k: list, th: list, place: list, windows: list) -> pa.RecordBatch:
         key = np.array(h, np.int64)
         rank = np.argsort(key, kind="stable")
         key, at = key[rank], np.array(place, np.int64)[rank]
-        _, lo, hi = unpacked(at)
-        first, last = reach - hi, reach + length - lo
+        size = np.array(list(map(len, windows)), np.int64)
+        first = reach - unpacked(at)[2]
+        last = first + size[rank]
         columns = laid_out([windows[i] for i in rank.tolist()], first, last, reach + length)
         columns = transform(columns, key, np.arange(len(key)), first, last)
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.append(begin[1:], len(key))
         bits = [columns[first[a:b].min() : last[a:b].max(), a:b].tobytes() for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
         offsets = pa.array(np.append(begin, len(key)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, np.int64)[rank])) for x in (k, th, place)]
-        return pa.RecordBatch.from_arrays([pa.array(key[begin]), *lists, pa.array(bits, pa.binary())], names=["h", "k", "th", "place", "columns"])
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.array(x, np.int64)[rank])) for x in (k, th, place, size)]
+        return pa.RecordBatch.from_arrays([pa.array(key[begin]), *lists, pa.array(bits, pa.binary())], names=["h", "k", "th", "place", "size", "columns"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[list, list, list, list, list] = ([], [], [], [], [])
@@ -274,30 +281,33 @@ def _shards(length: int, gram: int, shard_windows: int = 4096):
     return run
 
 
-def _merge(length: int, gram: int, chunk_windows: int):
+def _merge(length: int, short: int, gram: int, chunk_windows: int):
     """Merge the shards' transforms, whole groups at a time, and give the spans of repeated strings."""
-    reach = length - gram
+    reach = short - gram
+    lengths = [short] if short == length else [short, length]
 
     def solve(table: pa.Table) -> pa.RecordBatch | None:
-        k, th, place = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("k", "th", "place"))
+        k, th, place, size = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("k", "th", "place", "size"))
         sizes = table.column("place").combine_chunks().value_lengths().to_numpy()
         ends = np.cumsum(sizes)
-        p, lo, hi = unpacked(place)
-        first, last = reach - hi, reach + length - lo
+        p, _, hi = unpacked(place)
+        first = reach - hi
+        last = first + size
         columns = np.zeros((reach + length, len(place)), np.uint8)
         for bits, a, b in zip(table.column("columns").to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
             top, low = int(first[a:b].min()), int(last[a:b].max())
             columns[top:low, a:b] = np.frombuffer(bits, np.uint8).reshape(low - top, b - a)
         group = np.repeat(table.column("h").to_numpy(), sizes)
-        hit = repeated(columns, group, np.repeat(np.arange(len(sizes)), sizes), first, last, length, reach, gram)
-        edge = np.zeros((len(hit), hit.shape[1] + 2), np.int8)
-        edge[:, 1:-1] = hit
-        step = np.diff(edge, axis=1)
-        i, a = np.nonzero(step == 1)
-        _, b = np.nonzero(step == -1)  # offsets a .. b - 1 of anchor i
-        if not len(i):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(k[i]), pa.array(th[i]), pa.array(p[i] - b + 1), pa.array(p[i] - a + length)], names=["k", "th", "s", "e"])
+        out = []
+        for n, hit in zip(lengths, repeated(columns, group, np.repeat(np.arange(len(sizes)), sizes), first, last, lengths, reach), strict=True):
+            edge = np.zeros((len(hit), hit.shape[1] + 2), np.int8)
+            edge[:, 1:-1] = hit
+            step = np.diff(edge, axis=1)
+            i, a = np.nonzero(step == 1)
+            _, b = np.nonzero(step == -1)  # offsets a .. b - 1 of anchor i
+            out.append((k[i], th[i], p[i] - b + 1, p[i] - a + n, np.full(len(i), int(n == length))))
+        columns_ = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+        return pa.RecordBatch.from_arrays(columns_, names=["k", "th", "s", "e", "whole"]) if len(columns_[0]) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -320,7 +330,7 @@ def _merge(length: int, gram: int, chunk_windows: int):
     return run
 
 
-def _narrowed(length: int, width: int):
+def _narrowed(length: int, short: int, width: int):
     """Anchors of a group too large for one task, by ranges of ``width`` offsets: what all strings of a range share becomes the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +344,7 @@ def _narrowed(length: int, width: int):
                 for p, lo, hi in zip(*(x.tolist() for x in unpacked(marks.values.cast(kind).field("place").to_numpy())), strict=True):
                     for d in range(lo - lo % width, hi + 1, width):
                         a, b = max(lo, d), min(hi, d + width - 1)
-                        core = text[p - d : p + length - (d + width - 1)]
+                        core = text[p - d : p + short - (d + width - 1)]
                         rows.append((k, th, (p << 2 * D_BITS) | (a << D_BITS) | b, xxhash.xxh3_64_intdigest(core, d)))
                         keys.append(xxhash.xxh3_128_digest(text[p - b : p - a + length], (a << D_BITS) | b))
             if rows:
@@ -346,41 +356,54 @@ def _narrowed(length: int, width: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, group_windows: int = 20_000, chunk_windows: int = 20_000) -> DataFrame:
-    """``(k, th, spans)`` of the documents ``(k, th, text)`` with a byte string of ``length`` bytes that starts elsewhere too.
+def repeated_spans(
+    docs: DataFrame, length: int = 400, gram: int = 64, short: int | None = None, group_windows: int = 20_000, chunk_windows: int = 20_000
+) -> DataFrame:
+    """``(k, th, spans)`` of the documents ``(k, th, text)`` with a byte string that starts elsewhere too.
 
+    A span is covered by such strings of ``length`` bytes where it is ``whole``, and by those of ``short`` bytes otherwise; an end
+    beyond the text's stands for that.
     Anchors whose hash is unique are dropped. Anchors with equal windows are
     aggregated, within each text and before the shuffle: two or more of them settle each other, and one stands for them
     in the merge. So exact copies, however many, and periodic texts cost one row. The groups that are left are merged by sorted
     partitions, several groups in one pass and one group of at most ``group_windows`` windows in one task. Larger groups are
-    narrowed first: windows are cut by ranges of offsets, and what all strings of a range share tells groups apart, in
-    ranges of an eighth of ``length`` offsets, then 7, then single ones, whose windows are equal or share no string. All go the same way.
+    narrowed first: windows are cut by ranges of offsets, and what all strings of a range share becomes the hash, in
+    ranges of an eighth of ``short`` offsets, then 7, which go the same way, then single ones, where equal hashes are equal strings.
     """
-    if length - gram >= 1 << D_BITS or gram >= length:
-        raise ValueError(f"length must exceed gram, by less than {1 << D_BITS}")
+    short = length if short is None else short
+    if not gram < short <= length or short - gram >= 1 << D_BITS:
+        raise ValueError(f"gram must be less than short, by less than {1 << D_BITS}, and short at most length")
     n = parallelism(docs.sparkSession)
     schema = ", ".join(f"{c} long" for c in ANCHOR)
-    found = written(docs.mapInArrow(_anchor_rows(length, gram), schema))
-    spans = found.where("h is null").select("k", "th", F.col("place").alias("s"), F.col("u1").alias("e"))
+    found = written(docs.mapInArrow(_anchor_rows(length, short, gram), schema))
+    spans = found.where("h is null").select("k", "th", F.col("place").alias("s"), F.col("u1").alias("e"), F.col("u2").alias("whole"))
     rows = found.where("h is not null")
     mask = (1 << D_BITS) - 1
     p, lo, hi = F.shiftright("place", 2 * D_BITS), F.shiftright("place", D_BITS).bitwiseAND(F.lit(mask)), F.col("place").bitwiseAND(F.lit(mask))
-    for width in (max(1, length // 8), min(7, max(1, length // 8)), 1, None):
+    ends = F.array(*[F.struct((p - lo + m).alias("e"), F.lit(int(m == length)).cast("long").alias("whole")) for m in sorted({short, length})])
+
+    def covered(anchors: DataFrame, both: bool) -> DataFrame:
+        """All that an anchor's strings cover, of the short length alone or of both."""
+        kinds = ends if both else F.slice(ends, 1, 1)
+        return anchors.select("k", "th", (p - hi).alias("s"), F.explode(kinds).alias("x")).select("k", "th", "s", "x.e", "x.whole")
+
+    for width in (max(1, short // 8), min(7, max(1, short // 8)), 1, None):
         # what is joined back by a key that may be frequent is written first: then both sides are plain shuffles, which Spark can split
         often = written(rows.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
         rows = written(rows.join(often, "h"))
         units = written(rows.groupBy("h", "u1", "u2").agg(F.sum("times").alias("n"), F.min(F.struct("k", "th", "place")).alias("at")))
-        whole = rows.join(units.where("n > 1").select("h", "u1", "u2"), ["h", "u1", "u2"])
-        spans = spans.union(whole.select("k", "th", (p - hi).alias("s"), (p - lo + length).alias("e")))
+        spans = spans.union(covered(rows.join(units.where("n > 1").select("h", "u1", "u2"), ["h", "u1", "u2"]), True))
         kinds = written(units.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+        if width is None:  # a hash is that of one string now, and windows that differ share no longer one
+            spans = spans.union(covered(units.join(kinds, "h").select("at.*"), False))
+            break
         open_ = written(units.join(kinds, "h").select("h", "at.*", (F.col("kinds") > group_windows).alias("large")))
-        merged = _marked(docs, open_.where(~F.col("large"))).mapInArrow(_shards(length, gram), SHARD)
-        merged = merged.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_merge(length, gram, chunk_windows), "k long, th long, s long, e long")
-        spans = spans.union(merged)
+        merged = _marked(docs, open_.where(~F.col("large"))).mapInArrow(_shards(length, short, gram), SHARD)
+        spans = spans.union(merged.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_merge(length, short, gram, chunk_windows), SPAN))
         if not kinds.where(F.col("kinds") > group_windows).limit(1).count():
             break
-        rows = written(_marked(docs, open_.where("large")).mapInArrow(_narrowed(length, width), schema))
-    return spans.groupBy("k", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+        rows = written(_marked(docs, open_.where("large")).mapInArrow(_narrowed(length, short, width), schema))
+    return spans.groupBy("k", "th").agg(F.collect_set(F.struct("s", "e", "whole")).alias("spans"))
 
 
 def _marked(docs: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -398,17 +421,22 @@ def merged_spans(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[first].tolist(), e[np.append(first[1:], len(s)) - 1].tolist(), strict=True))
 
 
-def _cut(digest: bool):
+def _cut(digest: bool, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        kind = pa.struct([("s", pa.int64()), ("e", pa.int64())])
+        kind = pa.struct([("s", pa.int64()), ("e", pa.int64()), ("whole", pa.int64())])
         for batch in slices(batches):
-            sizes, cuts, kept = [], [], []
+            sizes, cuts, passages, kept = [], [], [], []
             for text, spans in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), strict=True):
-                runs = []
+                runs, short = [], []
                 if spans.values is not None and len(spans.values):
                     both = spans.values.cast(kind)
-                    runs = merged_spans(both.field("s").to_numpy(), both.field("e").to_numpy())
+                    s, e, whole = (both.field(x).to_numpy() for x in ("s", "e", "whole"))
+                    e = np.minimum(e, len(text))
+                    full = (whole == 1) & (e - s >= length)
+                    runs = merged_spans(s[full], e[full]) if full.any() else []
+                    some = full | (whole == 0)
+                    short = merged_spans(s[some], e[some]) if some.any() else []
                 at, parts = 0, []
                 for s, e in runs:
                     parts.append(text[at:s])
@@ -417,30 +445,33 @@ def _cut(digest: bool):
                 rest = b"".join(parts)
                 sizes.append(len(text))
                 cuts.append([{"start": s, "end": e} for s, e in runs])
+                passages.append([{"start": s, "end": e} for s, e in short])
                 kept.append(hashlib.sha256(rest).hexdigest().encode() if digest else rest)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(cuts, span_type), pa.array(kept, pa.binary())],
-                names=["k", "th", "n_bytes", "spans", "kept"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(cuts, span_type), pa.array(passages, span_type), pa.array(kept, pa.binary())],
+                names=["k", "th", "n_bytes", "spans", "passages", "kept"],
             )
 
     return run
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 400, gram: int = 64, digest: bool = False, group_windows: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = 400, gram: int = 64, digest: bool = False, short: int | None = None, group_windows: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that starts anywhere else too, the same document included.
 
-    Returns ``doc_id, n_bytes, spans, kept``, one row a document row: the removed maximal runs of the UTF-8 bytes and
+    Returns ``doc_id, n_bytes, spans, passages, kept``, one row a document row: the removed maximal runs of the UTF-8 bytes,
+    those that strings of ``short`` bytes cover which start elsewhere (they stay; without ``short`` they are the same runs), and
     the remaining bytes (which may split a character, so they are binary), or with ``digest`` their SHA-256. Strings
     are judged on the input and do not cross documents. Null and empty texts and those under ``length``
-    bytes keep all; ids may be null or repeated; rows repeated as a whole repeat each other's
+    bytes keep all; texts of any length are searched whole, a segment at a time; ids may be null or repeated; rows repeated as a whole repeat each other's
     strings; an empty table gives an empty result; other columns are not read.
     """
     base = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID).cast("long")).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).select("k", F.xxhash64("text").alias("th"), "text")
-    spans = repeated_spans(base, length, gram, group_windows)
+    spans = repeated_spans(base, length, gram, short, group_windows)
     met = base.join(spans.hint("shuffle_hash"), ["k", "th"], "left").select("k", "th", "text", "spans")
-    done = met.mapInArrow(_cut(digest), "k long, th long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-    return done.select(F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"), "n_bytes", "spans", "kept")
+    runs = "array<struct<start:long,end:long>>"
+    done = met.mapInArrow(_cut(digest, length), f"k long, th long, n_bytes long, spans {runs}, passages {runs}, kept binary")
+    return done.select(F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"), "n_bytes", "spans", "passages", "kept")

@@ -191,10 +191,13 @@ def brute_repeats(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("length", "gram", "limit"), [(40, 12, 20_000), (40, 12, 2), (100, 64, 20_000)])
-def test_repeats(docs, rows, length, gram, limit):
-    got = suffix_dedup.remove_repeats(docs, length, gram, group_windows=limit).collect()
-    assert Counter((r.doc_id, r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), bytes(r.kept)) for r in got) == brute_repeats(rows, length)
+@pytest.mark.parametrize(("length", "gram", "short", "limit"), [(40, 12, None, 20_000), (60, 12, 40, 20_000), (60, 12, 40, 2), (100, 64, None, 20_000)])
+def test_repeats(docs, rows, length, gram, short, limit):
+    got = suffix_dedup.remove_repeats(docs, length, gram, short=short, group_windows=limit).collect()
+    total = lambda spans: sum(x.end - x.start for x in spans)
+    assert Counter((r.doc_id, r.n_bytes, total(r.spans), len(r.spans), bytes(r.kept)) for r in got) == brute_repeats(rows, length)
+    passages = Counter((r.doc_id, r.n_bytes, total(r.passages), len(r.passages)) for r in got)
+    assert passages == Counter(x[:4] for x in brute_repeats(rows, short or length).elements())
 
 
 def test_repeats_of_nothing(empty):
@@ -252,10 +255,10 @@ def test_transforms_merge():
 
 def test_merged_transforms_give_repeats():
     rng = np.random.default_rng(2)
-    reach, length, gram = 9, 15, 6
+    reach, length = 9, 15
     for n in (2, 30, 90):
         group, first, last, windows = some_windows(rng, n, reach, length)
-        hit = suffix_dedup.repeated(suffix_dedup.laid_out(windows, first, last, reach + length), group, np.arange(n), first, last, length, reach, gram)
+        (hit,) = suffix_dedup.repeated(suffix_dedup.laid_out(windows, first, last, reach + length), group, np.arange(n), first, last, [length], reach)
         strings = Counter()
         for i in range(n):
             for d in range(reach + 1):
