@@ -169,7 +169,7 @@ def _verify_heads(percent: int):
 
 
 def _verify(percent: int):
-    """Solve one block pair of one cluster after the other; only one is held at a time."""
+    """Solve one block pair of one cluster after the other, and give the components that it joins; only one is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sigs, parts, sets = None, [], [], []
@@ -178,10 +178,9 @@ def _verify(percent: int):
             if len(sets) > 1:
                 _, first, part = np.unique(np.array(parts, np.int64), return_index=True, return_inverse=True)
                 root = star_forest(sets, percent, first[part])
-                ids = np.array(sigs, np.int64)
-                away = root != first[part]
+                ids, away = np.array(parts, np.int64), root != first[part]
                 if away.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[away]), pa.array(ids[root[away]])], names=["u", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique([ids[away], ids[root[away]]], axis=1)], names=["u", "v"])
 
         for batch in batches:
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
@@ -200,9 +199,9 @@ def _verify(percent: int):
     return run
 
 
-def whole(linked: DataFrame) -> DataFrame:
-    """Components with their roots as nodes of their own."""
-    return linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
+def moved(rows: DataFrame, key: str, roots: DataFrame, out: str) -> DataFrame:
+    """The rows with the root of a key's component; a key without a row of its own is its own root."""
+    return rows.join(roots.select(F.col("node").alias(key), F.col("root").alias(out)), key, "left").withColumn(out, F.coalesce(out, key))
 
 
 def _tables(nodes: DataFrame, groups: int) -> DataFrame:
@@ -280,26 +279,23 @@ def near_duplicates(
     rows_ = ours.union(lead).join(sets, "sig").select("head", "salt", "late", "sig", "shingles")
     rows_ = rows_.repartition(n, "head", "salt").sortWithinPartitions("head", "salt", "late")
     links = written(rows_.mapInArrow(_verify_heads(percent), LINK))
-    parts = written(whole(connected_components(links)))
+    placed = written(moved(stars.select("sig"), "sig", connected_components(links), "part"))
     # tables with several components: their sets go on
-    placed = stars.select("sig").join(parts.withColumnRenamed("node", "sig"), "sig", "left").select("sig", F.coalesce("root", "sig").alias("part"))
-    placed = written(placed)
     held = tables.join(placed, "sig").select("key", "sig", "part")
     several = written(held.groupBy("key").agg(F.min("part").alias("v"), F.max("part").alias("_last")).where("v < _last").select("key", "v"))
     open_ = written(held.join(several, "key").select("sig", "part", "v").distinct())
-    clusters = whole(connected_components(open_.select(F.col("part").alias("u"), "v").distinct()))
-    clusters = written(clusters.select(F.col("node").alias("part"), F.col("root").alias("cluster")))
-    inside = open_.select("sig", "part").distinct().join(clusters, "part").join(nodes.select("sig", "n_shingles"), "sig")
+    clusters = connected_components(open_.select(F.col("part").alias("u"), "v").distinct())
+    inside = moved(open_.select("sig", "part").distinct(), "part", clusters, "cluster").join(nodes.select("sig", "n_shingles"), "sig")
     inside = written(inside.select("sig", "part", "cluster", "n_shingles"))
     cuts = written(inside.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("cuts")))
     inside = inside.join(cuts, "cluster").select("cluster", "cuts", "sig", "part", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("cuts")).cast("int").alias("block"))
     pairs = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     pairs = pairs.select("sig", "part", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets, "sig")
     pairs = pairs.select("cluster", "i", "j", "sig", "part", "shingles").repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "sig")
-    linked = connected_components(links.union(pairs.mapInArrow(_verify(percent), LINK)))
-    linked = written(whole(linked))
+    joined = connected_components(pairs.mapInArrow(_verify(percent), LINK))
     ids = signed.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"))
-    named = written(ids.join(linked, ids.sig == linked.node, "left").select("sig", "first_id", F.coalesce("root", "sig").alias("root")))
+    named = ids.join(placed, "sig", "left").select("sig", "first_id", F.coalesce("part", "sig").alias("part"))
+    named = written(moved(named, "part", joined, "root").select("sig", "first_id", "root"))
     smallest = written(named.groupBy("root").agg(F.min("first_id").alias("component_id")))
     names = named.join(smallest, "root").select("sig", F.col("root").alias("component"), "component_id")
     full = signed.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sig")).alias("sig"))
