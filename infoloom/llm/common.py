@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +76,14 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """The name, with as many underscores before it as set it apart from those taken (whatever their case)."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches cut to a few rows, so that no more texts than those stand in Python memory at once."""
     for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, free
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 POS_BITS = 28
@@ -141,6 +141,7 @@ def drop_contaminated(docs: DataFrame, found: DataFrame, least_items: int = 1, i
     of one id with different texts are judged apart. A null text, and any table without findings, stays whole;
     an empty table gives an empty result.
     """
-    gone = found.where(F.size("item_ids") >= least_items).select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs[text_col]) == F.col("_gone_th"))
+    key, hashed = (free(c, docs.columns) for c in ("_gone_id", "_gone_th"))
+    gone = found.where(F.size("item_ids") >= least_items).select(F.col("doc_id").alias(key), F.col("th").alias(hashed)).distinct()
+    same = docs[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(hashed))
     return docs.join(gone.hint("shuffle_hash"), same, "left_anti")

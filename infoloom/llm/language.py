@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, slices
+from .common import free, release, slices
 from .near_dup import mixed
 
 DIM = 512
@@ -148,14 +148,14 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
     return Prototypes(langs, matrix / np.where(norm > 0, norm, 1))
 
 
-def predict(docs: DataFrame, model: Prototypes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``lang_score``: the language whose prototype has the largest cosine, and that cosine.
+def predict(docs: DataFrame, model: Prototypes, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """Add ``lang_pred`` and ``lang_score`` (or the names ``out``): the language whose prototype has the largest cosine, and that cosine.
 
     The whole text is read, whatever its length. A null text, one without any letter, or a model without languages gives ``und``
     and 0; a negative cosine counts as 0; of equal cosines the language that comes first by name wins.
     Columns of the two names are replaced, all others pass through; an empty table gives an empty result.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    names = [c for c in docs.columns if c not in out]
     langs, matrix = model.langs, model.matrix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,14 +176,14 @@ def predict(docs: DataFrame, model: Prototypes, id_col: str = "doc_id", text_col
                 score.append(min(1.0, max(0.0, float(cos[best]))))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(names))), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                names=[*names, "lang_pred", "lang_score"],
+                names=[*names, *out],
             )
         release()
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    given = docs.select(*names) if text_col in names else docs.select(*names, F.col(text_col).alias("_lang_text"))
+    given = docs.select(*names) if text_col in names else docs.select(*names, F.col(text_col).alias(free("_lang_text", names)))
     at = names.index(text_col) if text_col in names else len(names)
-    return given.mapInArrow(run, f"{schema}, lang_pred string, lang_score double")
+    return given.mapInArrow(run, f"{schema}, `{out[0]}` string, `{out[1]}` double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, parallelism
+from .common import checkpointed, free, parallelism, slices
 
 SPACE = b" \t\n\x0b\x0c\r"
 INDEX = "h1 long, h2 long, doc_id long, th long, pos int"
@@ -31,7 +31,7 @@ def _long_enough(key: bytes, least: int) -> bool:
 
 def _index(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, ths = batch.column(0), batch.column(1).to_numpy()
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             known = ids.fill_null(np.iinfo(np.int64).min).to_numpy()
@@ -155,11 +155,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["doc_id", "th", "bitmap"])
 
 
-def _apply(digest: bool, names: list[str]):
+def _apply(digest: bool, names: list[str], out: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_line_text")).cast(pa.binary()).to_pylist()
-            maps = batch.column(batch.schema.get_field_index("_line_bitmap")).to_pylist()
+        for batch in slices(batches):
+            texts, maps = batch.column(len(names)).cast(pa.binary()).to_pylist(), batch.column(len(names) + 1).to_pylist()
             kept, totals, lost = [], [], []
             for text, bitmap in zip(texts, maps, strict=True):
                 lines = (text or b"").split(b"\n")
@@ -173,15 +172,20 @@ def _apply(digest: bool, names: list[str]):
                 else:
                     kept.append(b"\n".join(left).decode("utf-8"))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(totals, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())],
-                names=[*names, "n_lines", "n_dropped", "kept"],
+                [*(batch.column(i) for i in range(len(names))), pa.array(totals, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())],
+                names=[*names, *out],
             )
 
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Apply the keep bitmaps: the columns of ``docs`` except the text, then ``n_lines, n_dropped, kept``.
+OUT = ("n_lines", "n_dropped", "kept")
+
+
+def dedup_lines(
+    docs: DataFrame, min_chars: int = 10, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", out: Sequence[str] = OUT
+) -> DataFrame:
+    """Apply the keep bitmaps: the columns of ``docs`` except the text, then ``n_lines, n_dropped, kept`` (or the names ``out``).
 
     A line goes if its key has at least ``min_chars`` code points and a document with a smaller id
     holds the key too; the smallest such document keeps all its lines with it. ``kept`` is the remaining text,
@@ -190,16 +194,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, digest: bool = False, id_c
     table gives an empty result. Other columns pass through, and the last three replace columns of the same names.
     """
     maps = keep_bitmaps(docs, min_chars, id_col, text_col)
-    passed = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped", "kept")]
+    passed = [c for c in docs.columns if c not in (text_col, *out)]
+    text, key, hashed, bitmap = (free(f"_line_{c}", docs.columns) for c in ("text", "id", "th", "bitmap"))
     keyed = docs.select(
         *passed,
-        F.col(text_col).alias("_line_text"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("_line_id"),
-        F.xxhash64(text_col).alias("_line_th"),
-    )
-    right = maps.select(F.col("doc_id").alias("_line_id"), F.col("th").alias("_line_th"), F.col("bitmap").alias("_line_bitmap"))
-    joined = keyed.join(right.hint("shuffle_hash"), ["_line_id", "_line_th"], "left")
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in passed)
-    return joined.select(*passed, "_line_text", "_line_bitmap").mapInArrow(
-        _apply(digest, passed), f"{out}, n_lines long, n_dropped long, kept string"
+        F.col(text_col).alias(text),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias(key),
+        F.xxhash64(text_col).alias(hashed),
     )
+    right = maps.select(F.col("doc_id").alias(key), F.col("th").alias(hashed), F.col("bitmap").alias(bitmap))
+    joined = keyed.join(right.hint("shuffle_hash"), [key, hashed], "left")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in passed)
+    return joined.select(*passed, text, bitmap).mapInArrow(_apply(digest, passed, out), f"{schema}`{out[0]}` long, `{out[1]}` long, `{out[2]}` string")

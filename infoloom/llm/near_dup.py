@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, slices, written
+from .common import free, parallelism, slices, written
 from .graph import connected_components
 
 SEED = 7
@@ -311,13 +311,13 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
     A null or repeated id names rows together with the text's hash. Of each component one row stays: of its smallest id, and of rows that share it, that of the smallest text
     hash. Rows without shingles are linked with nothing and all stay.
     """
+    key, hashed, once = (free(c, docs.columns) for c in ("_keep_id", "_keep_th", "_once"))
     first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("at")).select("at.*")
     lone = found.where("n_shingles = 0").select("doc_id", "th").distinct()
-    stay = first.withColumn("_once", F.lit(True)).union(lone.withColumn("_once", F.lit(False)))
-    stay = stay.withColumnsRenamed({"doc_id": "_keep_id", "th": "_keep_th"})
-    met = docs.join(stay.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_keep_id")) & (F.xxhash64(docs[text_col]) == F.col("_keep_th")))
+    stay = first.withColumn(once, F.lit(True)).union(lone.withColumn(once, F.lit(False)))
+    stay = stay.withColumnsRenamed({"doc_id": key, "th": hashed})
+    met = docs.join(stay.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(hashed)))
     repeats = found.where("n_shingles > 0").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if repeats.limit(1).count():  # whole rows that repeat: one of each is enough
-        once = met.where("_once").dropDuplicates(["_keep_id", "_keep_th"])
-        met = once.union(met.where(~F.col("_once")))
+        met = met.where(once).dropDuplicates([key, hashed]).union(met.where(~F.col(once)))
     return met.select(*docs.columns)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import release, slices
 from .near_dup import mixed
 
 SPACE = "▁"
@@ -696,13 +696,17 @@ def sample_encodings(
 
 
 def decode_ids(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Add the text of a column of piece ids; null ids give a null text, no ids an empty one."""
+    """Add the text of a column of piece ids; null ids give a null text, no ids an empty one.
+
+    Bytes that are no UTF-8 become replacement characters. Rows are read alone, 512 at a time, so repeated ones repeat their result and a
+    long one is decoded whole; a column named ``out_col`` is replaced, all others pass through; an empty table gives an empty result.
+    """
     vocabulary = load(rows.sparkSession, model_path)
     names = [c for c in rows.columns if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
             texts = [None if x is None else sampler.decode(np.array(x, np.int32)) for x in lists]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, out_col])
