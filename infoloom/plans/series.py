@@ -52,10 +52,17 @@ def global_prefix_sum(df: DataFrame, order_by: Sequence[str], weight: str | None
     return ranked.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_off") + F.col("_in")).drop("_part", "_tie", "_off", "_in", "_cnt")
 
 
+def longest(df: DataFrame, series_by: Sequence[str]) -> int:
+    """Rows of the longest series, from partial counts."""
+    sizes = df.groupBy(*series_by).agg(F.count(F.lit(1)).alias("_rows"))
+    return sizes.agg(F.coalesce(F.max("_rows"), F.lit(0))).first()[0]
+
+
 class Ordered:
     """Rows of series in order, from which columns can look back or ahead by a number of rows.
 
-    With ``series_by``, each series is a window of its own. Without, or with ``blocked``, series of any length
+    With ``series_by``, each series is a window of its own. Without, with ``blocked``, or where the longest series has more than ``BLOCK_ROWS``
+    rows (they are counted, unless ``blocked`` says), series of any length
     are cut into blocks of rows that carry copies of their neighbours' edges, so that one series takes many tasks.
     ``reach`` is how far the columns look.
     """
@@ -65,7 +72,7 @@ class Ordered:
         if not order_by:
             raise ValueError("a series needs order_by")
         if blocked is None:
-            blocked = not series_by
+            blocked = not series_by or longest(df, self.series) > BLOCK_ROWS
         self.blocked = blocked
         if not blocked:
             self.window = W.partitionBy(*self.series).orderBy(*self.order)
@@ -83,7 +90,7 @@ class Ordered:
         else:
             numbered = numbered.withColumn("_t", F.col("_rn"))
         block = F.floor(F.col("_rn") / BLOCK_ROWS)
-        near = F.array_distinct(F.array(F.floor((F.col("_rn") - reach) / BLOCK_ROWS), block, F.floor((F.col("_rn") + reach) / BLOCK_ROWS)))
+        near = F.sequence(F.floor((F.col("_rn") - reach) / BLOCK_ROWS), F.floor((F.col("_rn") + reach) / BLOCK_ROWS))
         spread = numbered.withColumn("_home", block).withColumn("_block", F.explode(near))
         self.window = W.partitionBy(*self.series, "_block").orderBy("_rn")
         self.frame = spread

@@ -55,6 +55,9 @@ def test_blocks_agree_with_windows(spark, monkeypatch):
     blocked = il.transfer_entropy(df, "x", "y", ["id"], ["g"], 2, 3, 2, blocked=True).first()
     assert blocked.n == plain.n
     assert blocked.value == pytest.approx(plain.value)
+    assert series.longest(df, ["g"]) > 7  # so series are cut unless told otherwise
+    monkeypatch.setattr(series, "BLOCK_ROWS", 2)  # and blocks may be shorter than what is looked back
+    assert il.transfer_entropy(df, "x", "y", ["id"], ["g"], 2, 3, 2).first().value == pytest.approx(plain.value)
 
 
 def test_history_longer_than_series(pair):
