@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, parallelism, slices, written
+from .common import discard, free, parallelism, slices, written
 from .graph import connected_components
 
 SEED = 7
@@ -204,7 +204,7 @@ def moved(rows: DataFrame, key: str, roots: DataFrame, out: str) -> DataFrame:
     return rows.join(roots.select(F.col("node").alias(key), F.col("root").alias(out)), key, "left").withColumn(out, F.coalesce(out, key))
 
 
-def _tables(nodes: DataFrame, groups: int) -> DataFrame:
+def _tables(nodes: DataFrame, groups: int, spent: list[DataFrame]) -> DataFrame:
     """``(sig, key, weight)`` of the tables that hold several sets; the weight tells how common a set's group values are.
 
     A group value that no other set has cannot make a common table key, so such values go before pairs of values are formed.
@@ -212,6 +212,7 @@ def _tables(nodes: DataFrame, groups: int) -> DataFrame:
     values = nodes.select("sig", F.posexplode("minhash").alias("g", "h"))
     # written before it is joined back: then both sides are plain shuffles, which Spark can split where a value is frequent
     met = written(values.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    spent.append(met)
     left = values.join(met, ["g", "h"]).groupBy("sig").agg(
         F.sum("n").alias("weight"),
         F.collect_list(F.when(F.col("g") < groups, F.struct("g", "h"))).alias("a"),
@@ -260,7 +261,8 @@ def near_duplicates(
         .groupBy("sig")
         .agg(F.min(F.struct("doc_id", "th")).alias("at"), F.max("n_shingles").alias("n_shingles"), F.max("minhash").alias("minhash"))
     )
-    tables = written(_tables(nodes, groups))
+    spent: list[DataFrame] = []
+    tables = written(_tables(nodes, groups, spent))
     heads = written(
         tables.groupBy("key")
         .agg(F.max(F.struct("weight", "sig")).alias("head"), F.min("sig").alias("_first"), F.max("sig").alias("_last"))
@@ -279,7 +281,8 @@ def near_duplicates(
     rows_ = ours.union(lead).join(sets, "sig").select("head", "salt", "late", "sig", "shingles")
     rows_ = rows_.repartition(n, "head", "salt").sortWithinPartitions("head", "salt", "late")
     links = written(rows_.mapInArrow(_verify_heads(percent), LINK))
-    placed = written(moved(stars.select("sig"), "sig", connected_components(links), "part"))
+    first_parts = connected_components(links)
+    placed = written(moved(stars.select("sig"), "sig", first_parts, "part"))
     # tables with several components: their sets go on
     held = tables.join(placed, "sig").select("key", "sig", "part")
     several = written(held.groupBy("key").agg(F.min("part").alias("v"), F.max("part").alias("_last")).where("v < _last").select("key", "v"))
@@ -297,6 +300,8 @@ def near_duplicates(
     named = ids.join(placed, "sig", "left").select("sig", "first_id", F.coalesce("part", "sig").alias("part"))
     named = written(moved(named, "part", joined, "root").select("sig", "first_id", "root"))
     smallest = written(named.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    # what follows reads these two and the signatures alone
+    discard(*spent, tables, heads, stars, sets, spread, links, first_parts, placed, several, open_, clusters, inside, cuts, joined)
     names = named.join(smallest, "root").select("sig", F.col("root").alias("component"), "component_id")
     full = signed.select("doc_id", "th", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sig")).alias("sig"))
     out = full.join(names, "sig", "left")
