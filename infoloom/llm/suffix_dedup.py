@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, slices, written
+from .common import parallelism, release, slices, written
 from .near_dup import mixed
 
 NULL_ID = -(2**63)
@@ -123,6 +123,7 @@ def _anchor_rows(length: int, short: int, gram: int):
                 k, th, s, e, whole = (np.array(c) for c in zip(*spans, strict=True))
                 none = pa.nulls(len(k), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(th), pa.array(s), none, pa.array(e), pa.array(whole), none], names=ANCHOR)
+        release()
 
     return run
 
@@ -277,6 +278,7 @@ def _shards(length: int, short: int, gram: int, shard_windows: int = 4096):
                         kept = ([], [], [], [], [])
         if kept[0]:
             yield built(*kept)
+        release()
 
     return run
 
@@ -326,6 +328,7 @@ def _merge(length: int, short: int, gram: int, chunk_windows: int):
                     held = sum(len(x.column(3).flatten()) for x in kept)
         if held and (got := solve(pa.Table.from_batches(kept))) is not None:
             yield got
+        release()
 
     return run
 
@@ -451,6 +454,7 @@ def _cut(digest: bool, length: int):
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(cuts, span_type), pa.array(passages, span_type), pa.array(kept, pa.binary())],
                 names=["k", "th", "n_bytes", "spans", "passages", "kept"],
             )
+        release()
 
     return run
 
