@@ -711,6 +711,29 @@ def test_pipeline_against_brute_force(spark, rows, tmp_path):
     assert {r.doc_id for r in last} == clean and all(r.decodes for r in last)
 
 
+@needs_model
+def test_pipeline_encodes_without_replacement(spark, tmp_path):
+    """The last stage is op1 whole: as many distinct segmentations, the same ones, and all of a text that has fewer."""
+    import corpus_pipeline
+    from infoloom.llm import queries
+
+    sf = str(tmp_path)
+    texts = {1: "then the other one", 2: "at", 3: "a", 4: "7", 5: "", 6: None, 7: "\u4f60"}
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], SCHEMA).write.parquet(f"{sf}/documents.parquet")
+    got = corpus_pipeline.encode(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()
+    sampler, sizes = pieces.Sampler(pieces.load(None, MODEL)), set()
+    for i, t in texts.items():
+        found = sorted((r for r in got if r.doc_id == i), key=lambda r: r.sample)
+        whole = math.prod(map(len, lattices_of(sampler, [t]))) if t else 1
+        sizes.add(min(whole, 4))
+        assert len({tuple(r.ids) for r in found}) == len(found) == min(3, whole) and all(r.decodes for r in found)
+        assert [r.sample for r in found] == list(range(len(found))) and (whole > 3 or all(r.log_inclusion == 0 for r in found))
+        assert [r.perturbed for r in found] == sorted((r.perturbed for r in found), reverse=True)
+    assert {1, 2, 4} <= sizes
+    digest = {(r.doc_id, r.sample): hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() for r in got}
+    assert {(r.doc_id, r.sample): r.ids_sha256 for r in queries.op1_piece_sampling(spark, sf).collect()} == digest
+
+
 def test_pipeline_language_stage_rejects_other_scripts(spark):
     import corpus_pipeline
 
