@@ -19,7 +19,7 @@ from ..core.validate import Variable, complete, positive, unit, variable
 from ..functions.special import digamma_value, unit_ball_volume
 from . import kernel, knn
 from ..plans.series import checkpointed, global_row_number
-from .neighbors import CELLS, Kernel, distances, kernel_sums, kth_distance, points
+from .neighbors import CELLS, Kernel, distances, gaussian, kernel_sums, kth_distance, points
 
 GROUP_POINTS = 20_000
 
@@ -81,14 +81,13 @@ def _density(x: np.ndarray, kernel: str = "box", bandwidth: float = 1.0, base: f
         lower = np.linalg.cholesky(np.atleast_2d(np.cov(x.T)) * bandwidth**2)
         x = x @ np.linalg.inv(lower).T
         scale = 1.0 / (n * (2 * math.pi) ** (d / 2) * float(np.prod(np.diag(lower))))
-        cut = 64.0 if n <= 5000 else 36.0
     total = 0.0
     for a in range(0, n, step):
         if kernel == "box":
             near = (distances(x[a : a + step], x, math.inf) <= bandwidth / 2 + 1e-15).sum(axis=1) / (n * bandwidth**d)
         else:
             q = distances(x[a : a + step], x, 2.0) ** 2
-            near = np.where(q <= cut, np.exp(-0.5 * q), 0.0).sum(axis=1) * scale
+            near = np.exp(-0.5 * q).sum(axis=1) * scale
         total -= float(np.log(near[near > 0]).sum())
     return total / n / unit(base)
 
@@ -150,8 +149,8 @@ def _many(points_: DataFrame, dim: int, approach: str, params: dict) -> DataFram
         if params.get("kernel", "box") == "box":
             found = kernel_sums(data, data, {"near": Kernel(space, math.inf, bandwidth / 2 + 1e-15)})
             sums = found.select(group, "_w", "near", F.lit(float(bandwidth) ** dim).alias("_volume"))
-        else:  # a group of over 5,000 points cuts at 6 standard deviations
-            found = kernel_sums(data, data, {"near": Kernel(space, 2.0, 6.0, lambda d: np.exp(-0.5 * d * d))})
+        else:
+            found = kernel_sums(data, data, {"near": gaussian(space)})
             sums = found.select(group, "_w", "near").join(scales, "_g")
         total_ = sums.groupBy("_g").agg(rows)
         met = sums.join(total_, "_g").withColumn("_density", F.col("near") / (F.col("n") * F.col("_volume")))

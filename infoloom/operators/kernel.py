@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core.validate import Variable, positive, unit, variable
-from .neighbors import Kernel, every_row, kernel_sums, points, rank_counts
+from .neighbors import Kernel, every_row, gaussian, kernel_sums, points, rank_counts
 
 KERNELS = ("box", "gaussian")
 EDGE = 1e-15
@@ -39,7 +39,8 @@ def _moments(data: DataFrame, dim: int, spread: bool) -> tuple[int, np.ndarray]:
 def densities(queries: DataFrame, data: DataFrame, dim: int, subspaces: dict[str, Sequence[int]], kernel: str, bandwidth: float) -> DataFrame:
     """Density of the data at each query in each subspace: ``_id, _x, _w`` and a column each.
 
-    A Gaussian kernel is taken in coordinates in which a subspace's scaled covariance is the identity.
+    A Gaussian kernel is taken in coordinates in which a subspace's scaled covariance is the identity. All pairs count, however far apart
+    and however many points there are.
     """
     n, cov = _moments(data, dim, kernel == "gaussian")
     radius = bandwidth / 2 + EDGE
@@ -51,10 +52,9 @@ def densities(queries: DataFrame, data: DataFrame, dim: int, subspaces: dict[str
         scales = {s: n * bandwidth ** len(dims) for s, dims in subspaces.items()}
     else:
         kernels, scales = {}, {}
-        cut = 64.0 if n <= 5000 else 36.0  # squared distance beyond which pairs count nothing
         for s, dims in subspaces.items():
             lower = np.linalg.cholesky(cov[np.ix_(dims, dims)] * bandwidth**2)
-            kernels[s] = Kernel(dims, 2.0, math.sqrt(cut), lambda d: np.exp(-0.5 * d * d), np.linalg.inv(lower))
+            kernels[s] = gaussian(dims, np.linalg.inv(lower))
             scales[s] = n * (2 * math.pi) ** (len(dims) / 2) * float(np.prod(np.diag(lower)))
     found = kernel_sums(queries, data, kernels)
     return found.select("_id", "_x", "_w", *[(F.col(s) / c).alias(s) for s, c in scales.items()])

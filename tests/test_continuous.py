@@ -184,3 +184,45 @@ def test_grouped(cloud, limit, monkeypatch):
         for g in ("true", "false"):
             want = il.entropy(both.where(F.col("g") == g), ["a", "b"], approach, **params).first()
             assert got[g] == (pytest.approx(want.value), want.n)
+
+
+@pytest.mark.parametrize("extra", [0, 2000])
+def test_gaussian_counts_all_pairs_whatever_the_size(spark, extra):
+    n = 4000 + extra  # the number of rows used to decide how far a kernel reached
+    q = spark.range(n).select((F.col("id") % 2 * 2.0 - 1.0).alias("x"))
+    sd = 0.5 * math.sqrt(n / (n - 1))
+    for at in (4.5, 5.5):  # 7 and 9 standard deviations from the nearest
+        p = spark.createDataFrame([(at,)], "x double")
+        want = sum(0.5 * math.exp(-0.5 * ((at - y) / sd) ** 2) for y in (-1, 1)) / (math.sqrt(2 * math.pi) * sd)
+        assert il.cross_entropy(p, q, "x", "kernel", kernel="gaussian", bandwidth=0.5).first().value == pytest.approx(-math.log(want))
+    from infoloom.operators import grouped
+
+    y = np.concatenate([np.zeros(n - 1), [40.0]])
+    s = 0.5 * np.std(y, ddof=1)
+    far = math.exp(-0.5 * (40 / s) ** 2)
+    want = ((n - 1) * math.log((n - 1 + far) / n) + math.log((1 + (n - 1) * far) / n)) / n - math.log(math.sqrt(2 * math.pi) * s)
+    assert grouped._density(y[:, None], "gaussian", 0.5) == pytest.approx(-want)
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3])
+def test_a_grid_equals_all_pairs(spark, dim, monkeypatch):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(scale=2.0, size=(300, dim))
+    if dim < 3:
+        x = np.concatenate([x, x[:9] + 200.0, x[:9] - 36.0])  # nodes stand in islands
+    df = spark.createDataFrame([(i, list(map(float, r)), 1 + i % 3) for i, r in enumerate(x)], "_id long, _x array<double>, _w long")
+    some = df.where("_id % 7 != 0")
+    turn = np.eye(dim) + 0.1 * np.tri(dim)
+    kernels = {"whole": neighbors.gaussian(range(dim), turn), "last": neighbors.gaussian([dim - 1])}
+    want = {n: k.whole(x, y := x[np.arange(len(x)) % 7 != 0], 1 + np.flatnonzero(np.arange(len(x)) % 7) % 3) for n, k in kernels.items()}
+    monkeypatch.setattr(neighbors, "ALL_PAIRS", 0)
+    monkeypatch.setattr(neighbors, "GRID_PAYS", math.inf)
+    monkeypatch.setattr(neighbors, "SLICE", 1000)
+    assert len(neighbors.grids([df, some], kernels)) == 2 and len(y) < len(x)
+    got = {r._id: r for r in neighbors.kernel_sums(df, some, kernels).collect()}
+    for n in kernels:
+        assert [got[i][n] for i in range(len(x))] == pytest.approx(want[n], rel=1e-11)
+    monkeypatch.setattr(neighbors, "NODES", 10)  # no grid: box by box
+    got = {r._id: r for r in neighbors.kernel_sums(df, some, kernels).collect()}
+    for n in kernels:
+        assert [got[i][n] for i in range(len(x))] == pytest.approx(want[n], rel=1e-11)
