@@ -43,6 +43,11 @@ MARGIN = 4.0
 NODES = 4_000_000
 #: A grid is taken where it has fewer nodes times points than this many times the pairs; results are the same.
 GRID_PAYS = 150
+#: Points of a block whose sets of near points are bits.
+BIT_POINTS = 4_096
+#: Queries that meet such blocks in one task, and blocks that one task gets, at most.
+BIT_QUERIES = 524_288
+BIT_BLOCKS = 256
 #: Nodes whose sums travel as one row.
 SLICE = 65_536
 
@@ -399,8 +404,13 @@ def kth_distance(queries: DataFrame, data: DataFrame, k: int, p: float, exclude_
         return queries.join(best(all_pairs(queries, data, (nq, nd), compute, "_near array<double>"), "_rho"), "_id")
     boxes = boxed(data, nd, _dim(data))
     own = best(boxes.partials(queries, compute, "_near array<double>", p, None), "_reach")
-    bounded = checkpointed(queries.join(own, "_id", "left").withColumn("_reach", F.coalesce("_reach", F.lit(math.inf))))
-    return queries.join(best(boxes.partials(bounded, compute, "_near array<double>", p, "_reach"), "_rho"), "_id")
+    bounded = checkpointed(matched(queries, own, "_id", "left").withColumn("_reach", F.coalesce("_reach", F.lit(math.inf))))
+    return matched(queries, best(boxes.partials(bounded, compute, "_near array<double>", p, "_reach"), "_rho"), "_id")
+
+
+def matched(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of two tables as long as the points, by sorting. Packed columns look small enough to broadcast, but unpacked they fill the driver."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def _dim(data: DataFrame) -> int:
@@ -445,7 +455,7 @@ def range_counts(queries: DataFrame, data: DataFrame, subspaces: dict[str, Seque
         stored = _distinct(_projected(data, dims))
         boxes, every = boxed(stored, stored.count(), len(dims)), range(len(dims))
         parts = boxes.partials(asked, lambda x, more, y, w, n=name, e=every: {n: within(x, more, y, w, e)}, f"{name} long", p, "_rho", ["_rho"])
-        out = out.join(parts.groupBy("_id").agg(F.sum(name).alias(name)), "_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+        out = matched(out, parts.groupBy("_id").agg(F.sum(name).alias(name)), "_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
     return out
 
 
@@ -596,6 +606,147 @@ def grid_sums(queries: DataFrame, data: DataFrame, made: dict[str, Grid]) -> Dat
     return queries.select("_id", "_x", "_w").mapInArrow(read, "_id long, _x array<double>, _w long, " + ", ".join(f"{n} double" for n in names))
 
 
+class Bits:
+    """A block of weighted points that counts those within a reach of queries along every axis.
+
+    Along an axis the points below each of its values are a set of bits, so the points of an interval are the difference of two sets, those of a
+    box the intersection over axes, and their weight is the number of bits in it, a binary digit of the weights at a time.
+    """
+
+    def __init__(self, y: np.ndarray, w: np.ndarray) -> None:
+        self.words, place = -(-len(y) // 64), np.arange(len(y))
+        bit = np.uint64(1) << (place % 64).astype(np.uint64)
+        self.y, self.axes, self.digits = y, {}, []
+        self.place, self.bit = place // 64, bit
+        for b in range(int(w.max()).bit_length()):
+            digit = np.zeros(self.words, np.uint64)
+            some = (w >> b) & 1 == 1
+            np.bitwise_or.at(digit, self.place[some], bit[some])
+            self.digits.append((1 << b, None if some.all() else digit))
+
+    def _axis(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in self.axes:
+            values, at = np.unique(self.y[:, k], return_inverse=True)
+            below = np.zeros((len(values) + 1, self.words), np.uint64)
+            np.bitwise_or.at(below, (at + 1, self.place), self.bit)
+            self.axes[k] = values, np.bitwise_or.accumulate(below, axis=0)
+        return self.axes[k]
+
+    @staticmethod
+    def _ends(x: np.ndarray, values: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Where the values with ``abs(x - value) <= reach`` begin and end, with that very rounding."""
+        last = len(values)
+        low, high = np.searchsorted(values, x - reach, "left"), np.searchsorted(values, x + reach, "right")
+        for end, into in ((low, lambda v: x - v > reach), (high, lambda v: v - x <= reach)):
+            while True:
+                up = (end < last) & into(values[np.minimum(end, last - 1)])
+                down = (end > 0) & ~into(values[np.maximum(end, 1) - 1])
+                if not (up | down).any():
+                    break
+                end += up
+                end -= down & ~up
+        return low, high
+
+    def counts(self, x: np.ndarray, axes: Sequence[int], reach: float) -> np.ndarray:
+        """The weight within reach of each query along ``axes``, one at least."""
+        out = np.zeros(len(x), np.int64)
+        ends = [(*self._ends(x[:, k], self._axis(k)[0], reach), self._axis(k)[1]) for k in axes]
+        step = max(1, CELLS // (32 * self.words))
+        for a in range(0, len(x), step):
+            near = None
+            for low, high, below in ends:
+                one = below[high[a : a + step]]
+                one ^= below[low[a : a + step]]
+                near = one if near is None else np.bitwise_and(near, one, out=near)
+            for value, digit in self.digits:
+                out[a : a + step] += value * np.bitwise_count(near if digit is None else near & digit).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _sides_of(low: np.ndarray, high: np.ndarray, lower: np.ndarray, higher: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether boxes (rows) lie beyond reach of another one altogether, and along which axes they lie within reach of all of it."""
+    beyond = (np.maximum(lower - high, low - higher) > reach).any(axis=1)
+    return beyond, np.maximum(high - lower, higher - low) <= reach
+
+
+def box_sums(queries: DataFrame, data: DataFrame, dim: int, reach: float, name: str) -> DataFrame:
+    """Weight of the data within ``reach`` of each query along every axis: ``_id`` and partial sums ``name``.
+
+    Queries are dealt into boxes, data into blocks in boxes. Blocks that are within reach of a whole box of queries, or of a part of one, count as one number;
+    those in part within reach are compared by bits. A task has a bounded number of queries and blocks. Blocks travel packed, once for
+    each box of queries that needs them.
+    """
+    spark = queries.sparkSession
+    nq, nd = queries.count(), data.count()
+    size = min(BIT_QUERIES, max(BLOCK_QUERIES, math.ceil(nq / max(1, spark.sparkContext.defaultParallelism))))
+    sample = queries.select("_x").sample(min(1.0, SAMPLE / max(1, nq)), seed=11).limit(2 * SAMPLE).toArrow().column("_x")
+    cuts = Cuts(_matrix(sample) if len(sample) else np.zeros((0, dim)), math.ceil(max(nq, nd) / size))
+    points_, most = BIT_POINTS, BIT_BLOCKS
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cuts.of(_matrix(batch.column(1))))], names=[*batch.schema.names, "_o"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        y, w = _matrix(table.column("_x")), table.column("_w").to_numpy()
+        box = Cuts(y, math.ceil(len(y) / points_)).of(y)
+        rows = [np.flatnonzero(box == b) for b in np.unique(box)]
+        first = table.column("_o")[0].as_py() << 32
+        return pa.table({
+            "_b": pa.array([first + i for i in range(len(rows))], pa.int64()),
+            "_n": pa.array([int(w[r].sum()) for r in rows], pa.int64()),
+            "_low": _lists(np.array([y[r].min(axis=0) for r in rows])),
+            "_high": _lists(np.array([y[r].max(axis=0) for r in rows])),
+            "_y": pa.array([y[r].tobytes() for r in rows], pa.binary()),
+            "_w": pa.array([w[r].tobytes() for r in rows], pa.binary()),
+        })
+
+    asked = checkpointed(queries.select("_id", "_x").mapInArrow(place, "_id long, _x array<double>, _o long"))
+    stored = data.select("_id", "_x", "_w").mapInArrow(place, "_id long, _x array<double>, _w long, _o long")
+    packed = checkpointed(stored.groupBy("_o").applyInArrow(pack, "_b long, _n long, _low array<double>, _high array<double>, _y binary, _w binary"))
+    blocks = packed.select("_b", "_n", "_low", "_high").orderBy("_b").toArrow()
+    corner = [F.array(*[f(F.col("_x")[k]) for k in range(dim)]).alias(n) for f, n in ((F.min, "_low"), (F.max, "_high"))]
+    boxes = asked.groupBy("_o").agg(*corner).orderBy("_o").collect()
+    number, weight, lower, higher = blocks.column("_b").to_numpy(), blocks.column("_n").to_numpy(), _matrix(blocks.column("_low")), _matrix(blocks.column("_high"))
+    whole: dict[int, int] = {}
+    needs: list[tuple[np.ndarray, ...]] = []
+    for r in boxes:
+        beyond, inside = _sides_of(np.array([r["_low"]]), np.array([r["_high"]]), lower, higher, reach)
+        inside = inside.all(axis=1)
+        some = np.flatnonzero(~beyond & ~inside)
+        whole[r["_o"]] = int(weight[inside].sum())
+        needs.append((number[some], np.full(len(some), r["_o"]), np.arange(len(some)) // most))
+    parts = spark.createDataFrame(pa.table({"_o": [r["_o"] for r in boxes], "_parts": [int(n[2][-1]) + 1 if len(n[2]) else 1 for n in needs]}))
+    needed = spark.createDataFrame(pa.table(dict(zip(("_b", "_o", "_s"), [pa.array(np.concatenate(c), pa.int64()) for c in zip(*needs, strict=True)], strict=True))))
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"_id": pa.array([], pa.int64()), name: pa.array([], pa.float64())})
+        x = _matrix(left.column("_x"))
+        box = Cuts(x, math.ceil(len(x) / points_)).of(x)
+        order = np.argsort(box, kind="stable")
+        x = x[order]
+        _, start, sizes = np.unique(box[order], return_index=True, return_counts=True)
+        low, high = np.minimum.reduceat(x, start), np.maximum.reduceat(x, start)
+        count = np.full(len(x), whole[left.column("_o")[0].as_py()] if left.column("_s")[0].as_py() == 0 else 0, np.int64)
+        for values, weights in zip(right.column("_y"), right.column("_w"), strict=True):
+            y, w = np.frombuffer(values.as_buffer()).reshape(-1, dim), np.frombuffer(weights.as_buffer(), np.int64)
+            beyond, inside = _sides_of(low, high, y.min(axis=0), y.max(axis=0), reach)
+            every = inside.all(axis=1)
+            count[np.repeat(every, sizes)] += w.sum()
+            some = ~beyond & ~every
+            if some.any():
+                rows = np.flatnonzero(np.repeat(some, sizes))
+                axes = [k for k in range(dim) if not inside[some, k].all()]
+                count[rows] += Bits(y, w).counts(x[rows], axes, reach)
+        return pa.table({"_id": left.column("_id").take(pa.array(order)), name: pa.array(count.astype(np.float64))})
+
+    q = asked.join(F.broadcast(parts), "_o").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    d = packed.join(F.broadcast(needed), "_b").select("_o", "_s", "_y", "_w")
+    return q.groupBy("_o", "_s").cogroup(d.groupBy("_o", "_s")).applyInArrow(solve, f"_id long, {name} double")
+
+
 def kernel_sums(queries: DataFrame, data: DataFrame, kernels: dict[str, Kernel]) -> DataFrame:
     """Sums over the data of one or more kernels at each query: a column each beside the queries'."""
     nq, nd = queries.count(), data.count()
@@ -612,12 +763,15 @@ def kernel_sums(queries: DataFrame, data: DataFrame, kernels: dict[str, Kernel])
         stored = asked if queries is data else _distinct(_projected(data, kernel.dims, kernel.turn))
         if len(kernel.dims) == 1 and kernel.value is None:
             found = rank_counts(stored, kernel.reach, asked).select("_x", F.col("_cnt").cast("double").alias(name))
+        elif kernel.value is None and math.isinf(kernel.p):
+            parts = box_sums(asked, stored, len(kernel.dims), kernel.reach, name)
+            found = matched(asked, parts.groupBy("_id").agg(F.sum(name).alias(name)), "_id", "left")
         else:
             boxes = boxed(stored, stored.count(), len(kernel.dims))
             parts = boxes.partials(asked, lambda x, _, y, w, n=name, k=kernel: {n: k.sums(x, y, w)}, f"{name} double", kernel.p, kernel.reach)
-            found = asked.join(parts.groupBy("_id").agg(F.sum(name).alias(name)), "_id", "left")
+            found = matched(asked, parts.groupBy("_id").agg(F.sum(name).alias(name)), "_id", "left")
         at = found.select(F.col("_x").alias("_y"), F.coalesce(name, F.lit(0.0)).alias(name))
-        out = out.join(placed.select("_id", "_y").join(at, "_y").drop("_y"), "_id")
+        out = matched(out, matched(placed.select("_id", "_y"), at, "_y").drop("_y"), "_id")
     return out
 
 
@@ -635,4 +789,4 @@ def rank_counts(data: DataFrame, radius: float, queries: DataFrame | None = None
         events = events.union(asked.select(end, F.lit(kind), "_id", F.lit(0).cast("long")))
     below = global_prefix_sum(events, ["at", "kind"], "_w", "below").where("kind != 1")
     counts = below.groupBy("who").agg(F.sum(F.when(F.col("kind") == 2, F.col("below")).otherwise(-F.col("below"))).alias("_cnt"))
-    return asked.join(counts, asked["_id"] == counts["who"]).drop("who")
+    return matched(asked, counts.withColumnRenamed("who", "_id"), "_id")

@@ -226,3 +226,31 @@ def test_a_grid_equals_all_pairs(spark, dim, monkeypatch):
     got = {r._id: r for r in neighbors.kernel_sums(df, some, kernels).collect()}
     for n in kernels:
         assert [got[i][n] for i in range(len(x))] == pytest.approx(want[n], rel=1e-11)
+
+
+@pytest.mark.parametrize("dim", [1, 2, 4])
+def test_bits_count_as_plain_comparisons_do(spark, dim, monkeypatch):
+    rng = np.random.default_rng(dim)
+    x = np.unique(np.round(rng.normal(size=(700, dim)), 1) / 1.0, axis=0)  # many pairs lie at the reach exactly
+    w = 1 + np.arange(len(x)) ** 2 % 37
+    reach = 0.7 + 1e-15
+    want = (neighbors.distances(x, x, math.inf) <= reach) @ w
+    assert (neighbors.Bits(x, w).counts(x, range(dim), reach) == want).all()
+    monkeypatch.setattr(neighbors, "BLOCK_QUERIES", 100)
+    monkeypatch.setattr(neighbors, "BIT_POINTS", 20)
+    monkeypatch.setattr(neighbors, "BIT_BLOCKS", 3)
+    df = spark.createDataFrame([(i, list(map(float, r)), int(w[i])) for i, r in enumerate(x)], "_id long, _x array<double>, _w long").cache()
+    got = {r._id: r.n for r in neighbors.box_sums(df, df, dim, reach, "n").groupBy("_id").agg(F.sum("n").alias("n")).collect()}
+    assert [got[i] for i in range(len(x))] == list(want)
+    far = df.where("_x[0] > 1")
+    got = {r._id: r.n for r in neighbors.box_sums(df, far, dim, reach, "n").groupBy("_id").agg(F.sum("n").alias("n")).collect()}
+    assert [got[i] for i in range(len(x))] == list((neighbors.distances(x, x[x[:, 0] > 1], math.inf) <= reach) @ w[x[:, 0] > 1])
+
+
+def test_box_sums_move_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "ALL_PAIRS", 0)  # a query used to be one row for each box within reach
+    monkeypatch.setattr(neighbors.Boxes, "partials", lambda *a, **k: pytest.fail("queries are sent box by box"))
+    df = spark.range(400).select((F.col("id") % 20 / 20.0).alias("a"), (F.floor(F.col("id") / 20) / 20.0).alias("b"))
+    x = np.array([[i % 20 / 20.0, i // 20 / 20.0] for i in range(400)])
+    near = (np.abs(x[:, None] - x[None]).max(axis=2) <= 0.25 + 1e-15).sum(axis=1) / (400 * 0.25)
+    assert il.entropy(df, ["a", "b"], "kernel", bandwidth=0.5).first().value == pytest.approx(-np.log(near).mean())
