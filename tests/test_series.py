@@ -114,3 +114,17 @@ def test_effective_query_can_reach_significance(monkeypatch):
     queries.QUERIES["effective_te"](None, "")
     rounds = given.get("rounds", inspect.signature(queries.surrogates.surrogate_values).parameters["rounds"].default)
     assert 1 / (rounds + 1) <= 0.05
+
+
+def test_shuffles_are_joined_without_broadcasts(spark):
+    from infoloom.plans.series import shuffled_pasts
+
+    df = spark.range(50).select(F.col("id").alias("t"), (F.col("id") % 2).alias("s"), F.col("id").alias("v"))
+    out = shuffled_pasts(df, ["v"], ["t"], ["s"], 3, 0, ["t"])
+    rows = out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert "SortMergeJoin [_rn" in final and "BroadcastHashJoin [_rn" not in final
+    for r in range(3):
+        for s in (0, 1):
+            assert sorted(x.v for x in rows if x["round"] == r and x.s == s) == list(range(s, 50, 2))
