@@ -2,6 +2,7 @@
 
 Groups of up to ``GROUP_POINTS`` points are solved whole, one task after the other, in plain arrays. Larger ones go to the
 block operators all at once: their number is one more coordinate, so far apart that no point of another group is near.
+In one dimension nearest neighbours stand beside each other in order, so groups of any size cost a sort and stay out of Python.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..core.validate import Variable, complete, positive, unit, variable
 from ..functions.special import digamma_value, unit_ball_volume
 from . import kernel, knn
-from ..plans.series import checkpointed, global_row_number
+from ..plans.series import Ordered, checkpointed, global_row_number
 from .neighbors import CELLS, Kernel, distances, gaussian, kernel_sums, kth_distance, points
 
 GROUP_POINTS = 20_000
@@ -111,6 +112,9 @@ def grouped_entropy(df: DataFrame, x: Variable, group_by: Sequence[str], approac
     slim = complete(slim, [f"_v{i}" for i in range(len(cols))])
     for i in range(len(cols)):
         slim = slim.where(~F.isnan(f"_v{i}"))
+    if approach != "kernel" and len(cols) == 1:
+        out = _in_order(slim, groups, approach, params)
+        return out.select(*[F.col(n).alias(g) for g, n in zip(group_by, groups, strict=True)], "value", "n")
     large = slim.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > GROUP_POINTS)
     large = checkpointed(global_row_number(large, groups, "_no"))
 
@@ -156,14 +160,35 @@ def _many(points_: DataFrame, dim: int, approach: str, params: dict) -> DataFram
         met = sums.join(total_, "_g").withColumn("_density", F.col("near") / (F.col("n") * F.col("_volume")))
         part = F.sum(F.when(F.col("_density") > 0, -F.col("_w") * F.log("_density")).otherwise(0.0))
         return met.groupBy("_g").agg((part / F.first("n") / unit(base)).alias("value"), F.first("n").alias("n"))
+    p = knn.norm(params.get("metric", "chebyshev")) if approach == "kl" else 2.0
+    return _from_radii(kth_distance(data, data, params.get("k", 4), p, True).select(group, "_w", "_rho"), ["_g"], dim, approach, params)
+
+
+def _in_order(slim: DataFrame, groups: Sequence[str], approach: str, params: dict) -> DataFrame:
+    """Nearest-neighbour entropies of groups of ``_v0``: a row's k nearest are a run of the k rows around it in order."""
     k = params.get("k", 4)
+    ordered = Ordered(slim.select(*groups, "_v0"), ["_v0"], groups, k)
+    below = [ordered.past("_v0", i) for i in range(k + 1)]
+    above = [ordered.ahead("_v0", i) for i in range(k + 1)]
+    runs = [
+        F.when(below[i].isNotNull() & above[k - i].isNotNull(), F.greatest(F.col("_v0") - below[i], above[k - i] - F.col("_v0"))) for i in range(k + 1)
+    ]  # i rows below and k - i above; null where the group ends before
+    home = ["_home", "_block", "_rn"] if ordered.blocked else []
+    found = ordered.done(ordered.frame.select(*groups, *home, F.array_min(F.array(*runs)).alias("_rho")))
+    return _from_radii(found.withColumn("_w", F.lit(1).cast("long")), groups, 1, approach, params)
+
+
+def _from_radii(found: DataFrame, groups: Sequence[str], dim: int, approach: str, params: dict) -> DataFrame:
+    """Entropies from rows of ``groups``, ``_rho`` and ``_w``: ``groups, value, n``. A group with too few points for its k is an error."""
+    k, base = params.get("k", 4), params.get("base", math.e)
     p = knn.norm(params.get("metric", "chebyshev")) if approach == "kl" else 2.0
     order = params.get("alpha", params.get("q", 1.0))
     if approach != "kl":
         positive("order", order)
     positive_ = F.col("_rho") > 0
-    sums = kth_distance(data, data, k, p, True).groupBy(group).agg(
-        rows,
+    sums = found.groupBy(*groups).agg(
+        F.sum("_w").alias("n"),
+        F.max(F.col("_rho").isNull()).alias("short"),
         F.sum(F.when(positive_, F.col("_w")).otherwise(0)).alias("some"),
         F.sum(F.when(positive_, F.col("_w") * F.log("_rho")).otherwise(0.0)).alias("logs"),
         F.sum(F.when(positive_, F.col("_w") * F.pow("_rho", F.lit(dim * (1.0 - order)))).otherwise(0.0)).alias("powers"),
@@ -173,13 +198,18 @@ def _many(points_: DataFrame, dim: int, approach: str, params: dict) -> DataFram
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # one row a group
             rows_ = batch.to_pylist()
+            for r in rows_:
+                if r["short"] and not (approach == "kl" and r["n"] < 2):
+                    raise ValueError(f"k = {k} needs more points than {r['n']}")
             if approach == "kl":
                 value = [_kl_value(r["n"], dim, r["some"], r["logs"], k, p, variant, base) for r in rows_]
             else:
                 value = [_order_value(r["n"], dim, r["logs"], r["powers"], approach, order, k, base) for r in rows_]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64()), batch.column(1)], names=["_g", "value", "n"])
+            kept = [batch.column(g) for g in groups]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(value, pa.float64()), batch.column("n")], names=[*groups, "value", "n"])
 
-    return sums.mapInArrow(solve, "_g double, value double, n long")
+    schema = ", ".join(f"{g} {found.schema[g].dataType.simpleString()}" for g in groups)
+    return sums.mapInArrow(solve, f"{schema}, value double, n long")
 
 
 def _whitened(points_: DataFrame, axes: Sequence[str], bandwidth: float) -> tuple[DataFrame, DataFrame]:

@@ -254,3 +254,25 @@ def test_box_sums_move_few_rows(spark, monkeypatch):
     x = np.array([[i % 20 / 20.0, i // 20 / 20.0] for i in range(400)])
     near = (np.abs(x[:, None] - x[None]).max(axis=2) <= 0.25 + 1e-15).sum(axis=1) / (400 * 0.25)
     assert il.entropy(df, ["a", "b"], "kernel", bandwidth=0.5).first().value == pytest.approx(-np.log(near).mean())
+
+
+@pytest.mark.parametrize("rows", [100_000, 40])
+def test_grouped_in_one_dimension_stays_out_of_python(spark, rows, monkeypatch):
+    from infoloom.operators import grouped
+    from infoloom.plans import series
+
+    monkeypatch.setattr(series, "BLOCK_ROWS", rows)
+    x = np.round(np.random.default_rng(5).normal(size=300), 2)  # with ties
+    data = {g: x[a:b] for g, a, b in (("a", 0, 180), ("b", 180, 295), (None, 295, 300))}
+    df = spark.createDataFrame([(g, float(v)) for g, xs in data.items() for v in xs], "g string, x double")
+    want = {g: (grouped._kl(v[:, None], 3, 2), grouped._order(v[:, None], "renyi", 1.2), grouped._order(v[:, None], "tsallis", 0.6)) for g, v in data.items()}
+    monkeypatch.setattr(grouped, "_radii", lambda *a: pytest.fail("a whole group in one task"))
+    for i, (approach, params) in enumerate((("kl", {"k": 3, "variant": 2}), ("renyi", {"alpha": 1.2}), ("tsallis", {"q": 0.6}))):
+        out = il.entropy(df, "x", approach, group_by=["g"], **params)
+        assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().toString()
+        got = {r.g: (r.value, r.n) for r in out.collect()}
+        assert got == {g: (pytest.approx(want[g][i]), len(v)) for g, v in data.items()}
+    one = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 3.0)], "g string, x double")
+    assert {r.g: r.value for r in il.entropy(one, "x", "kl", k=1, group_by=["g"]).collect()}["a"] == 0.0
+    with pytest.raises(Exception, match="needs more points"):
+        il.entropy(one, "x", "kl", k=2, group_by=["g"]).collect()
